@@ -5,14 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets
+from . import chat, pii, secrets
 from .common import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal numbers, dates and mailboxes under pseudonyms."""
+    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="production-key-1")
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(k) for k in pii.KINDS], F.size("pii").cast("long").alias("n_pii"), "text")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op6_secrets": op6_secrets}
-ORACLE: dict[str, str] = {}
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered and read back from the rendered text."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"))
+    events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("op"), F.lit(None).cast("long").alias("target"), "role", "text")
+    out = chat.render(chat.fold(events)).withColumn("turns", chat.parse(F.col("formatted")))
+    turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform("loss_spans", lambda x: chat.unescape(F.substr(F.col("formatted"), (x["start"] + 1).cast("int"), x["length"].cast("int")))), "")
+    out = out.withColumn("loss", loss)
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP8_SQL = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)
+), sized AS (
+  SELECT *, length(replace(replace(replace(role || text, '\\', '--'), '<', '--'), '[', '--')) + length('[INST][/INST]</s>') AS n FROM rows
+), agg AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+    CAST(sum(n) AS BIGINT) AS formatted_chars
+  FROM sized GROUP BY conv_id
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM agg
+"""
+
+QUERIES = {"op2_pii": op2_pii, "op6_secrets": op6_secrets, "op8_chat": op8_chat}
+ORACLE: dict[str, str] = {"op8_chat": OP8_SQL}
