@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, pii, secrets
-from .common import table
+from . import chat, language, pii, quality, secrets
+from .common import digest_bucket, table
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k) for k in pii.KINDS], F.size("pii").cast("long").alias("n_pii"), "text")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, chance of the top grade and decision for every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")), levels=3)
+    return quality.score(docs, model).withColumn("kept", F.col("tail") >= 0.5)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
@@ -37,6 +44,15 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned on three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = digest_bucket(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.where(~held_out))
+    out = language.predict(docs, model)
+    return out.select("doc_id", (digest_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 OP8_SQL = """
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -53,5 +69,5 @@ WITH rows AS (
 SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM agg
 """
 
-QUERIES = {"op2_pii": op2_pii, "op6_secrets": op6_secrets, "op8_chat": op8_chat}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_quality, op6_secrets, op8_chat, op10_language)}
 ORACLE: dict[str, str] = {"op8_chat": OP8_SQL}
