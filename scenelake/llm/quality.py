@@ -101,16 +101,17 @@ def train(grades: np.ndarray, rows: list[np.ndarray], levels: int, steps: int =
     return Model((w * scale).astype(np.float32), np.cumsum([b[0], *np.exp(b[1:])]))
 
 
-def fit(docs: DataFrame, grades: DataFrame, *, levels: int, sample: int = 16_000, shards: int = 4, doc_id: str = "doc_id", text: str = "text", grade: str = "grade") -> Model:
+def fit(docs: DataFrame, grades: DataFrame, *, levels: int, sample: int = 16_000, share: int = 4_000, doc_id: str = "doc_id", text: str = "text", grade: str = "grade") -> Model:
     """Trains on at most ``sample`` graded texts, those whose ids hash lowest; more rows change nothing but which these are.
 
-    ``shards`` groups train side by side and their parameters are averaged. A document graded twice counts with its
+    Groups of about ``share`` texts train side by side and their parameters are averaged. A document graded twice counts with its
     lowest grade; rows with null id, null grade or a grade outside 0 to levels - 1 are left out. Without any graded
     text the model has zero weights and gives every grade the same odds for every text.
     """
     fold = F.crc32(F.col("id").cast("string").cast("binary"))
     rated = grades.select(F.col(doc_id).alias("id"), F.col(grade).cast("int").alias("y")).where(f"id is not null and y between 0 and {levels - 1}").groupBy("id").agg(F.min("y").alias("y"))
     rated = rated.orderBy(fold, "id").limit(sample)
+    shards = max(1, round(rated.count() / share))
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(rated), "id")  # at most ``sample`` rows of two numbers
 
     def hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
