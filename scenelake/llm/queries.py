@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, pii, quality, secrets
+from . import chat, jaccard, language, leakage, pii, quality, secrets
 from .common import digest_bucket, table
 
 
@@ -49,6 +49,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds."""
+    out = leakage.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "best_score", "best_overlap", "leaked")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned on three quarters of them."""
     docs = table(spark, sf_dir, "documents")
@@ -92,5 +98,5 @@ WITH rows AS (
 SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM agg
 """
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_quality, op5_jaccard, op6_secrets, op8_chat, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_quality, op5_jaccard, op6_secrets, op8_chat, op9_leakage, op10_language)}
 ORACLE: dict[str, str] = {"op5_jaccard": OP5_SQL, "op8_chat": OP8_SQL}
