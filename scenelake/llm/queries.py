@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, leakage, pii, quality, secrets
+from . import chat, jaccard, language, leakage, packing, pii, quality, secrets
 from .common import digest_bucket, table
 
 
@@ -33,6 +34,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation rendered and read back from the rendered text."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -98,5 +104,5 @@ WITH rows AS (
 SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM agg
 """
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_quality, op5_jaccard, op6_secrets, op8_chat, op9_leakage, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_quality, op5_jaccard, op6_secrets, op7_packing, op8_chat, op9_leakage, op10_language)}
 ORACLE: dict[str, str] = {"op5_jaccard": OP5_SQL, "op8_chat": OP8_SQL}
