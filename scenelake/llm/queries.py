@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, leakage, packing, pii, quality, secrets
+from . import chat, jaccard, language, leakage, packing, pii, quality, secrets, vectors
 from .common import digest_bucket, table
 
 
@@ -24,6 +24,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).withColumn("kept", F.col("tail") >= 0.5)
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of embeddings of cosine 0.95 or more."""
+    return vectors.near(table(spark, sf_dir, "embeddings"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked by Jaccard similarity 0.9 of three-word shingles."""
     return jaccard.join(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
@@ -70,6 +75,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (digest_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), sound AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON a = vec_id
+"""
+
 OP5_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -104,5 +124,5 @@ WITH rows AS (
 SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM agg
 """
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_quality, op5_jaccard, op6_secrets, op7_packing, op8_chat, op9_leakage, op10_language)}
-ORACLE: dict[str, str] = {"op5_jaccard": OP5_SQL, "op8_chat": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_quality, op4_vectors, op5_jaccard, op6_secrets, op7_packing, op8_chat, op9_leakage, op10_language)}
+ORACLE: dict[str, str] = {"op4_vectors": OP4_SQL, "op5_jaccard": OP5_SQL, "op8_chat": OP8_SQL}
