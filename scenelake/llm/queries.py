@@ -6,10 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, language, leakage, packing, pii, quality, secrets, vectors
+from . import brown, chat, jaccard, language, leakage, packing, pii, quality, secrets, vectors
 from .common import digest_bucket, table
 
 
+def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-model scores of every document, learned on six sevenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    fold = digest_bucket(F.col("doc_id"), 7)
+    model, counts = brown.fit(docs.where(fold != 2).select(F.coalesce("text", F.lit("")).alias("t")))
+    out = brown.score(docs, model, counts)
+    return out.withColumn("held_out", fold == 2)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with personal numbers, dates and mailboxes under pseudonyms."""
     out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="production-key-1")
@@ -124,5 +133,5 @@ WITH rows AS (
 SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM agg
 """
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_quality, op4_vectors, op5_jaccard, op6_secrets, op7_packing, op8_chat, op9_leakage, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_brown, op2_pii, op3_quality, op4_vectors, op5_jaccard, op6_secrets, op7_packing, op8_chat, op9_leakage, op10_language)}
 ORACLE: dict[str, str] = {"op4_vectors": OP4_SQL, "op5_jaccard": OP5_SQL, "op8_chat": OP8_SQL}
