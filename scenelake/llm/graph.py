@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .common import cut, delete
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return (row[0], row[1])
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other, and that one on none."""
+    child = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    parent = edges.select(F.col("v").alias("u"), F.lit(True).alias("above")).distinct()
+    return child.join(parent, "u", "left").where("n > 1 or above").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,19 +24,14 @@ def components(links: DataFrame) -> DataFrame:
     Self-links and repeated links do no harm; an empty table gives an empty result.
     """
     edges = cut(links.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v").distinct())
-    state = _state(edges)
-    while state[0]:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = cut(low.select("u", F.col("m").alias("v")).unionByName(small).where("u <> v").distinct())
-        now = _state(new)
         delete(edges)
         edges = new
-        if now == state:
-            break
-        state = now
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

@@ -93,9 +93,8 @@ def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(s.tobytes())
-    return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
+def _digest(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -117,8 +116,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(judged, "a long, b long, ok boolean")
 
 
+def _derived(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """What members (lead, node, root) of the same lists can still link: links with their lead, and candidate pairs.
+
+    A node's difference to its lead tells its relation to any other node of that lead: the symmetric difference of two
+    nodes is that of their differences. As linked sets differ in at most D elements, nodes with differences of a and b
+    elements share c = (a + b - D) / 2 of them, so with the rarest elements first they share one of the first a - c + 1
+    and b - c + 1, the earlier of these two places being at most D / 2. Only such pairs of different classes are given.
+    """
+    left, right = sets.select(F.col("node").alias("lead"), F.col("s").alias("x")), sets.select("node", F.col("s").alias("y"))
+
+    def differed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for x, y in zip(part["x"], part["y"]):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                d = np.setxor1d(x, y, assume_unique=True)
+                both = (len(x) + len(y) - len(d)) // 2
+                rows.append((den * both >= num * (both + len(d)), len(y), d.view(np.int64)))
+            yield part.drop(columns=["x", "y"]).assign(**{c: [r[i] for r in rows] for i, c in enumerate(("ok", "size", "d"))})
+
+    joined = members.join(left, "lead").join(right, "node").select("lead", "node", "root", "x", "y")
+    rows = cut(joined.mapInPandas(differed, "lead long, node long, root long, ok boolean, size int, d array<long>"))
+    direct = rows.where("ok").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    each = rows.select("lead", "node", F.explode("d").alias("e"))
+    often = each.groupBy("lead", "e").count().where("count > 1")
+    ranked = each.join(often, ["lead", "e"]).groupBy("lead", "node").agg(F.array_sort(F.collect_list(F.struct("count", "e"))).alias("common"))
+    # elements of no other difference come first and are never shared, so they only shift the places of the others
+    place = ranked.join(rows.select("lead", "node", "root", "size", F.size("d").alias("n")), ["lead", "node"])
+    place = place.select("lead", "node", "root", "size", "n", (F.col("n") - F.size("common")).alias("own"), F.posexplode("common").alias("i", "z"))
+    place = cut(place.select("lead", F.col("z.e").alias("e"), "node", "root", "size", "n", (F.col("own") + F.col("i")).alias("i")))
+    bound = F.floor(F.col("size") * (1 + den / num) * (den - num) / (den + num))
+    early = place.where(F.col("i") <= bound / 2).select("lead", "e", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "n", "i")])
+    late = place.where(F.col("i") <= bound).select("lead", "e", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "n", "i")])
+    most = F.floor((F.col("size_a") + F.col("size_b")) * (den - num) / (den + num))
+    need = F.greatest(F.lit(1), F.ceil((F.col("n_a") + F.col("n_b") - most) / 2))
+    fits = (F.col("root_a") != F.col("root_b")) & (F.col("n_a") - F.col("i_a") >= need) & (F.col("n_b") - F.col("i_b") >= need)
+    pairs = early.join(late, ["lead", "e"]).where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return direct, pairs
+
+
 def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
-    """Links texts whose word-shingle sets have Jaccard similarity num / den or more; exact up to 64-bit fingerprints.
+    """Links texts whose word-shingle sets have Jaccard similarity num / den or more; exact up to 64-bit fingerprints
+    of shingles and sets.
 
     One row per input row: the id, ``n_shingles`` and ``component_id``, the smallest id in its class of linked texts.
     A text without words, and null text, has no shingles and is linked with nothing; a text with fewer than ``width``
@@ -127,69 +167,88 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
 
     Equal sets are one node, whatever their number. Index lists are keyed by blocks of positions, so a probe skips all
     of a list but the sets that agree with it in a whole block, and a passage that many texts share makes no long list.
-    Each node is then compared with the few lead nodes it shares most blocks with; what these have already linked is
-    taken over, and only blocks that still hold several classes are compared further, in the end pair by pair.
+    Each node is then compared with the few lead nodes it shares most blocks with, and what these have linked is taken
+    over. In lists that still hold several classes, pairs are found from each node's difference to the list's lead.
     """
     if not 0 < num <= den:
         raise ValueError("the similarity must be over 0 and at most 1")
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def made(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def named(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for t in part["t"]:
-                s = shingles(t, width)
-                rows.append((len(s), *_digest(s), block_keys(s, num, den).view(np.int64) if len(s) else np.zeros(0, np.int64)))
-            yield pd.DataFrame({"id": part["id"]} | {c: [r[i] for r in rows] for i, c in enumerate(("n", "h1", "h2", "keys"))})
+            sets = [shingles(t, width) for t in part["t"]]
+            yield pd.DataFrame({"id": part["id"], "n": [len(s) for s in sets], "node": [_digest(s) for s in sets]})
+
+    def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # equal sets that one task meets are written once, so copies do not swell a list
+        for part in parts:
+            for i in range(0, len(part), 500):
+                nodes, keys = [], []
+                for t in part["t"].iloc[i : i + 500]:
+                    s = shingles(t, width)
+                    node = _digest(s)
+                    if len(s) and node not in seen:
+                        if len(seen) > 500_000:
+                            seen.clear()
+                        seen.add(node)
+                        k = block_keys(s, num, den).view(np.int64)
+                        nodes.append(np.full(len(k), node))
+                        keys.append(k)
+                if nodes:
+                    yield pd.DataFrame({"node": np.concatenate(nodes), "key": np.concatenate(keys)})
 
     source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    made_rows = source.mapInPandas(made, f"id {kind}, n long, h1 long, h2 long, keys array<long>")
-    rows = cut(made_rows.withColumn("row", F.monotonically_increasing_id()))
-    groups = cut(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("node"), F.min("id").alias("low")))
-    keys = rows.select(F.col("row").alias("node"), "keys").join(groups.select("node"), "node", "left_semi").select("node", F.explode("keys").alias("key"))
+    rows = cut(source.mapInPandas(named, f"id {kind}, n long, node long"))
+    groups = cut(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("low")))
+    keys = source.select("t").mapInPandas(keyed, "node long, key long")
     by_key = Window.partitionBy("key")
     shared = cut(keys.withColumn("lead", F.min("node").over(by_key)).withColumn("last", F.max("node").over(by_key)).where("lead <> last").select("key", "node", "lead"))
 
     # the sets of nodes in shared blocks, found again from the texts
-    wanted = shared.select("node").distinct().join(rows.select(F.col("row").alias("node"), "id", "h1", "h2"), "node")
-    wanted = cut(wanted)
-    if wanted.count() <= broadcast_rows:  # 32 bytes a row
+    wanted = cut(shared.select("node").distinct().join(groups, "node"))
+    if wanted.count() <= broadcast_rows:  # 16 bytes a row
         wanted = F.broadcast(wanted)
 
     def again(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = [(node, s.tobytes()) for node, t, h1, h2 in zip(part["node"], part["t"], part["h1"], part["h2"]) for s in [shingles(t, width)] if _digest(s) == (h1, h2)]
+            out = [(node, s.tobytes()) for node, t in zip(part["node"], part["t"]) for s in [shingles(t, width)] if _digest(s) == node]
             yield pd.DataFrame(out, columns=["node", "s"])
 
-    found = source.join(wanted, source["id"].eqNullSafe(wanted["id"])).select("node", "t", "h1", "h2").mapInPandas(again, "node long, s binary")
-    sets = cut(found)  # a node comes twice only if rows repeat whole; then both are the same
-    sets = sets.dropDuplicates(["node"]) if sets.groupBy("node").count().where("count > 1").limit(1).count() else sets
+    found = source.join(wanted, source["id"].eqNullSafe(wanted["low"])).select("node", "t").mapInPandas(again, "node long, s binary")
+    sets = cut(found)
+    if sets.groupBy("node").count().where("count > 1").limit(1).count():  # rows with equal ids and texts
+        sets = sets.dropDuplicates(["node"])
 
     pairs = shared.where("node <> lead").groupBy("lead", "node").count()
     best = Window.partitionBy("node").orderBy(F.desc("count"), "lead")
     pairs = pairs.withColumn("k", F.row_number().over(best)).where("k <= 3").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     tested = cut(_verified(pairs, sets, num, den))
-    rest, turn = shared.select("key", "node"), 0
-    while True:
-        roots = components(tested.where("ok").select("a", "b"))
-        named = rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        open_keys = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        left = cut(named.join(open_keys, "key", "left_semi"))
-        if turn == 3 or left.isEmpty():
-            break
-        turn += 1
-        if turn < 3:  # a member of the first class against one of the last, chosen by hash
-            draw = F.struct(F.xxhash64("key", "node", F.lit(turn)), F.col("node"))
-            ends = left.groupBy("key").agg(F.min_by("node", F.struct("root", draw)).alias("a"), F.max_by("node", F.struct("root", draw)).alias("b"))
-            new = ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:  # all that is left, so that no link is missed
-            other = left.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
-            new = left.select("key", F.col("node").alias("a"), "root").join(other, "key").where("root <> other and a < b").select("a", "b").distinct()
-        new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = tested.unionByName(cut(_verified(new, sets, num, den)))
-        rest = left.select("key", "node")
-    lows = groups.join(roots, "node", "left").select("h1", "h2", "n", "low", F.coalesce("root", "node").alias("root"))
-    least = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = lows.join(least, "root").select("h1", "h2", "n", "component_id")
-    out = rows.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    roots = components(tested.where("ok").select("a", "b"))
+    named_keys = shared.join(roots, "node", "left").select("key", "node", "lead", F.coalesce("root", "node").alias("root"))
+    open_keys = named_keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    members = named_keys.join(open_keys, "key", "left_semi").where("node <> lead").select("lead", "node", "root").distinct()
+    direct, derived = _derived(members, sets, num, den)
+    derived = derived.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    links = tested.where("ok").select("a", "b").unionByName(direct).unionByName(_verified(derived, sets, num, den).where("ok").select("a", "b"))
+    roots = components(links)
+    classes = groups.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    out = rows.join(classes.join(least, "root").select("node", "component_id"), "node", "left")
+    alone = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+
+
+def dedupe(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
+    """The rows of ``docs``, whole, with one row of each class of ``join``: that with the smallest id.
+
+    Where ids repeat or are null, rows are numbered first and the first row of a class stays.
+    """
+    repeated = docs.groupBy(doc_id).count().where((F.col("count") > 1) | F.col(doc_id).isNull())
+    if repeated.isEmpty():
+        own, key = docs, doc_id
+    else:
+        own, key = cut(docs.withColumn("__row", F.monotonically_increasing_id())), "__row"
+    gone = cut(join(own, doc_id=key, text=text, broadcast_rows=broadcast_rows, **options).where(F.col("component_id") != F.col(key)).select(key))
+    if gone.count() <= broadcast_rows:  # 8 bytes a row
+        gone = F.broadcast(gone)
+    return own.join(gone, key, "left_anti").select(*docs.columns)
