@@ -10,9 +10,12 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 _TOKEN = re.compile(r"\w+")
 #: Words of a passage and of the step to the next: any STEP words in a row lie in one passage. Items are indexed in pieces of PIECE words at most.
 PASSAGE, STEP, PIECE = 128, 64, 48
@@ -138,45 +141,75 @@ class Index:
         return tuple(out)
 
 
+def _shards(items: DataFrame, shard: int, item_id: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items that have a word, about ``shard`` at a time."""
+    bare = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.col("i").isNotNull() & F.col("t").rlike(r"[\p{L}\p{N}_]"))
+    n = max(1, -(-bare.count() // shard))
+    for k in range(n):
+        part = bare.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) if n > 1 else bare
+        yield [(r["i"], r["t"]) for r in part.orderBy("i", "t").collect()]
+
+
+class Judge:
+    """Decides which items of an index a text leaks."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float, overlap: float, part: float) -> None:
+        self.index, self.overlap, self.part = Index(items, threshold), overlap, part
+
+    def __call__(self, text: str) -> tuple[list[int], float, float]:
+        """The leaked items, the best BM25 share and the best overlap of the retrieved ones."""
+        words = tokens(text)
+        good, score, most = [], 0.0, 0.0
+        for item, s in self.index.retrieve(words).items():
+            whole, question, answer = self.index.verify(words, item)
+            score, most = max(score, s), max(most, whole)
+            if whole >= self.overlap and question >= self.part and answer >= self.part:
+                good.append(item)
+        return sorted(good), score, most
+
+
 def search(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, shard: int = 20_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per input row: the id, ``item_ids`` (sorted array of leaked items), ``best_score``, ``best_overlap`` and ``leaked``.
 
     An item is leaked into a text if one of its pieces reaches ``threshold`` of its own BM25 score in some passage of 128
     words, and at least ``overlap`` of its five-word shingles, and ``part`` of those of its question and of its answer,
     occur in the text. Items are indexed ``shard`` at a time, which bounds what is broadcast; with more of them the
-    texts are read once for each shard. Null or empty texts and items leak nothing; rows with a null item id count like
-    others with id null left out of ``item_ids``; other columns are ignored.
+    texts are read once for each shard. Null or empty texts leak nothing; items with a null id are left out;
+    other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
-    bare = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.col("i").isNotNull() & F.col("t").rlike(r"[\p{L}\p{N}_]"))
-    shards = max(1, -(-bare.count() // shard))
+    held = [spark.sparkContext.broadcast(x) for x in _shards(items, shard, item_id, item_text)]
     source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    if shards > 1:
-        source = source.withColumn("row", F.monotonically_increasing_id())
+    if len(held) > 1:
+        source = cut(source.withColumn("row", F.monotonically_increasing_id()))
     out = None
-    for k in range(shards):
-        part_of = bare.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == k) if shards > 1 else bare
-        held = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part_of.orderBy("i", "t").collect()])  # about ``shard`` items
+    for one in held:
 
-        def matched(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = Index(held.value, threshold)
+        def matched(parts: Iterator[pd.DataFrame], one=one) -> Iterator[pd.DataFrame]:
+            judge = Judge(one.value, threshold, overlap, part)
             for p in parts:
-                rows = []
-                for t in p["t"]:
-                    words = tokens(t)
-                    good, score, most = [], 0.0, 0.0
-                    for item, s in index.retrieve(words).items():
-                        whole, question, answer = index.verify(words, item)
-                        score, most = max(score, s), max(most, whole)
-                        if whole >= overlap and question >= part and answer >= part:
-                            good.append(item)
-                    rows.append((sorted(good), score, most))
+                rows = [judge(t) for t in p["t"]]
                 yield p.drop(columns="t").assign(**{c: [r[i] for r in rows] for i, c in enumerate(("item_ids", "best_score", "best_overlap"))})
 
-        extra = ", row long" if shards > 1 else ""
-        got = source.select("id", *(["row"] if shards > 1 else []), "t").mapInPandas(matched, f"id {kind}{extra}, item_ids array<long>, best_score double, best_overlap double")
+        extra = ", row long" if len(held) > 1 else ""
+        got = source.select("id", *(["row"] if len(held) > 1 else []), "t").mapInPandas(matched, f"id {kind}{extra}, item_ids array<long>, best_score double, best_overlap double")
         out = got if out is None else out.unionByName(got)
-    if shards > 1:
+    if len(held) > 1:
         out = out.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("best_score").alias("best_score"), F.max("best_overlap").alias("best_overlap"))
     return out.select(F.col("id").alias(doc_id), "item_ids", "best_score", "best_overlap", (F.size("item_ids") > 0).alias("leaked"))
+
+
+def clean(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, shard: int = 20_000, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, into which no item is leaked by the rules of ``search``; null and empty texts stay."""
+    at, schema = docs.columns.index(text), docs.schema
+    for one in _shards(items, shard, item_id, item_text):
+        held = docs.sparkSession.sparkContext.broadcast(one)
+
+        def kept(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            judge = Judge(held.value, threshold, overlap, part)
+            for batch in batches:
+                yield batch.filter(pa.array([not judge(t or "")[0] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(kept, schema)
+    return docs

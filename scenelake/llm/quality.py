@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,3 +154,16 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", good.alias("grade"))
 
 
+
+
+def keep(docs: DataFrame, model: Model, *, tail: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose chance of the top grade is ``tail`` or more. Null text counts as empty."""
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
+    at = docs.columns.index(text)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*held.value)
+        for batch in batches:
+            yield batch.filter(pa.array([bool(own.tails(slots(t or ""))[-1] >= tail) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -53,16 +53,9 @@ def battery(m: Column) -> Column:
     return F.when((n >= 16) & digit & (low | high) & (accept >= 0.003), tail(structured)).otherwise(1.0)
 
 
-def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fdr: float = 0.01) -> DataFrame:
-    """One row per input row: the id and ``found``, an array of (start, kind, end, kind_no, m) sorted by start and kind.
-
-    Null text counts as empty; an empty table gives an empty result; repeated ids stay separate rows; other columns are
-    ignored. The fixed patterns decide alone about their spans. A candidate string that overlaps none of them is added
-    as kind ``random`` if the battery's p-value, weighted by length, passes the Benjamini-Hochberg threshold at ``fdr``
-    over all candidates of the table. The threshold comes from a histogram of p-values in steps of 1/50 of a decade,
-    so it needs no global sort.
-    """
-    df = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+def _columns(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``__base``, the spans of the fixed patterns, and ``__free``, the other candidates with their weighted p-values."""
+    df = df.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
     df = matches(df, "__t", ASSIGN, "__assign")
     df = matches(df, "__t", ACCESS, "__access")
     df = matches(df, "__t", HEX[:-1] + "{%d,}" % LEAST_HEX, "__hex")  # a run of at least so many: the same as all runs, then filtered
@@ -77,17 +70,41 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fdr: fl
     free = F.filter(F.col("__cand"), lambda c: ~F.exists(F.col("__base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     weight = lambda m: F.least(F.greatest(F.length(m) / 32.0, F.lit(0.5)), F.lit(2.0))
     tested = F.transform(free, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind_no"), c["end"].alias("end"), F.lit("random").alias("kind"), c["m"].alias("m"), F.least(F.lit(1.0), battery(c["m"]) / weight(c["m"])).alias("p")))
-    kept = cut(df.select("__id", "__base", tested.alias("__free")))
-    level = F.floor(F.log10(F.greatest(F.col("p"), F.lit(1e-300))) * 50).cast("long")
-    counts = kept.select(F.explode("__free").alias("c")).select(F.col("c.p").alias("p")).groupBy(level.alias("level")).count().collect()  # at most 15,001 rows
+    return df.withColumn("__free", tested).drop("__t", "__assign", "__access", "__hex", "__cand")
+
+
+def _level(p: Column) -> Column:
+    return F.floor(F.log10(F.greatest(p, F.lit(1e-300))) * 50).cast("long")
+
+
+def _limit(tested: DataFrame, fdr: float) -> int | None:
+    """The highest level of p-values that passes the Benjamini-Hochberg procedure over all candidates, or None."""
+    counts = tested.select(F.explode("__free").alias("c")).groupBy(_level(F.col("c.p")).alias("level")).count().collect()  # at most 15,001 rows
     total, seen, limit = sum(r["count"] for r in counts), 0, None
     for r in sorted(counts, key=lambda r: r["level"]):
         seen += r["count"]
         if 10 ** ((r["level"] + 1) / 50) <= fdr * seen / total:
             limit = r["level"]
-    passed = F.filter(F.col("__free"), lambda c: F.lit(False) if limit is None else F.floor(F.log10(F.greatest(c["p"], F.lit(1e-300))) * 50).cast("long") <= limit)
+    return limit
+
+
+def _found(limit: int | None) -> Column:
+    passed = F.filter(F.col("__free"), lambda c: F.lit(False) if limit is None else _level(c["p"]) <= limit)
     plain = F.transform(passed, lambda c: F.struct(c["start"].alias("start"), c["kind_no"].alias("kind_no"), c["end"].alias("end"), c["kind"].alias("kind"), c["m"].alias("m")))
-    return kept.select(F.col("__id").alias(doc_id), F.array_sort(F.concat("__base", plain)).alias("found"))
+    return F.array_sort(F.concat("__base", plain))
+
+
+def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", fdr: float = 0.01) -> DataFrame:
+    """One row per input row: the id and ``found``, an array of (start, kind_no, end, kind, m) sorted by start and kind.
+
+    Null text counts as empty; an empty table gives an empty result; repeated ids stay separate rows; other columns are
+    ignored. The fixed patterns decide alone about their spans. A candidate string that overlaps none of them is added
+    as kind ``random`` if the battery's p-value, weighted by length, passes the Benjamini-Hochberg threshold at ``fdr``
+    over all candidates of the table. The threshold comes from a histogram of p-values in steps of 1/50 of a decade,
+    so it needs no global sort.
+    """
+    kept = cut(_columns(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")), "__text").select("__id", "__base", "__free"))
+    return kept.select(F.col("__id").alias(doc_id), _found(_limit(kept, fdr)).alias("found"))
 
 
 def _line(found: Column) -> Column:
@@ -105,22 +122,19 @@ def report(found: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, *, mark: str = "[SECRET]", doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with every span of ``scan`` replaced by ``mark``; overlapping spans count as one. All columns and rows stay.
+def redact(docs: DataFrame, *, mark: str = "[SECRET]", text: str = "text", fdr: float = 0.01) -> DataFrame:
+    """``docs`` with every span that ``scan`` finds replaced by ``mark``; overlapping spans count as one. All rows and columns stay.
 
-    The spans come back to their texts by a row number that is fixed by writing the table first, so repeated and null
-    ids are safe.
+    The texts are read twice, once for the threshold and once to be rewritten in place, so no text is shuffled.
     """
-    row = "__row"
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = scan(numbered, doc_id=row, text=text, **options).where(F.size("found") > 0)
+    limit = _limit(cut(_columns(docs.select(F.col(text).alias("__text")), "__text").select("__free")), fdr)
     whole = F.col(text)
 
     def step(acc, x):
-        gap = F.when(x["start"] >= acc["pos"], F.concat(acc["out"], F.substring(whole, (acc["pos"] + 1).cast("int"), (x["start"] - acc["pos"]).cast("int")), F.lit(mark))).otherwise(acc["out"])
+        gap = F.when(x["start"] >= acc["pos"], F.concat(acc["out"], F.substr(whole, (acc["pos"] + 1).cast("int"), (x["start"] - acc["pos"]).cast("int")), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), gap.alias("out"))
 
     zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out"))
-    end = F.lit(2**31 - 1)
-    clean = F.when(F.col("found").isNotNull(), F.aggregate(F.col("found"), zero, step, lambda a: F.concat(a["out"], F.substring(whole, (a["pos"] + 1).cast("int"), end)))).otherwise(whole)
-    return numbered.join(found, row, "left").withColumn(text, clean).drop(row, "found")
+    df = _columns(docs, text).withColumn("__found", _found(limit))
+    clean = F.aggregate(F.col("__found"), zero, step, lambda a: F.concat(a["out"], F.substr(whole, (a["pos"] + 1).cast("int"))))
+    return df.withColumn(text, F.when(F.size("__found") > 0, clean).otherwise(whole)).select(*docs.columns)
