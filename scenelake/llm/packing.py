@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Stretches kept by a worker: when one generation is full, the one before it goes.
 _CACHE = 400_000
+_MARKS = ".,;:!?"
 _coders: dict[str, "Coder"] = {}
 
 
@@ -22,24 +24,67 @@ class Coder:
     """Token ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and lets no token reach across it, so a text is encoded stretch by stretch between
-    spaces and line feeds, and the ids of frequent stretches are kept.
+    spaces and line feeds, and the ids of frequent stretches are kept. A run of letters is one word of the tokenizer,
+    whose last token is marked as a word's end, so new runs of letters are encoded many at a time and told apart by
+    these marks; marks of punctuation after a run are a word of their own.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> dict[str, bytes]:
+        """The ids of runs of letters."""
+        out: dict[str, bytes] = {}
+        groups = [runs[i : i + 500] for i in range(0, len(runs), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group):  # a letter that becomes several signs in lower case
+                out.update(zip(group, self._each(group)))
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(group, (4 * cuts).tolist()):
+                out[w] = raw[at:end]
+                at = end
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        split, rest = [], []
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if core.isalpha():
+                split.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
+            else:
+                rest.append(w)
+        runs = self._runs(list({c for _, c, _ in split}))
+        for m in {m for _, _, m in split} - self.marks.keys():
+            self.marks[m] = self._each([m])[0]
+        for w, core, m in split:
+            self.kept[w] = runs[core] + self.marks[m]
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+        self.kept.update(zip(rest, self._each(rest)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
+        seen = set().union(*parts)
         if len(self.kept) > _CACHE:
-            self.kept.clear()
-        new = list({w for p in parts for w in p if w not in self.kept})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.kept[w] = np.array(e.ids, "<u4").tobytes()
+            self.kept, self.old = {}, self.kept
+        new = seen - self.kept.keys()
+        again = new & self.old.keys()
+        self.kept.update((w, self.old[w]) for w in again)
+        self._learn(new - again)
         get = self.kept.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
