@@ -1,6 +1,8 @@
-"""The registry of reference queries: name to function, and name to SQL."""
+"""All registered reference queries."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import mart_queries, motion_queries, record_queries  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
