@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
@@ -51,13 +53,14 @@ def permute_digits(kind: str, key: str, d: Column) -> Column:
     n = F.length(d)
     u = F.floor(n / 2).cast("int")
     p10 = lambda k: F.rpad(F.lit("1"), (k + 1).cast("int"), F.lit("0")).cast("long")
-    out = feistel(kind, key, F.substr(d, F.lit(1), u).cast("long"), F.substr(d, u + 1).cast("long"), p10(u), p10(n - u))
-    return F.concat(_pad(out["a"], u), _pad(out["b"], n - u))
+    halves = feistel(kind, key, F.substr(d, F.lit(1), u).cast("long"), F.substr(d, u + 1).cast("long"), p10(u), p10(n - u))
+    return let(halves, lambda h: F.concat(_pad(h["a"], u), _pad(h["b"], n - u)))
 
 
 def refill(m: Column, digits: Column) -> Column:
     """``m`` with its digits replaced, in order, by ``digits``."""
-    return F.array_join(F.transform(F.split(m, ""), lambda ch, i: F.when(ch.rlike("[0-9]"), F.substr(digits, F.length(_digits(F.substr(m, F.lit(1), i + 1))), F.lit(1))).otherwise(ch)), "")
+    one = lambda d: F.transform(F.split(m, ""), lambda ch, i: F.when(ch.rlike("[0-9]"), F.substr(d, F.length(_digits(F.substr(m, F.lit(1), i + 1))), F.lit(1))).otherwise(ch))
+    return let(digits, lambda d: F.array_join(one(d), ""))
 
 
 def luhn(d: Column) -> Column:
@@ -87,63 +90,70 @@ def valid(kind: str, m: Column) -> Column:
 
 def _letters(key: str, m: Column) -> Column:
     """Permutes the letters a mailbox has, up to 24 of them, as a number to base 26; case and place stay."""
-    low = F.lower(F.regexp_replace(m, "[^A-Za-z]", ""))
-    low = F.substr(low, F.lit(1), F.lit(24))
-    n = F.length(low)
-    u = F.floor(n / 2).cast("int")
     value = lambda s: F.aggregate(F.split(s, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise(a * 26 + F.ascii(c) - 97))
     power = lambda k: F.aggregate(F.array_repeat(F.lit(26), k), F.lit(1).cast("long"), lambda a, x: a * x)
-    out = feistel("mail", key, value(F.substr(low, F.lit(1), u)), value(F.substr(low, u + 1)), power(u), power(n - u))
 
     def text(v, width):
         back = F.aggregate(F.array_repeat(F.lit(0), width), F.struct(v.alias("v"), F.lit("").alias("s")), lambda a, _: F.struct(F.floor(a["v"] / 26).cast("long").alias("v"), F.concat(F.char(97 + a["v"] % 26), a["s"]).alias("s")))
         return back["s"]
 
-    fresh = F.concat(text(out["a"], u), text(out["b"], n - u))
+    def fresh(low):
+        n = F.length(low)
+        u = F.floor(n / 2).cast("int")
+        halves = feistel("mail", key, value(F.substr(low, F.lit(1), u)), value(F.substr(low, u + 1)), power(u), power(n - u))
+        return let(halves, lambda h: F.concat(text(h["a"], u), text(h["b"], n - u)))
 
-    def place(ch, i):
-        k = F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^A-Za-z]", ""))
-        c = F.when(k <= n, F.substr(fresh, k, F.lit(1))).otherwise(F.lower(ch))
-        return F.when(ch.rlike("[a-z]"), c).when(ch.rlike("[A-Z]"), F.upper(c)).otherwise(ch)
+    def placed(new):
+        def place(ch, i):
+            k = F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^A-Za-z]", ""))
+            c = F.when(k <= F.length(new), F.substr(new, k, F.lit(1))).otherwise(F.lower(ch))
+            return F.when(ch.rlike("[a-z]"), c).when(ch.rlike("[A-Z]"), F.upper(c)).otherwise(ch)
 
-    return F.array_join(F.transform(F.split(m, ""), place), "")
+        return F.array_join(F.transform(F.split(m, ""), place), "")
+
+    low = F.substr(F.lower(F.regexp_replace(m, "[^A-Za-z]", "")), F.lit(1), F.lit(24))
+    return let(let(low, fresh), placed)
 
 
 def pseudonym(kind: str, key: str, m: Column) -> Column:
     """The keyed stand-in for a valid match of a kind: equal matches have equal ones, and the format is the same."""
-    d = _digits(m)
     if kind == "ip":
-        o = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-        at = lambda i: F.get(o, F.lit(i))
-        out = feistel(kind, key, at(0) * 256 + at(1), at(2) * 256 + at(3), F.lit(65536), F.lit(65536))
         part = lambda x: F.concat_ws(".", F.floor(x / 256).cast("string"), (x % 256).cast("string"))
-        return F.concat_ws(".", part(out["a"]), part(out["b"]))
+        at = lambda o, i: F.get(o, F.lit(i))
+        halves = lambda o: feistel(kind, key, at(o, 0) * 256 + at(o, 1), at(o, 2) * 256 + at(o, 3), F.lit(65536), F.lit(65536))
+        octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
+        return let(let(octets, halves), lambda h: F.concat_ws(".", part(h["a"]), part(h["b"])))
     if kind == "date":
         day = F.datediff(F.try_to_date(m, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
-        out = feistel(kind, key, F.floor(day / SIDE), day % SIDE, F.lit(SIDE), F.lit(SIDE))
-        return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (out["a"] * SIDE + out["b"]).cast("int")), "yyyy-MM-dd")
-    if kind == "ssn":
-        # areas 001 to 665 with groups 01 to 99, against serials 0001 to 9999; areas 667 to 899 map among themselves
-        area = F.substr(d, F.lit(1), F.lit(3)).cast("long")
-        first = F.when(area < 666, 1).otherwise(667)
-        count = F.when(area < 666, 665).otherwise(233)
-        out = feistel(kind, key, (area - first) * 99 + F.substr(d, F.lit(4), F.lit(2)).cast("long") - 1, F.substr(d, F.lit(6)).cast("long") - 1, count * 99, F.lit(9999))
-        return F.concat_ws("-", _pad(first + F.floor(out["a"] / 99), F.lit(3)), _pad(out["a"] % 99 + 1, F.lit(2)), _pad(out["b"] + 1, F.lit(4)))
-    if kind == "phone":
-        # the last ten digits: area codes begin with 2 to 9
-        last = F.substr(d, F.length(d) - 9)
-        out = feistel(kind, key, F.substr(last, F.lit(1), F.lit(5)).cast("long") - 20000, F.substr(last, F.lit(6)).cast("long"), F.lit(80000), F.lit(100000))
-        return refill(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), (out["a"] + 20000).cast("string"), _pad(out["b"], F.lit(5))))
-    if kind == "card":
-        body = permute_digits(kind, key, F.substr(d, F.lit(1), F.length(d) - 1))
-        check = F.pmod(F.lit(10) - luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10))
-        return refill(m, F.concat(body, check.cast("string")))
+        halves = feistel(kind, key, F.floor(day / SIDE), day % SIDE, F.lit(SIDE), F.lit(SIDE))
+        return let(halves, lambda h: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (h["a"] * SIDE + h["b"]).cast("int")), "yyyy-MM-dd"))
     if kind == "email":
         box = F.substring_index(m, "@", 1)
-        digits = _digits(box)
-        named = _letters(key, box)
-        return F.concat(F.when(F.length(digits).between(2, 36), refill(named, permute_digits(kind, key, digits))).otherwise(named), F.lit("@"), F.substring_index(m, "@", -1))
-    raise ValueError(kind)
+
+        def numbered(named):
+            return let(_digits(box), lambda d: F.when(F.length(d).between(2, 36), refill(named, permute_digits(kind, key, d))).otherwise(named))
+
+        return F.concat(let(_letters(key, box), numbered), F.lit("@"), F.substring_index(m, "@", -1))
+
+    def by_digits(d):
+        if kind == "ssn":
+            # areas 001 to 665 with groups 01 to 99, against serials 0001 to 9999; areas 667 to 899 map among themselves
+            area = F.substr(d, F.lit(1), F.lit(3)).cast("long")
+            first = F.when(area < 666, 1).otherwise(667)
+            count = F.when(area < 666, 665).otherwise(233)
+            halves = feistel(kind, key, (area - first) * 99 + F.substr(d, F.lit(4), F.lit(2)).cast("long") - 1, F.substr(d, F.lit(6)).cast("long") - 1, count * 99, F.lit(9999))
+            return let(halves, lambda h: F.concat_ws("-", _pad(first + F.floor(h["a"] / 99), F.lit(3)), _pad(h["a"] % 99 + 1, F.lit(2)), _pad(h["b"] + 1, F.lit(4))))
+        if kind == "phone":
+            # the last ten digits: area codes begin with 2 to 9
+            last = F.substr(d, F.length(d) - 9)
+            halves = feistel(kind, key, F.substr(last, F.lit(1), F.lit(5)).cast("long") - 20000, F.substr(last, F.lit(6)).cast("long"), F.lit(80000), F.lit(100000))
+            return refill(m, let(halves, lambda h: F.concat(F.substr(d, F.lit(1), F.length(d) - 10), (h["a"] + 20000).cast("string"), _pad(h["b"], F.lit(5)))))
+        if kind == "card":
+            check = lambda body: F.pmod(F.lit(10) - luhn(F.concat(body, F.lit("0"))) % 10, F.lit(10))
+            return refill(m, let(permute_digits(kind, key, F.substr(d, F.lit(1), F.length(d) - 1)), lambda body: F.concat(body, check(body).cast("string"))))
+        raise ValueError(kind)
+
+    return let(_digits(m), by_digits)
 
 
 def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", out: str = "text") -> DataFrame:
