@@ -25,13 +25,14 @@ def fold(events: DataFrame, *, conv: str = "conv_id", seq: str = "seq", op: str
     Events apply in order of ``seq``; ties go by op, role and text. ``message`` begins a message, ``delta`` appends to the
     one last begun, ``regenerate`` empties that one and begins its text again, ``edit`` replaces the text of message number
     ``target`` (from 1; null: the one last begun). A delta before any message makes message 0; edits of messages that
-    never began are dropped, and so are unknown ops. Null text is empty, a null role is the empty role, a null
+    have not begun are dropped, and so are unknown ops. Null text is empty, a null role is the empty role, a null
     conversation is one of its own, a null seq comes first. Other columns are ignored.
     """
     df = events.select(F.col(conv).alias("__c"), F.col(seq).alias("__q"), F.col(op).alias("__o"), F.col(target).cast("long").alias("__g"), F.coalesce(F.col(role), F.lit("")).alias("__r"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
     df = df.where(F.col("__o").isin("message", "delta", "regenerate", "edit"))
     order = Window.partitionBy("__c").orderBy(F.col("__q").asc_nulls_first(), F.when(F.col("__o") == "message", 0).otherwise(1), "__o", "__r", "__t")
     df = df.withColumn("__n", F.row_number().over(order)).withColumn("__k", F.sum(F.when(F.col("__o") == "message", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    df = df.where((F.col("__o") != "edit") | F.col("__g").isNull() | F.col("__g").between(0, F.col("__k")))
     df = df.withColumn("__k", F.when(F.col("__o") == "edit", F.coalesce("__g", "__k")).otherwise(F.col("__k")))
     began = F.col("__o") != "delta"
     parts = F.array_sort(F.collect_list(F.struct("__n", "__t")))
