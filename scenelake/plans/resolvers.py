@@ -130,6 +130,10 @@ def _named(s: Scenes, name: str, rows: DataFrame, truth: str, others: DataFrame,
     return s.finish(_names(rows, others), name, labels, F.col(truth), attributes, frames)
 
 
+def _center() -> Column:
+    return F.col("obb.center")
+
+
 def _fixed_labels(s: Scenes, name: str, rows: DataFrame, truth: Column, values: list[str], attributes: dict[str, Column] | None = None, frames: DataFrame | None = None) -> DataFrame:
     from ..functions.hashing import shuffle
 
@@ -137,9 +141,6 @@ def _fixed_labels(s: Scenes, name: str, rows: DataFrame, truth: Column, values:
     return s.finish(rows, name, shuffle(F.array(*map(F.lit, values)), s.config.seed, F.lit(name), F.col("sim_id")), F.col("__v"), attributes, frames)
 
 
-_center = F.col("obb.center")
-
-
 # ---- space
 
 
@@ -155,7 +156,7 @@ def distance_ground(s: Scenes, name: str) -> DataFrame:
         raise ValueError("this resolver needs the scenes' point clouds")
     rows = _one(s, name, ALL)
     place = s.objects.select("sim_id", "scene").distinct()
-    points = rows.select("sim_id", "object_id", *[F.get(_center, F.lit(i)).alias(c) for i, c in enumerate("xyz")])
+    points = rows.select("sim_id", "object_id", *[F.get(_center(), F.lit(i)).alias(c) for i, c in enumerate("xyz")])
     gap = joins.cloud_distance(points, s.cloud.join(place, "scene").select("sim_id", "x", "y", "z"), ["sim_id"], "object_id", ("x", "y", "z"), 0.5)
     return _number(s, name, rows.join(gap, ["sim_id", "object_id"]), F.col("distance"), low=0.0)
 
@@ -166,13 +167,13 @@ def _with_camera(s: Scenes, rows: DataFrame) -> DataFrame:
 
 @resolver("F_DISTANCE_OBJECT_CAMERA_DISTANCE")
 def distance_camera(s: Scenes, name: str) -> DataFrame:
-    return _number(s, name, _with_camera(s, _one(s, name, ALL)), joins.distance(_center, F.col("camera.eye")), low=0.0)
+    return _number(s, name, _with_camera(s, _one(s, name, ALL)), joins.distance(_center(), F.col("camera.eye")), low=0.0)
 
 
 @resolver("F_CLOSEST_OBJECT_CAMERA")
 def closest_camera(s: Scenes, name: str) -> DataFrame:
     rows = s.at_step(s.ready(ALL, floor=2), name)
-    far = _with_camera(s, rows).withColumn("d", -joins.distance(_center, F.col("camera.eye")))
+    far = _with_camera(s, rows).withColumn("d", -joins.distance(_center(), F.col("camera.eye")))
     return _named(s, name, aggregates.best(far, ["sim_id", "step"], "d", ["name"], ["object_id"]), "name", rows)
 
 
@@ -180,7 +181,7 @@ def closest_camera(s: Scenes, name: str) -> DataFrame:
 def closest_object(s: Scenes, name: str) -> DataFrame:
     rows = s.at_step(s.ready(ALL, floor=2), name)
     asked = s.choose(rows, name).select("sim_id", "step", F.col("object_id").alias("o"), F.col("name").alias("asked"), F.col("obb").alias("box"))
-    near = rows.join(asked, ["sim_id", "step"]).where("object_id <> o").withColumn("d", joins.distance(_center, F.col("box.center")))
+    near = rows.join(asked, ["sim_id", "step"]).where("object_id <> o").withColumn("d", joins.distance(_center(), F.col("box.center")))
     got = aggregates.best(near, ["sim_id", "step", "asked"], "d", ["name"], ["object_id"], largest=False)
     return _named(s, name, got, "name", near, {"OBJECT": F.col("asked")})
 
@@ -236,7 +237,7 @@ def accel(s: Scenes, name: str) -> DataFrame:
 
 
 def _moving(s: Scenes) -> DataFrame:
-    rows = s.clip_runs(ALL, 16).withColumns({c: F.get(_center, F.lit(i)) for i, c in enumerate("xyz")})
+    rows = s.clip_runs(ALL, 16).withColumns({c: F.get(_center(), F.lit(i)) for i, c in enumerate("xyz")})
     return ordered.net_displacement(rows, ["sim_id", "object_id", "run"], "t", ["x", "y", "z"], 14)
 
 
