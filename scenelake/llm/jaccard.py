@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,14 +11,22 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import cut
 from .graph import components
 
-_WORD = re.compile(WORD)
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPARE = 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_words: dict[str, int] = {}
+
+
+class Words(dict):
+    """64-bit fingerprints of words; a bounded cache spares most of the hashing."""
+
+    def __missing__(self, w: bytes) -> int:
+        n = self[w] = xxhash.xxh3_64_intdigest(w)
+        return n
+
+
+_words = Words()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -28,21 +35,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word(w: str) -> int:
-    n = _words.get(w)
-    if n is None:
-        if len(_words) > 300_000:
-            _words.clear()
-        n = _words[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return n
-
-
 def shingles(text: str, width: int) -> np.ndarray:
     """The set of a text as sorted 64-bit fingerprints: all runs of ``width`` words, or the whole sequence if it is shorter."""
-    words = _WORD.findall(text.translate(_UPPER) if not text.isascii() else text.lower())
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word, words), np.uint64, len(words))
+    if len(_words) > 300_000:
+        _words.clear()
+    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     n = min(width, len(h))
     with np.errstate(over="ignore"):
         acc = np.full(len(h) - n + 1, n, np.uint64)
@@ -116,13 +116,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(judged, "a long, b long, ok boolean")
 
 
-def _derived(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """What members (lead, node, root) of the same lists can still link: links with their lead, and candidate pairs.
+def _derived(members: DataFrame, sets: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
+    """All links (a, b) once the members (lead, node) of lists with several classes are compared; ``tested`` has pairs (a, b, ok).
 
     A node's difference to its lead tells its relation to any other node of that lead: the symmetric difference of two
     nodes is that of their differences. As linked sets differ in at most D elements, nodes with differences of a and b
     elements share c = (a + b - D) / 2 of them, so with the rarest elements first they share one of the first a - c + 1
-    and b - c + 1, the earlier of these two places being at most D / 2. Only such pairs of different classes are given.
+    and b - c + 1, the earlier of these two places being at most D / 2. Only such pairs of different classes are tested:
+    first each node with the one nearest to the lead among those that share an element, which joins most classes by as
+    many tests as there are elements, then what is still apart.
     """
     left, right = sets.select(F.col("node").alias("lead"), F.col("s").alias("x")), sets.select("node", F.col("s").alias("y"))
 
@@ -136,24 +138,40 @@ def _derived(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[D
                 rows.append((den * both >= num * (both + len(d)), len(y), d.view(np.int64)))
             yield part.drop(columns=["x", "y"]).assign(**{c: [r[i] for r in rows] for i, c in enumerate(("ok", "size", "d"))})
 
-    joined = members.join(left, "lead").join(right, "node").select("lead", "node", "root", "x", "y")
-    rows = cut(joined.mapInPandas(differed, "lead long, node long, root long, ok boolean, size int, d array<long>"))
-    direct = rows.where("ok").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    joined = members.join(left, "lead").join(right, "node").select("lead", "node", "x", "y")
+    rows = cut(joined.mapInPandas(differed, "lead long, node long, ok boolean, size int, d array<long>"))
+    links = tested.where("ok").select("a", "b").unionByName(rows.where("ok").select(F.col("lead").alias("a"), F.col("node").alias("b")))
     each = rows.select("lead", "node", F.explode("d").alias("e"))
     often = each.groupBy("lead", "e").count().where("count > 1")
     ranked = each.join(often, ["lead", "e"]).groupBy("lead", "node").agg(F.array_sort(F.collect_list(F.struct("count", "e"))).alias("common"))
     # elements of no other difference come first and are never shared, so they only shift the places of the others
-    place = ranked.join(rows.select("lead", "node", "root", "size", F.size("d").alias("n")), ["lead", "node"])
-    place = place.select("lead", "node", "root", "size", "n", (F.col("n") - F.size("common")).alias("own"), F.posexplode("common").alias("i", "z"))
-    place = cut(place.select("lead", F.col("z.e").alias("e"), "node", "root", "size", "n", (F.col("own") + F.col("i")).alias("i")))
+    place = ranked.join(rows.select("lead", "node", "size", F.size("d").alias("n")), ["lead", "node"])
+    place = place.select("lead", "node", "size", "n", (F.col("n") - F.size("common")).alias("own"), F.posexplode("common").alias("i", "z"))
     bound = F.floor(F.col("size") * (1 + den / num) * (den - num) / (den + num))
-    early = place.where(F.col("i") <= bound / 2).select("lead", "e", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "n", "i")])
-    late = place.where(F.col("i") <= bound).select("lead", "e", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "n", "i")])
-    most = F.floor((F.col("size_a") + F.col("size_b")) * (den - num) / (den + num))
-    need = F.greatest(F.lit(1), F.ceil((F.col("n_a") + F.col("n_b") - most) / 2))
-    fits = (F.col("root_a") != F.col("root_b")) & (F.col("n_a") - F.col("i_a") >= need) & (F.col("n_b") - F.col("i_b") >= need)
-    pairs = early.join(late, ["lead", "e"]).where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    return direct, pairs
+    place = cut(place.select("lead", F.col("z.e").alias("e"), "node", "size", "n", (F.col("own") + F.col("i")).alias("i")).where(F.col("i") <= bound))
+    side = ("node", "root", "size", "n", "i")
+
+    def rooted() -> DataFrame:
+        return place.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs with columns *_a and *_b that may link and are of different classes, once each, tested."""
+        most = F.floor((F.col("size_a") + F.col("size_b")) * (den - num) / (den + num))
+        need = F.greatest(F.lit(1), F.ceil((F.col("n_a") + F.col("n_b") - most) / 2))
+        fits = (F.col("root_a") != F.col("root_b")) & (F.col("n_a") - F.col("i_a") >= need) & (F.col("n_b") - F.col("i_b") >= need)
+        new = pairs.where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        return cut(_verified(new.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, num, den))
+
+    named = cut(rooted())
+    hub = named.groupBy("lead", "e").agg(F.min_by(F.struct(*side), F.struct("n", "node")).alias("hub"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    near = named.join(hub, ["lead", "e"]).select(*[F.col(f"hub.{c}").alias(f"{c}_a") for c in side], *[F.col(c).alias(f"{c}_b") for c in side])
+    star = apart(near)
+    links = links.unionByName(star.where("ok").select("a", "b"))
+    tested = tested.unionByName(star)
+    named = rooted()
+    early = named.where(F.col("i") <= bound / 2).select("lead", "e", *[F.col(c).alias(f"{c}_a") for c in side])
+    late = named.select("lead", "e", *[F.col(c).alias(f"{c}_b") for c in side])
+    return links.unionByName(apart(early.join(late, ["lead", "e"])).where("ok").select("a", "b"))
 
 
 def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
@@ -168,39 +186,36 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
     Equal sets are one node, whatever their number. Index lists are keyed by blocks of positions, so a probe skips all
     of a list but the sets that agree with it in a whole block, and a passage that many texts share makes no long list.
     Each node is then compared with the few lead nodes it shares most blocks with, and what these have linked is taken
-    over. In lists that still hold several classes, pairs are found from each node's difference to the list's lead.
+    over. In lists that still hold several classes, pairs are found from the nodes' differences to the list's lead.
     """
     if not 0 < num <= den:
         raise ValueError("the similarity must be over 0 and at most 1")
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def named(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            sets = [shingles(t, width) for t in part["t"]]
-            yield pd.DataFrame({"id": part["id"], "n": [len(s) for s in sets], "node": [_digest(s) for s in sets]})
-
-    def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()  # equal sets that one task meets are written once, so copies do not swell a list
+        seen: set[int] = set()  # equal sets that one task meets have keys once, so copies do not swell a list
         for part in parts:
             for i in range(0, len(part), 500):
-                nodes, keys = [], []
+                sizes, nodes, keys = [], [], []
                 for t in part["t"].iloc[i : i + 500]:
                     s = shingles(t, width)
                     node = _digest(s)
+                    sizes.append(len(s))
+                    nodes.append(node)
                     if len(s) and node not in seen:
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(node)
-                        k = block_keys(s, num, den).view(np.int64)
-                        nodes.append(np.full(len(k), node))
-                        keys.append(k)
-                if nodes:
-                    yield pd.DataFrame({"node": np.concatenate(nodes), "key": np.concatenate(keys)})
+                        keys.append(block_keys(s, num, den).view(np.int64))
+                    else:
+                        keys.append(None)
+                yield pd.DataFrame({"id": part["id"].iloc[i : i + 500].to_numpy(), "n": sizes, "node": nodes, "keys": keys})
 
     source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = cut(source.mapInPandas(named, f"id {kind}, n long, node long"))
+    rows = cut(source.mapInPandas(named, f"id {kind}, n long, node long, keys array<long>"))
+    keys = rows.select("node", F.explode("keys").alias("key"))
+    rows = rows.select("id", "n", "node")
     groups = cut(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("low")))
-    keys = source.select("t").mapInPandas(keyed, "node long, key long")
     by_key = Window.partitionBy("key")
     shared = cut(keys.withColumn("lead", F.min("node").over(by_key)).withColumn("last", F.max("node").over(by_key)).where("lead <> last").select("key", "node", "lead"))
 
@@ -226,11 +241,8 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
     roots = components(tested.where("ok").select("a", "b"))
     named_keys = shared.join(roots, "node", "left").select("key", "node", "lead", F.coalesce("root", "node").alias("root"))
     open_keys = named_keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    members = named_keys.join(open_keys, "key", "left_semi").where("node <> lead").select("lead", "node", "root").distinct()
-    direct, derived = _derived(members, sets, num, den)
-    derived = derived.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    links = tested.where("ok").select("a", "b").unionByName(direct).unionByName(_verified(derived, sets, num, den).where("ok").select("a", "b"))
-    roots = components(links)
+    members = named_keys.join(open_keys, "key", "left_semi").where("node <> lead").select("lead", "node").distinct()
+    roots = components(_derived(members, sets, tested, num, den))
     classes = groups.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     out = rows.join(classes.join(least, "root").select("node", "component_id"), "node", "left")
