@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from .common import cut
 from .graph import components
 
-_SPARE = 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -61,12 +61,27 @@ def levels(num: int, den: int, top: int) -> tuple[int, ...]:
     return tuple(out)
 
 
+@lru_cache(maxsize=4096)
+def blocks(num: int, den: int, least: int, most: int) -> tuple[int, int]:
+    """How many elements sets of at most ``most`` elements that link differ in, and how many blocks more than that a level has.
+
+    With s of these, a set with fewer than s empty blocks shares one that is not empty with any set it links with. So s
+    is four deviations over the empty blocks that the smallest sets of the level, of ``least`` elements, may have.
+    """
+    differ, spare = 2 * most * (den - num) // (den + num), 2
+    for _ in range(4):
+        m = differ + spare
+        empty = m * math.exp(-least / m)
+        spare = max(2, min(differ + 1, math.ceil(1 + empty + 4 * math.sqrt(empty))))
+    return differ, spare
+
+
 def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of a set's blocks: two sets that link share one.
 
     Fingerprints in order fill m blocks of equal ranges. Two sets of a level differ in at most D elements; with
-    m = D + 2 blocks two blocks agree, of which a set with at most one empty block has one that is not empty. So empty
-    blocks are left out, but for sets with more of them. A set enters its own size level and the next.
+    m = D + s blocks s of them agree, of which a set with fewer than s empty blocks has one that is not empty. So empty
+    blocks are left out, but for the very few sets with more of them. A set enters its own size level and the next.
     """
     n = len(s)
     top = 1 << max(8, n.bit_length())
@@ -76,16 +91,15 @@ def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         mixed = _mix(s * _C + _A)
         for level in (own, own + 1):
-            most = first[level + 1] - 1
-            differ = 2 * most * (den - num) // (den + num)
+            differ, spare = blocks(num, den, first[max(0, level - 1)], first[level + 1] - 1)
             if not differ:
                 continue
-            m = differ + 1 + _SPARE
+            m = differ + spare
             block = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             sums = np.add.reduceat(mixed, starts)
             which = block[starts]
-            if m - len(starts) > _SPARE:
+            if m - len(starts) >= spare:
                 full, which = np.zeros(m, np.uint64), np.arange(m, dtype=np.uint64)
                 full[block[starts]] = sums
                 sums = full
@@ -174,7 +188,7 @@ def _derived(members: DataFrame, sets: DataFrame, tested: DataFrame, num: int, d
     return links.unionByName(apart(early.join(late, ["lead", "e"])).where("ok").select("a", "b"))
 
 
-def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
+def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", short_list: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
     """Links texts whose word-shingle sets have Jaccard similarity num / den or more; exact up to 64-bit fingerprints
     of shingles and sets.
 
@@ -186,7 +200,9 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
     Equal sets are one node, whatever their number. Index lists are keyed by blocks of positions, so a probe skips all
     of a list but the sets that agree with it in a whole block, and a passage that many texts share makes no long list.
     Each node is then compared with the few lead nodes it shares most blocks with, and what these have linked is taken
-    over. In lists that still hold several classes, pairs are found from the nodes' differences to the list's lead.
+    over; in lists that still hold several classes, twice with the root of the list's smallest class. In lists that are
+    still open, pairs of different classes are tested, where the list has more than ``short_list`` nodes by way of the
+    nodes' differences to that root.
     """
     if not 0 < num <= den:
         raise ValueError("the similarity must be over 0 and at most 1")
@@ -238,10 +254,20 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
     best = Window.partitionBy("node").orderBy(F.desc("count"), "lead")
     pairs = pairs.withColumn("k", F.row_number().over(best)).where("k <= 3").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     tested = cut(_verified(pairs, sets, num, den))
-    roots = components(tested.where("ok").select("a", "b"))
-    named_keys = shared.join(roots, "node", "left").select("key", "node", "lead", F.coalesce("root", "node").alias("root"))
-    open_keys = named_keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    members = named_keys.join(open_keys, "key", "left_semi").where("node <> lead").select("lead", "node").distinct()
+    open_keys = shared.select("key", "node")
+    for last in (False, False, True):  # lists with several classes: their nodes against the root of the smallest class
+        named_keys = open_keys.join(components(tested.where("ok").select("a", "b")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = named_keys.groupBy("key").agg(F.min("root").alias("lead"), F.max("root").alias("other"), F.count(F.lit(1)).alias("size")).where("lead <> other").select("key", "lead", "size")
+        open_keys = cut(named_keys.join(several, "key").select("key", "node", "root", "lead", "size"))
+        if not last:
+            new = open_keys.where("root <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+            tested = tested.unionByName(cut(_verified(new.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, num, den)))
+            open_keys = open_keys.select("key", "node")
+    short = open_keys.where(F.col("size") <= short_list)
+    pairs = short.select("key", F.col("node").alias("a"), F.col("root").alias("x")).join(short.select("key", F.col("node").alias("b"), F.col("root").alias("y")), "key").where("a < b and x <> y")
+    pairs = pairs.select("a", "b").distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    tested = tested.unionByName(cut(_verified(pairs, sets, num, den)))
+    members = open_keys.where((F.col("size") > short_list) & (F.col("node") != F.col("lead"))).select("lead", "node").distinct()
     roots = components(_derived(members, sets, tested, num, den))
     classes = groups.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
