@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, delete
 from .graph import components
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -76,18 +76,19 @@ def blocks(num: int, den: int, least: int, most: int) -> tuple[int, int]:
     return differ, spare
 
 
-def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of a set's blocks: two sets that link share one.
+def block_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Keys of a set's blocks, and how many of them it shares at least with any set that it links with.
 
     Fingerprints in order fill m blocks of equal ranges. Two sets of a level differ in at most D elements; with
     m = D + s blocks s of them agree, of which a set with fewer than s empty blocks has one that is not empty. So empty
     blocks are left out, but for the very few sets with more of them. A set enters its own size level and the next.
+    What a set shares with one that it links with is at least s blocks less its own empty ones.
     """
     n = len(s)
     top = 1 << max(8, n.bit_length())
     first = levels(num, den, top)
     own = int(np.searchsorted(first, n, side="right")) - 1
-    out = []
+    out, need = [], n + 1
     with np.errstate(over="ignore"):
         mixed = _mix(s * _C + _A)
         for level in (own, own + 1):
@@ -99,18 +100,25 @@ def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
             starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             sums = np.add.reduceat(mixed, starts)
             which = block[starts]
+            need = min(need, max(1, spare - (m - len(starts))))
             if m - len(starts) >= spare:
                 full, which = np.zeros(m, np.uint64), np.arange(m, dtype=np.uint64)
                 full[block[starts]] = sums
                 sums = full
             out.append(_mix(_mix(sums + np.uint64(level) * _A) + which * _B))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return (np.concatenate(out), need) if out else (np.zeros(0, np.uint64), 1)
 
 
 def _digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def _of(rows: DataFrame, wanted: DataFrame, key: str, most: int = 500_000) -> DataFrame:
+    """The rows whose key is wanted; up to ``most`` keys, of 8 bytes each, are broadcast, so that no row is shuffled to be dropped."""
+    wanted = cut(wanted)
+    return rows.join(F.broadcast(wanted) if wanted.count() <= most else wanted, key, "left_semi")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) with column ``ok``: whether den * intersection >= num * union."""
 
@@ -125,6 +133,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield pd.DataFrame({"a": part["a"], "b": part["b"], "ok": ok})
 
+    sets = _of(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
     left = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(judged, "a long, b long, ok boolean")
@@ -200,8 +209,8 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
     Equal sets are one node, whatever their number. Index lists are keyed by blocks of positions, so a probe skips all
     of a list but the sets that agree with it in a whole block, and a passage that many texts share makes no long list.
     Each node is then compared with the few lead nodes it shares most blocks with, and what these have linked is taken
-    over; in lists that still hold several classes, twice with the root of the list's smallest class. In lists that are
-    still open, pairs of different classes are tested, where the list has more than ``short_list`` nodes by way of the
+    over; in lists that still hold several classes, twice with the root of the list's smallest class. Nodes with fewer
+    open lists than a link implies leave them. In lists that are still open, pairs of different classes are tested, where the list has more than ``short_list`` nodes by way of the
     nodes' differences to that root.
     """
     if not 0 < num <= den:
@@ -212,7 +221,7 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
         seen: set[int] = set()  # equal sets that one task meets have keys once, so copies do not swell a list
         for part in parts:
             for i in range(0, len(part), 500):
-                sizes, nodes, keys = [], [], []
+                sizes, nodes, keys, needs = [], [], [], []
                 for t in part["t"].iloc[i : i + 500]:
                     s = shingles(t, width)
                     node = _digest(s)
@@ -222,18 +231,22 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(node)
-                        keys.append(block_keys(s, num, den).view(np.int64))
+                        k, need = block_keys(s, num, den)
+                        keys.append(k.view(np.int64))
+                        needs.append(need)
                     else:
                         keys.append(None)
-                yield pd.DataFrame({"id": part["id"].iloc[i : i + 500].to_numpy(), "n": sizes, "node": nodes, "keys": keys})
+                        needs.append(0)
+                yield pd.DataFrame({"id": part["id"].iloc[i : i + 500].to_numpy(), "n": sizes, "node": nodes, "need": needs, "keys": keys})
 
     source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = cut(source.mapInPandas(named, f"id {kind}, n long, node long, keys array<long>"))
-    keys = rows.select("node", F.explode("keys").alias("key"))
-    rows = rows.select("id", "n", "node")
-    groups = cut(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("low")))
+    keyed = cut(source.mapInPandas(named, f"id {kind}, n long, node long, need int, keys array<long>"))
+    keys = keyed.select("node", F.explode("keys").alias("key"))
+    rows = cut(keyed.select("id", "n", "node"))
+    groups = cut(keyed.where("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.max("need").alias("need")))
     by_key = Window.partitionBy("key")
     shared = cut(keys.withColumn("lead", F.min("node").over(by_key)).withColumn("last", F.max("node").over(by_key)).where("lead <> last").select("key", "node", "lead"))
+    delete(keyed)
 
     # the sets of nodes in shared blocks, found again from the texts
     wanted = cut(shared.select("node").distinct().join(groups, "node"))
@@ -254,15 +267,21 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
     best = Window.partitionBy("node").orderBy(F.desc("count"), "lead")
     pairs = pairs.withColumn("k", F.row_number().over(best)).where("k <= 3").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     tested = cut(_verified(pairs, sets, num, den))
-    open_keys = shared.select("key", "node")
-    for last in (False, False, True):  # lists with several classes: their nodes against the root of the smallest class
-        named_keys = open_keys.join(components(tested.where("ok").select("a", "b")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def opened(named_keys: DataFrame) -> DataFrame:
         several = named_keys.groupBy("key").agg(F.min("root").alias("lead"), F.max("root").alias("other"), F.count(F.lit(1)).alias("size")).where("lead <> other").select("key", "lead", "size")
-        open_keys = cut(named_keys.join(several, "key").select("key", "node", "root", "lead", "size"))
+        return cut(named_keys.join(several, "key").select("key", "node", "root", "lead", "size"))
+
+    open_keys = shared
+    for last in (False, False, True):  # lists with several classes: their nodes against the root of the smallest class
+        every = opened(open_keys.select("key", "node").join(components(tested.where("ok").select("a", "b")), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        delete(open_keys)
+        enough = every.groupBy("node").count().join(groups.select("node", "need"), "node").where("count >= need")  # others have no link left
+        open_keys = opened(every.select("key", "node", "root").join(enough, "node", "left_semi"))
+        delete(every)
         if not last:
             new = open_keys.where("root <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
             tested = tested.unionByName(cut(_verified(new.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, num, den)))
-            open_keys = open_keys.select("key", "node")
     short = open_keys.where(F.col("size") <= short_list)
     pairs = short.select("key", F.col("node").alias("a"), F.col("root").alias("x")).join(short.select("key", F.col("node").alias("b"), F.col("root").alias("y")), "key").where("a < b and x <> y")
     pairs = pairs.select("a", "b").distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
