@@ -118,6 +118,28 @@ def test_pseudonymise_replaces_valid_values_only_and_links_equal_ones(spark):
     assert pii.pseudonymise(docs.where("false"), key="k").count() == 0
 
 
+def test_cards_beside_other_numbers_are_replaced(spark):
+    card, other = "4111 1111 1111 1111", "378282246310005"
+    texts = [
+        f"{card} 12/27", f"{card} 123", f"7 {card}", f"2024 {card}", f"12 {card} 12/27", f"{card} {other}", f"7 {other}-{card} 99", f"123456 {card}", "9 4111-1111-1111-1111",
+        f"7 2024-01-02 {card}", f"{card} 2024-01-02 5", f"1 {other} 123-45-6789 22", f"{card} 10.20.30.40", f"{card} 5ab@example.com", f"3 {card} 415-555-1234", f"{card} 12.50",
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymise(make(spark, list(enumerate(texts))), key="k").collect()}
+    kept = ("2024-01-02", "123-45-6789", "10.20.30.40", "415-555-1234", "5ab@")
+    for i, text in enumerate(texts):
+        old = [x.old for x in got[i].pii]
+        for want in (card, other, card.replace(" ", "-")):
+            assert (want in text) == (want in old) and want not in got[i].text
+        assert not any(x in got[i].text for x in kept)
+        assert all(luhn(re.sub(r"[^0-9]", "", x.new)) for x in got[i].pii if x.kind == "card")
+        back = text
+        for x in got[i].pii:
+            back = back.replace(x.old, x.new, 1)
+        assert back == got[i].text and re.sub("[0-9]", "0", re.sub("[a-z]", "a", back)) == re.sub("[0-9]", "0", re.sub("[a-z]", "a", text)) or "." in text
+    long = make(spark, [(1, "0 " * 20_000 + card + " 3"), (2, "1234567 " * 3 + "00"), (3, "12 2024-01-02- 4111 1111 1111 1112")])
+    assert {r.doc_id: card in r.text for r in pii.pseudonymise(long, key="k").collect()} == {1: False, 2: False, 3: False}
+
+
 # 3
 
 
