@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, delete
 
 #: The end of a text as a word: it holds a space, so it is none of a text's own.
 END = " "
@@ -93,6 +93,112 @@ def bigrams(texts: DataFrame, clustered: list[str]) -> DataFrame:
     return texts.mapInPandas(counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+class Numbers(dict):
+    """Numbers of words: those held come first, any other gets the next number."""
+
+    def __missing__(self, w: bytes) -> int:
+        n = self[w] = len(self)
+        return n
+
+
+def links(texts: DataFrame, held: list[tuple[str, int]], first: int, *, pairs: bool) -> DataFrame:
+    """(f, a, f2, b, n): how often class b follows class a in all texts, summed by each task over stretches of its texts.
+
+    Words of ``held``, END first, have their class there. Of any other word the fingerprint is told in f (first of the two) or
+    f2 (second), with its shape class; without ``pairs`` two such words that meet make two rows, each telling one of them.
+    """
+    known = texts.sparkSession.sparkContext.broadcast(held)  # a parameter's worth of words
+    width = first + SHAPES
+
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = {w.encode("utf-8", "surrogatepass"): i for i, (w, _) in enumerate(known.value)}
+        size, classes = len(base), [c for _, c in known.value]
+
+        def frame(flat, ids):
+            new = list(ids)[size:]
+            cls = np.array(classes + [first + shape(w.decode("utf-8", "surrogatepass")) for w in new], np.int64)
+            code = np.concatenate([np.zeros(size, np.uint64), np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)]).view(np.int64)
+            x, out = np.array(flat, np.int64), []
+            x, y = x[:-1], x[1:]
+            p, q = x >= size, y >= size
+
+            def rows(u, v, one, two):
+                """Sums over u (number or class) and v; ``one`` and ``two`` say which of them are numbers."""
+                wide = len(ids) if two else width
+                k, n = np.unique(u * wide + v, return_counts=True)
+                u, v, none = k // wide, k % wide, np.full(len(k), None)
+                out.append(pd.DataFrame({"f": pd.array(code[u], "Int64") if one else none, "a": cls[u] if one else u, "f2": pd.array(code[v], "Int64") if two else none, "b": cls[v] if two else v, "n": n}).astype({"f": "Int64", "f2": "Int64"}))
+
+            rows(cls[x[~p & ~q]], cls[y[~p & ~q]], False, False)
+            both = p & q
+            left, right = (p & ~q, q & ~p) if pairs else (p, q)
+            rows(x[left], cls[y[left]], True, False)
+            rows(cls[x[right]], y[right], False, True)
+            if pairs:
+                rows(x[both], y[both], True, True)
+            return pd.concat(out)
+
+        for part in parts:
+            flat, ids = [0], Numbers(base)
+            for i, t in enumerate(part["t"], 1):
+                flat.extend(map(ids.__getitem__, words(t)))
+                flat.append(0)
+                if len(flat) > 1_000_000 or i == len(part):
+                    yield frame(flat, ids)
+                    flat, ids = [0], Numbers(base)
+
+    return texts.mapInPandas(counted, "f long, a int, f2 long, b int, n long")
+
+
+def assign(contexts: DataFrame, g: np.ndarray, classes: int, least: int, rounds: int = 3) -> DataFrame:
+    """(f, h, c): the class and count of every word of ``contexts``, as ``links`` gives them without pairs, that occurs ``least`` times or more.
+
+    ``g`` holds the bigrams of the clustered core, to which each word is added: in each round every word moves to the class
+    that raises the likelihood of the words' neighbours by class most, given the classes of all words after the last round.
+    """
+    k = len(g)
+    one = lambda f, d: contexts.where(f"{f} is not null").select(F.col(f).alias("f"), d.alias("d"), "n")
+    both = one("f", F.col("b")).unionAll(one("f2", F.col("a") + k)).repartition("f")
+    sums = both.groupBy("f", "d").agg(F.sum("n").alias("n")).groupBy("f").agg(F.collect_list("d").alias("d"), F.collect_list("n").alias("n"), F.sum(F.when(F.col("d") < k, F.col("n"))).alias("c"))
+    at = cut(sums.where(F.col("c") >= least).withColumn("h", F.lit(0)))
+    core = np.concatenate([g[1 : classes + 1], g[:, 1 : classes + 1].T], axis=1)
+    d, total = core, core[:, :k].sum(1)
+    for _ in range(rounds):
+
+        def moved(parts: Iterator[pd.DataFrame], d=d, total=total) -> Iterator[pd.DataFrame]:
+            fd, ft, got = _f(d), _f(total), np.zeros((classes, 2 * k))
+            for part in parts:
+                best = []
+                for i in range(0, len(part), 500):
+                    some = part[i : i + 500]
+                    sizes = some["d"].map(len).to_numpy()
+                    e, n = np.concatenate(some["d"].to_list()), np.concatenate(some["n"].to_list()).astype(np.float64)
+                    c, old = some["c"].to_numpy(np.float64), some["h"].to_numpy(np.int64) - 1
+                    gain = _f(d.T[e] + n[:, None]) - fd.T[e]
+                    base = _f(total + c[:, None]) - ft
+                    of = np.repeat(old, sizes)
+                    own, mine = np.flatnonzero(of >= 0), np.flatnonzero(old >= 0)
+                    gain[own, of[own]] = fd[of[own], e[own]] - _f(d[of[own], e[own]] - n[own])
+                    base[mine, old[mine]] = ft[old[mine]] - _f(total[old[mine]] - c[mine])
+                    new = (np.add.reduceat(gain, np.cumsum(sizes) - sizes, axis=0) - 2 * base).argmax(1)
+                    np.add.at(got, (np.repeat(new, sizes), e), n)
+                    best.append(new + 1)
+                if best:
+                    yield part.assign(h=np.concatenate(best))
+            h, e = np.nonzero(got)
+            if len(h):
+                yield pd.DataFrame({"f": pd.array([None], "Int64"), "d": [(h * 2 * k + e).tolist()], "n": [got[h, e].astype(np.int64).tolist()], "c": [0], "h": [0]})
+
+        out = cut(at.mapInPandas(moved, "f long, d array<int>, n array<long>, c long, h int"))
+        d = core.copy()
+        for r in out.where("f is null").select(F.explode(F.arrays_zip("d", "n")).alias("z")).groupBy("z.d").agg(F.sum("z.n").alias("n")).collect():  # at most classes x 2 k rows
+            d[r["d"] // (2 * k), r["d"] % (2 * k)] += r["n"]
+        total = d[:, :k].sum(1)
+        delete(at)
+        at = out.where("f is not null")
+    return at.select("f", "h", "c")
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-12))
 
@@ -146,7 +252,7 @@ def exchange(n: np.ndarray, clustered: int, classes: int, rounds: int = 12) -> n
 
 @dataclass
 class Model:
-    """``lexicon``: the most frequent words with counts and classes; ``logt``: log10 of transitions; the rest is for rarer words."""
+    """``lexicon``: the most frequent words with counts and classes; ``logt``: log10 of transitions; shapes are for words without a learned class."""
 
     lexicon: list[tuple[str, int, int]]  # word, count, class; END is first
     logt: np.ndarray
@@ -159,10 +265,11 @@ class Model:
     discount: float = 0.6
 
 
-def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon: int = 50_000) -> tuple[Model, DataFrame]:
-    """Learns from all texts of column t: the model, and the table (word, c) of all counts.
+def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon: int = 50_000, least_count: int = 10) -> tuple[Model, DataFrame]:
+    """Learns from all texts of column t: the model, and the table (word, c, f, h) of all counts, fingerprints and learned classes.
 
-    ``clustered`` words are clustered into ``classes``; all others have one class for each shape. The most
+    ``clustered`` words are clustered into ``classes`` by exchange. Every other word that occurs ``least_count`` times or
+    more then moves to the class that suits its neighbours best; rarer ones have one class for each shape. The most
     frequent words, at most ``lexicon``, travel with the model. These are the model's size; every count behind it covers the whole corpus.
     """
     table = cut(counts(texts))
@@ -195,20 +302,42 @@ def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon:
     k = classes + 1 + SHAPES
     label = np.array(got[0]["label"]) if got else np.concatenate([[0], 1 + np.arange(len(own) - 1) % classes, classes + 1 + np.arange(SHAPES)])
     g = np.array(got[0]["g"]).reshape(k, k) if got else np.zeros((k, k))
+    core = [(w, int(label[i])) for i, w in enumerate(own)]
+    learned = assign(links(texts, core, classes + 1, pairs=False), g, classes, least_count)
+    code = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)).view(np.int64))
+    others = {code(w): w for w, _ in top[len(own) - 1 :]}
+    wanted = F.broadcast(texts.sparkSession.createDataFrame([(f,) for f in others], "f long"))  # at most ``lexicon`` words
+    class_of = dict(core) | {others[r["f"]]: r["h"] for r in learned.join(wanted, "f").select("f", "h").collect()}
+    words_ = [(END, int(ends), 0)]
+    words_ += [(w, int(c), class_of.get(w, classes + 1 + shape(w))) for w, c in top]
+    # transitions between the classes of all words: those outside the lexicon are joined by fingerprint
+    met = cut(links(texts, [(w, h) for w, _, h in words_], classes + 1, pairs=True).groupBy("f", "a", "f2", "b").agg(F.sum("n").alias("n")))
+    first = learned.select("f", F.col("h").alias("h1"))
+    second = learned.select(F.col("f").alias("f2"), F.col("h").alias("h2"))
+    sides = [met.where("f is null and f2 is null").select("a", "b", "n")]
+    sides.append(met.where("f is not null and f2 is null").join(first, "f", "left").select(F.coalesce("h1", "a").alias("a"), "b", "n"))
+    sides.append(met.where("f is null and f2 is not null").join(second, "f2", "left").select("a", F.coalesce("h2", "b").alias("b"), "n"))
+    sides.append(met.where("f is not null and f2 is not null").join(first, "f", "left").join(second, "f2", "left").select(F.coalesce("h1", "a").alias("a"), F.coalesce("h2", "b").alias("b"), "n"))
+    g = np.zeros((k, k))
+    for side in sides:
+        for r in side.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most k squared rows
+            g[r["a"], r["b"]] += r["n"]
+    delete(met)
     # Witten-Bell interpolation with the unigram of classes
     follow, kinds = g.sum(1), (g > 0).sum(1)
     unigram = (g.sum(0) + 1) / (g.sum() + k)
     part = np.divide(follow, follow + kinds, out=np.zeros(k), where=follow + kinds > 0)
     logt = np.log10(part[:, None] * np.divide(g, follow[:, None], out=np.zeros_like(g), where=follow[:, None] > 0) + (1 - part[:, None]) * unigram)
-    words_ = [(END, int(ends), 0)]
-    words_ += [(w, int(c), int(label[i + 1]) if i + 1 < len(own) else classes + 1 + shape(w)) for i, (w, c) in enumerate(top)]
     class_total = np.zeros(classes + 1)
     for _, c, h in words_[: len(own)]:
         class_total[h] += c
-    rare = table.join(F.broadcast(texts.sparkSession.createDataFrame([(w,) for w in own], "word string")), "word", "left_anti")  # ``clustered`` words
+    for r in learned.groupBy("h").agg(F.sum("c").alias("c")).collect():  # ``classes`` rows
+        class_total[r["h"]] += r["c"]
+    rare = table.where(F.col("c") < least_count).join(F.broadcast(texts.sparkSession.createDataFrame([(w,) for w in own], "word string")), "word", "left_anti")  # ``clustered`` words
     shape_total, shape_types = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in rare.groupBy(shape_column(F.col("word")).alias("s")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # SHAPES rows
         shape_total[r["s"]], shape_types[r["s"]] = r["c"], r["v"]
+    table = table.withColumn("f", F.xxhash64("word")).join(learned.select("f", "h"), "f", "left").select("word", "c", "f", "h")
     return Model(words_, logt, class_total, shape_total, shape_types, classes + 1, int(tokens), int(types)), table
 
 
@@ -223,8 +352,8 @@ def score(docs: DataFrame, model: Model, table: DataFrame, *, doc_id: str = "doc
     """One row per input row: the id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` and ``perplexity``.
 
     Null text counts as empty, which is one end. Repeated rows and ids are scored each by itself; other columns are
-    ignored. Words outside the lexicon are looked up in ``table`` by a join on 64-bit fingerprints, so the vocabulary
-    is never broadcast. The model is a distribution over words with one unknown word for each shape.
+    ignored. Counts and classes of words outside the lexicon are looked up in ``table`` by a join on 64-bit fingerprints, so the
+    vocabulary is never broadcast. The model is a distribution over words with one unknown word for each shape.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # bounded by the model's parameters
@@ -248,30 +377,36 @@ def score(docs: DataFrame, model: Model, table: DataFrame, *, doc_id: str = "doc
                 ws = words(t)
                 i = np.fromiter(map(at.get, ws, repeat(-1)), np.int64, len(ws))
                 cls = h[i]
-                rare: Counter = Counter()
-                for k in np.flatnonzero(i < 0).tolist():
-                    w = ws[k]
-                    s = shape(w.decode("utf-8", "surrogatepass"))
-                    cls[k] = m.first_shape + s
-                    rare[(xxhash.xxh64_intdigest(w, 42), s)] += 1
-                i, cls = np.concatenate([i[i >= 0], end]), np.concatenate([end, cls, end])
-                rare_rows = [(f - (1 << 64) if f >> 63 else f, s, n) for (f, s), n in rare.items()]
-                rows.append((len(ws) + 1, int(known[i].sum()), float(base[i].sum()), float(emit[i].sum() + m.logt[cls[:-1], cls[1:]].sum()), [x[0] for x in rare_rows], [x[1] for x in rare_rows], [x[2] for x in rare_rows]))
-            yield pd.DataFrame({"id": part["id"]} | {name: [r[i] for r in rows] for i, name in enumerate(("n", "known", "base", "score", "f", "s", "k"))})
+                far = np.flatnonzero(i < 0)
+                codes = np.array([xxhash.xxh64_intdigest(ws[k], 42) for k in far.tolist()], np.uint64).view(np.int64)
+                shapes = np.array([shape(ws[k].decode("utf-8", "surrogatepass")) for k in far.tolist()], np.int64)
+                # classes with ends; -1 for a word to be joined, whose transitions are scored after that
+                cls[far] = -1
+                cls, i = np.concatenate([end, cls, end]), np.concatenate([i[i >= 0], end])
+                one, two = cls[:-1], cls[1:]
+                near = (one >= 0) & (two >= 0)
+                rows.append((len(ws) + 1, int(known[i].sum()), float(base[i].sum()), float(emit[i].sum() + m.logt[one[near], two[near]].sum()), codes, shapes, cls[far], cls[far + 2]))
+            yield pd.DataFrame({"id": part["id"]} | {name: [r[i] for r in rows] for i, name in enumerate(("n", "known", "base", "score", "f", "s", "l", "r"))})
 
     source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    schema = f"id {kind}, n long, known long, base double, score double, f array<long>, s array<int>, k array<int>"
+    schema = f"id {kind}, n long, known long, base double, score double, f array<long>, s array<int>, l array<int>, r array<int>"
     scored = cut(source.mapInPandas(local, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode(F.arrays_zip("f", "s", "k")).alias("z")).select("row", "z.f", "z.s", "z.k")
-    rare = rare.join(table.select(F.xxhash64("word").alias("f"), "c"), "f", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    shapes = lambda x: F.element_at(F.array(*[F.lit(float(v)) for v in x]), F.col("s") + 1)
-    total, types = shapes(model.shape_total), shapes(model.shape_types)
-    p = F.when(F.col("c") > 0, F.col("c") - model.discount).otherwise(F.when(types > 0, types * model.discount).otherwise(1.0)) / F.when(total > 0, total).otherwise(1.0)
+    rare = scored.select("row", F.posexplode(F.arrays_zip("f", "s", "l", "r")).alias("i", "z")).select("row", "i", "z.f", "z.s", "z.l", "z.r")
+    rare = rare.join(table.select("f", "c", "h"), "f", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    look = lambda x, at: F.element_at(F.split(F.lit(",".join(repr(float(v)) for v in x)), ",").cast("array<double>"), (at + 1).cast("int"))
+    hop = lambda a, b: look(model.logt.reshape(-1), a * len(model.logt) + b)
+    total, types = look(model.shape_total, F.col("s")), look(model.shape_types, F.col("s"))
+    p = F.when(F.col("h").isNotNull(), F.col("c") / look(model.class_total, F.col("h"))).otherwise(F.when(F.col("c") > 0, F.col("c") - model.discount).otherwise(F.when(types > 0, types * model.discount).otherwise(1.0)) / F.when(total > 0, total).otherwise(1.0))
+    rare = rare.withColumn("score", F.log10(p)).withColumn("h", F.coalesce("h", F.col("s") + model.first_shape))
+    hops = F.when(F.col("l") >= 0, hop(F.col("l"), F.col("h"))).otherwise(0.0) + F.when(F.col("r") >= 0, hop(F.col("h"), F.col("r"))).otherwise(0.0)
     sums = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known2"),
-        F.sum(F.log10((F.col("c") + 1) / F.lit(float(model.tokens + model.types + 1))) * F.col("k")).alias("base2"),
-        F.sum(F.log10(p) * F.col("k")).alias("score2"),
+        F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("known2"),
+        F.sum(F.log10((F.col("c") + 1) / F.lit(float(model.tokens + model.types + 1)))).alias("base2"),
+        F.sum(F.col("score") + hops).alias("score2"),
+        F.array_sort(F.collect_list(F.when((F.col("l") < 0) | (F.col("r") < 0), F.struct("i", "h", "r")))).alias("apart"),
     )
+    meets = F.zip_with("apart", F.slice("apart", F.lit(2), F.greatest(F.size("apart"), F.lit(1))), lambda x, y: F.when((x["r"] < 0) & y.isNotNull(), hop(x["h"], y["h"])).otherwise(0.0))
+    sums = sums.withColumn("score2", F.col("score2") + F.aggregate(meets, F.lit(0.0), lambda a, x: a + x)).drop("apart")
     out = scored.select("row", "id", "n", "known", "base", "score").join(sums, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select(

@@ -68,6 +68,36 @@ def test_brown_is_a_distribution(spark):
             assert known.sum() + 10 ** brown._rare(model, np.zeros(1), np.array([s]))[0] == pytest.approx(1)
 
 
+def test_brown_learns_the_classes_of_words_outside_the_core_and_lexicon(spark):
+    rng = random.Random(4)
+    sides = [[f"{x}{i}" for i in range(60)] for x in "vw"]  # two kinds of words of one shape, that take turns
+    weights = [1000 / (1 + i) for i in range(60)]
+    rows = [(i, " ".join(rng.choices(sides[k % 2], weights)[0] for k in range(100))) for i in range(200)]
+    rows.append((900, "seldom v1 rare rarer w2 v59 w59 seldom v0"))
+    docs = make(spark, rows)
+    model, table = brown.fit(docs.select(F.col("text").alias("t")), classes=2, clustered=9, lexicon=30)
+    known = {w: h for w, _, h in model.lexicon}
+    got = {r["word"]: r["h"] if r["word"] not in known else known[r["word"]] for r in table.collect()}
+    counts = {r["word"]: r["c"] for r in table.collect()}
+    often = [w for w, c in counts.items() if c >= 10 and w != brown.END]
+    assert len(often) > 100 and {got[w] for w in often if w[0] == "v"} == {got["v0"]} and {got[w] for w in often if w[0] == "w"} == {got["w0"]} and got["v0"] != got["w0"]
+    assert got["seldom"] is None and np.allclose((10**model.logt).sum(1), 1)
+    for h in (1, 2):
+        assert model.class_total[h] == sum(counts[w] for w in often if got[w] == h)
+
+    def chance(text):
+        out, last = 0.0, 0
+        for w in [*text.split(), brown.END]:
+            c = counts.get(w, 0)
+            h = got.get(w) if got.get(w) is not None else model.first_shape + brown.shape(w)
+            out += model.logt[last, h] + (math.log10(c / model.class_total[h]) if h < model.first_shape else brown._rare(model, np.array([c]), np.array([h - model.first_shape]))[0])
+            last = h
+        return out
+
+    for r in brown.score(make(spark, rows[-3:]), model, table).collect():
+        assert r.score == pytest.approx(chance(dict(rows)[r.doc_id]))
+
+
 def test_exchange_finds_the_classes_of_an_alternating_text():
     n = np.zeros((8, 8))
     for a in (1, 3, 5):
