@@ -46,7 +46,7 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
 class Index:
     """Pieces of items under BM25, each piece's impacts divided by its score for itself, so a threshold is a share of a full match.
 
-    Lists are kept by term and cut into blocks of pieces with the block's largest impact. For each piece its smallest
+    Lists are kept by term; no block maxima are stored. For each piece its smallest
     impacts, up to REST of the threshold together, are inessential: no passage reaches the threshold without the
     remaining share from the essential ones, whose lists are short, as those are the rare terms.
     """
@@ -82,7 +82,7 @@ class Index:
         self.start = np.concatenate([[0], np.cumsum(self.count)])[:-1]
         self.piece = np.array([n for x in lists for n, _ in x], np.int64)
         self.impact = np.array([y for x in lists for _, y in x])
-        # per term: the block of each posting run and its maximum
+        # the largest rest of each block of pieces
         self.rest_of_block = np.array([self.rest[i : i + BLOCK].max() for i in range(0, len(pieces), BLOCK)])
 
     def _sums(self, key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +108,7 @@ class Index:
         width = last + 3
         one, two = np.minimum(at, last), np.maximum(at - 1, 0)
         both = two < one
-        # bounds of blocks of pieces first: a block's largest impact for each occurrence, and its largest rest
+        # bounds of blocks of pieces first: the sum of a block's postings in a passage, and its largest rest
         block = piece // BLOCK
         passage, block, piece, impact = (np.concatenate(x) for x in ((one, two[both]), (block, block[both]), (piece, piece[both]), (impact, impact[both])))
         if len(self.rest_of_block) > 16:  # with fewer, bounding them costs more than it spares
