@@ -108,9 +108,15 @@ def _names(rows: DataFrame, others: DataFrame) -> DataFrame:
     return rows.join(others.groupBy("sim_id", "step").agg(F.array_sort(F.collect_set("name")).alias("present")), ["sim_id", "step"])
 
 
+#: Names that a catalogue may have at most, as it is part of the plan.
+CATALOGUE = 1000
+
+
 def _catalogue(s: Scenes, column: str = "name") -> Column:
-    """All names, of which there are a few hundred: the catalogue of models, not of scenes."""
-    rows = s.objects.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(1000).collect()
+    """All names, of which there are a few hundred: the catalogue of models, not of scenes. More than ``CATALOGUE`` raise an error."""
+    rows = s.objects.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(CATALOGUE + 1).collect()
+    if len(rows) > CATALOGUE:
+        raise ValueError(f"more than {CATALOGUE} values of {column}: options would be drawn from a part of them")
     return F.array(*[F.lit(r[0]) for r in rows]).cast("array<string>")
 
 

@@ -128,3 +128,12 @@ def test_streaming_velocities(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.t, r.v) for r in spark.table("vel").collect() if r.v is not None) == [(float(i), 2.0) for i in range(1, 5)]
+
+
+def test_a_catalogue_beyond_its_bound_is_an_error(spark):
+    from types import SimpleNamespace
+
+    names = lambda n: SimpleNamespace(objects=spark.range(n).selectExpr("cast(id as string) as name"))
+    assert len(spark.range(1).select(R._catalogue(names(1000)).alias("x")).first().x) == 1000
+    with pytest.raises(ValueError, match="more than 1000"):
+        R._catalogue(names(1001))
