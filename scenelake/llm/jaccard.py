@@ -113,14 +113,20 @@ def _digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _of(rows: DataFrame, wanted: DataFrame, key: str, most: int = 500_000) -> DataFrame:
-    """The rows whose key is wanted; up to ``most`` keys, of 8 bytes each, are broadcast, so that no row is shuffled to be dropped."""
-    wanted = cut(wanted)
-    return rows.join(F.broadcast(wanted) if wanted.count() <= most else wanted, key, "left_semi")
+def _lists(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, root) of lists with several roots, with ``lead``, the smallest of them, and ``size``; hot lists are summed before they are joined."""
+    several = rows.groupBy("key").agg(F.min("root").alias("lead"), F.max("root").alias("other"), F.count(F.lit(1)).alias("size")).where("lead <> other").select("key", "lead", "size")
+    return rows.join(several, "key")
+
+
+def _enough(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of nodes that are in as many lists as a link implies; any other node has no link left."""
+    kept = lists.groupBy("node").count().join(groups.select("node", "need"), "node").where("count >= need").select("node")
+    return lists.select("key", "node", "root").join(kept, "node", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) with column ``ok``: whether den * intersection >= num * union."""
+    """The pairs (a, b) with den * intersection >= num * union."""
 
     def judged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -131,16 +137,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 if den * min(len(x), len(y)) >= num * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(den * both >= num * (len(x) + len(y) - both))
-            yield pd.DataFrame({"a": part["a"], "b": part["b"], "ok": ok})
+            yield part.loc[ok, ["a", "b"]]
 
-    sets = _of(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
     left = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(judged, "a long, b long, ok boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(judged, "a long, b long")
 
 
-def _derived(members: DataFrame, sets: DataFrame, tested: DataFrame, num: int, den: int) -> DataFrame:
-    """All links (a, b) once the members (lead, node) of lists with several classes are compared; ``tested`` has pairs (a, b, ok).
+def _derived(members: DataFrame, sets: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """All links (a, b) once the members (lead, node) of lists with several classes are compared; ``links`` are those found so far.
 
     A node's difference to its lead tells its relation to any other node of that lead: the symmetric difference of two
     nodes is that of their differences. As linked sets differ in at most D elements, nodes with differences of a and b
@@ -153,17 +158,18 @@ def _derived(members: DataFrame, sets: DataFrame, tested: DataFrame, num: int, d
 
     def differed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for x, y in zip(part["x"], part["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                d = np.setxor1d(x, y, assume_unique=True)
-                both = (len(x) + len(y) - len(d)) // 2
-                rows.append((den * both >= num * (both + len(d)), len(y), d.view(np.int64)))
-            yield part.drop(columns=["x", "y"]).assign(**{c: [r[i] for r in rows] for i, c in enumerate(("ok", "size", "d"))})
+            for i in range(0, len(part), 500):
+                rows, some = [], part.iloc[i : i + 500]
+                for x, y in zip(some["x"], some["y"]):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    d = np.setxor1d(x, y, assume_unique=True)
+                    both = (len(x) + len(y) - len(d)) // 2
+                    rows.append((den * both >= num * (both + len(d)), len(y), d.view(np.int64)))
+                yield some.drop(columns=["x", "y"]).assign(**{c: [r[i] for r in rows] for i, c in enumerate(("ok", "size", "d"))})
 
     joined = members.join(left, "lead").join(right, "node").select("lead", "node", "x", "y")
     rows = cut(joined.mapInPandas(differed, "lead long, node long, ok boolean, size int, d array<long>"))
-    links = tested.where("ok").select("a", "b").unionByName(rows.where("ok").select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    links = links.unionByName(rows.where("ok").select(F.col("lead").alias("a"), F.col("node").alias("b")))
     each = rows.select("lead", "node", F.explode("d").alias("e"))
     often = each.groupBy("lead", "e").count().where("count > 1")
     ranked = each.join(often, ["lead", "e"]).groupBy("lead", "node").agg(F.array_sort(F.collect_list(F.struct("count", "e"))).alias("common"))
@@ -175,29 +181,30 @@ def _derived(members: DataFrame, sets: DataFrame, tested: DataFrame, num: int, d
     side = ("node", "root", "size", "n", "i")
 
     def rooted() -> DataFrame:
-        return place.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        """Places of elements that nodes of several classes share."""
+        named = place.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        hub = named.groupBy("lead", "e").agg(F.min_by(F.struct(*side), F.struct("n", "node")).alias("hub"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        return named.join(hub.drop("x", "y"), ["lead", "e"])
 
     def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs with columns *_a and *_b that may link and are of different classes, once each, tested."""
+        """The links among pairs with columns *_a and *_b that may link and are of different classes, each tested once."""
         most = F.floor((F.col("size_a") + F.col("size_b")) * (den - num) / (den + num))
         need = F.greatest(F.lit(1), F.ceil((F.col("n_a") + F.col("n_b") - most) / 2))
         fits = (F.col("root_a") != F.col("root_b")) & (F.col("n_a") - F.col("i_a") >= need) & (F.col("n_b") - F.col("i_b") >= need)
         new = pairs.where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-        return cut(_verified(new.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, num, den))
-
-    named = cut(rooted())
-    hub = named.groupBy("lead", "e").agg(F.min_by(F.struct(*side), F.struct("n", "node")).alias("hub"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    near = named.join(hub, ["lead", "e"]).select(*[F.col(f"hub.{c}").alias(f"{c}_a") for c in side], *[F.col(c).alias(f"{c}_b") for c in side])
-    star = apart(near)
-    links = links.unionByName(star.where("ok").select("a", "b"))
-    tested = tested.unionByName(star)
-    named = rooted()
+        return cut(_verified(new, sets, num, den))
+
+    star = apart(rooted().select(*[F.col(f"hub.{c}").alias(f"{c}_a") for c in side], *[F.col(c).alias(f"{c}_b") for c in side]))
+    links = links.unionByName(star)
+    named = cut(rooted().drop("hub"))
+    if named.isEmpty():
+        return links
     early = named.where(F.col("i") <= bound / 2).select("lead", "e", *[F.col(c).alias(f"{c}_a") for c in side])
     late = named.select("lead", "e", *[F.col(c).alias(f"{c}_b") for c in side])
-    return links.unionByName(apart(early.join(late, ["lead", "e"])).where("ok").select("a", "b"))
+    return links.unionByName(apart(early.join(late, ["lead", "e"])))
 
 
-def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", short_list: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
+def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id: str = "doc_id", text: str = "text", short_list: int = 4, often: int = 8, broadcast_rows: int = 500_000) -> DataFrame:
     """Links texts whose word-shingle sets have Jaccard similarity num / den or more; exact up to 64-bit fingerprints
     of shingles and sets.
 
@@ -208,10 +215,11 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
 
     Equal sets are one node, whatever their number. Index lists are keyed by blocks of positions, so a probe skips all
     of a list but the sets that agree with it in a whole block, and a passage that many texts share makes no long list.
-    Each node is then compared with the few lead nodes it shares most blocks with, and what these have linked is taken
-    over; in lists that still hold several classes, twice with the root of the list's smallest class. Nodes with fewer
-    open lists than a link implies leave them. In lists that are still open, pairs of different classes are tested, where the list has more than ``short_list`` nodes by way of the
-    nodes' differences to that root.
+    Nodes in fewer lists than a link implies leave them. Each node is then compared with the two leads (smallest nodes
+    of lists) with which it shares most blocks, and what these have linked is taken over. In lists that still hold
+    several classes, pairs of different classes are tested, where the list has more than ``short_list`` nodes by way of
+    the nodes' differences to the list's lead.
+    Keys that ``often`` or more of one in 64 nodes hold are summed before they are joined, so no task sees a whole hot list.
     """
     if not 0 < num <= den:
         raise ValueError("the similarity must be over 0 and at most 1")
@@ -244,12 +252,19 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
     keys = keyed.select("node", F.explode("keys").alias("key"))
     rows = cut(keyed.select("id", "n", "node"))
     groups = cut(keyed.where("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.max("need").alias("need")))
+    hot = cut(keys.where("node % 64 = 0").groupBy("key").count().where(F.col("count") >= often).select("key"))
+    if hot.count() <= broadcast_rows:  # 8 bytes a row
+        hot = F.broadcast(hot)
     by_key = Window.partitionBy("key")
-    shared = cut(keys.withColumn("lead", F.min("node").over(by_key)).withColumn("last", F.max("node").over(by_key)).where("lead <> last").select("key", "node", "lead"))
+    cold = keys.join(hot, "key", "left_anti").withColumn("lead", F.min("node").over(by_key)).withColumn("last", F.max("node").over(by_key)).where("lead <> last")
+    hot = _lists(keys.join(hot, "key", "left_semi").withColumn("root", F.col("node")))
+    shared = cut(cold.select("key", "node", F.col("node").alias("root")).unionByName(hot.select("key", "node", "root")))
     delete(keyed)
+    lists = cut(_lists(_enough(shared, groups)))
+    delete(shared)
 
     # the sets of nodes in shared blocks, found again from the texts
-    wanted = cut(shared.select("node").distinct().join(groups, "node"))
+    wanted = cut(lists.select("node").distinct().join(groups, "node"))
     if wanted.count() <= broadcast_rows:  # 16 bytes a row
         wanted = F.broadcast(wanted)
 
@@ -263,31 +278,21 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
     if sets.groupBy("node").count().where("count > 1").limit(1).count():  # rows with equal ids and texts
         sets = sets.dropDuplicates(["node"])
 
-    pairs = shared.where("node <> lead").groupBy("lead", "node").count()
+    pairs = lists.where("node <> lead").groupBy("lead", "node").count()
     best = Window.partitionBy("node").orderBy(F.desc("count"), "lead")
-    pairs = pairs.withColumn("k", F.row_number().over(best)).where("k <= 3").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    tested = cut(_verified(pairs, sets, num, den))
-
-    def opened(named_keys: DataFrame) -> DataFrame:
-        several = named_keys.groupBy("key").agg(F.min("root").alias("lead"), F.max("root").alias("other"), F.count(F.lit(1)).alias("size")).where("lead <> other").select("key", "lead", "size")
-        return cut(named_keys.join(several, "key").select("key", "node", "root", "lead", "size"))
-
-    open_keys = shared
-    for last in (False, False, True):  # lists with several classes: their nodes against the root of the smallest class
-        every = opened(open_keys.select("key", "node").join(components(tested.where("ok").select("a", "b")), "node", "left").withColumn("root", F.coalesce("root", "node")))
-        delete(open_keys)
-        enough = every.groupBy("node").count().join(groups.select("node", "need"), "node").where("count >= need")  # others have no link left
-        open_keys = opened(every.select("key", "node", "root").join(enough, "node", "left_semi"))
-        delete(every)
-        if not last:
-            new = open_keys.where("root <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-            tested = tested.unionByName(cut(_verified(new.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets, num, den)))
-    short = open_keys.where(F.col("size") <= short_list)
+    pairs = pairs.withColumn("k", F.row_number().over(best)).where("k <= 2").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    links = cut(_verified(pairs, sets, num, den))
+    roots = components(links)
+    rooted = lists.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lists = cut(_lists(_enough(_lists(rooted), groups)))
+    short = lists.where(F.col("size") <= short_list)
     pairs = short.select("key", F.col("node").alias("a"), F.col("root").alias("x")).join(short.select("key", F.col("node").alias("b"), F.col("root").alias("y")), "key").where("a < b and x <> y")
-    pairs = pairs.select("a", "b").distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    tested = tested.unionByName(cut(_verified(pairs, sets, num, den)))
-    members = open_keys.where((F.col("size") > short_list) & (F.col("node") != F.col("lead"))).select("lead", "node").distinct()
-    roots = components(_derived(members, sets, tested, num, den))
+    more = cut(_verified(pairs.select("a", "b").distinct(), sets, num, den))
+    links = links.unionByName(more)
+    members = cut(lists.where((F.col("size") > short_list) & (F.col("node") != F.col("lead"))).select("lead", "node").distinct())
+    if not members.isEmpty():
+        links = _derived(members, sets, links, num, den)
+    roots = components(links)
     classes = groups.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     out = rows.join(classes.join(least, "root").select("node", "component_id"), "node", "left")
@@ -304,7 +309,8 @@ def dedupe(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broad
     if repeated.isEmpty():
         own, key = docs, doc_id
     else:
-        own, key = cut(docs.withColumn("__row", F.monotonically_increasing_id())), "__row"
+        key = next(k for i in range(len(docs.columns) + 1) if (k := f"row_{i}") not in {c.lower() for c in docs.columns})
+        own = cut(docs.withColumn(key, F.monotonically_increasing_id()))
     gone = cut(join(own, doc_id=key, text=text, broadcast_rows=broadcast_rows, **options).where(F.col("component_id") != F.col(key)).select(key))
     if gone.count() <= broadcast_rows:  # 8 bytes a row
         gone = F.broadcast(gone)
