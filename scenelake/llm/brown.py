@@ -101,11 +101,11 @@ class Numbers(dict):
         return n
 
 
-def links(texts: DataFrame, held: list[tuple[str, int]], first: int, *, pairs: bool) -> DataFrame:
+def links(texts: DataFrame, held: list[tuple[str, int]], first: int) -> DataFrame:
     """(f, a, f2, b, n): how often class b follows class a in all texts, summed by each task over stretches of its texts.
 
     Words of ``held``, END first, have their class there. Of any other word the fingerprint is told in f (first of the two) or
-    f2 (second), with its shape class; without ``pairs`` two such words that meet make two rows, each telling one of them.
+    f2 (second), with its shape class.
     """
     known = texts.sparkSession.sparkContext.broadcast(held)  # a parameter's worth of words
     width = first + SHAPES
@@ -130,36 +130,80 @@ def links(texts: DataFrame, held: list[tuple[str, int]], first: int, *, pairs: b
                 out.append(pd.DataFrame({"f": pd.array(code[u], "Int64") if one else none, "a": cls[u] if one else u, "f2": pd.array(code[v], "Int64") if two else none, "b": cls[v] if two else v, "n": n}).astype({"f": "Int64", "f2": "Int64"}))
 
             rows(cls[x[~p & ~q]], cls[y[~p & ~q]], False, False)
-            both = p & q
-            left, right = (p & ~q, q & ~p) if pairs else (p, q)
-            rows(x[left], cls[y[left]], True, False)
-            rows(cls[x[right]], y[right], False, True)
-            if pairs:
-                rows(x[both], y[both], True, True)
+            rows(x[p & ~q], cls[y[p & ~q]], True, False)
+            rows(cls[x[q & ~p]], y[q & ~p], False, True)
+            rows(x[p & q], y[p & q], True, True)
             return pd.concat(out)
 
+        flat, ids = [0], Numbers(base)
         for part in parts:
-            flat, ids = [0], Numbers(base)
-            for i, t in enumerate(part["t"], 1):
+            for t in part["t"]:
                 flat.extend(map(ids.__getitem__, words(t)))
                 flat.append(0)
-                if len(flat) > 1_000_000 or i == len(part):
+                if len(flat) > 2_000_000:
                     yield frame(flat, ids)
                     flat, ids = [0], Numbers(base)
+        yield frame(flat, ids)
 
     return texts.mapInPandas(counted, "f long, a int, f2 long, b int, n long")
 
 
+def frequent_bits(table: DataFrame, least: int, bits: int = 23) -> np.ndarray:
+    """A bitmap of 2 ** ``bits`` places where the fingerprints of words that occur ``least`` times or more are marked.
+
+    It only spares rows of rarer words: what passes by chance, in a large vocabulary all, is dropped by its count later.
+    """
+    at = table.where(F.col("c") >= least).select(F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
+    marked = at.groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("m"))
+    out = np.zeros(1 << bits >> 5, np.int64)
+    for r in marked.collect():  # at most 2 ** (bits - 5) rows
+        out[r["w"]] = r["m"]
+    return (out[:, None] >> np.arange(32) & 1).astype(bool).reshape(-1)
+
+
+def contexts(texts: DataFrame, held: list[tuple[str, int]], first: int, marked: np.ndarray) -> DataFrame:
+    """(f, d, n): how often the word with fingerprint f, none of ``held``, is followed by class d or, for d from ``first`` + SHAPES on, preceded by class d less that."""
+    known = texts.sparkSession.sparkContext.broadcast((held, np.packbits(marked)))  # a parameter's worth of words, and the bitmap
+    width = first + SHAPES
+
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words_, bits = known.value[0], np.unpackbits(known.value[1]).astype(bool)
+        base = {w.encode("utf-8", "surrogatepass"): i for i, (w, _) in enumerate(words_)}
+        size, classes = len(base), [c for _, c in words_]
+
+        def frame(flat, ids):
+            new = list(ids)[size:]
+            cls = np.array(classes + [first + shape(w.decode("utf-8", "surrogatepass")) for w in new], np.int64)
+            code = np.concatenate([np.zeros(size, np.uint64), np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)])
+            told = bits[(code & np.uint64(len(bits) - 1)).astype(np.int64)]
+            told[:size] = False
+            x = np.array(flat, np.int64)
+            x, y = x[:-1], x[1:]
+            p, q = told[x], told[y]
+            k, n = np.unique(np.concatenate([x[p] * (2 * width) + cls[y[p]], y[q] * (2 * width) + width + cls[x[q]]]), return_counts=True)
+            return pd.DataFrame({"f": code.view(np.int64)[k // (2 * width)], "d": k % (2 * width), "n": n})
+
+        flat, ids = [0], Numbers(base)
+        for part in parts:
+            for t in part["t"]:
+                flat.extend(map(ids.__getitem__, words(t)))
+                flat.append(0)
+                if len(flat) > 2_000_000:
+                    yield frame(flat, ids)
+                    flat, ids = [0], Numbers(base)
+        yield frame(flat, ids)
+
+    return texts.mapInPandas(counted, "f long, d int, n long")
+
+
 def assign(contexts: DataFrame, g: np.ndarray, classes: int, least: int, rounds: int = 3) -> DataFrame:
-    """(f, h, c): the class and count of every word of ``contexts``, as ``links`` gives them without pairs, that occurs ``least`` times or more.
+    """(f, h, c): the class and count of every word of the table ``contexts`` that occurs ``least`` times or more.
 
     ``g`` holds the bigrams of the clustered core, to which each word is added: in each round every word moves to the class
     that raises the likelihood of the words' neighbours by class most, given the classes of all words after the last round.
     """
     k = len(g)
-    one = lambda f, d: contexts.where(f"{f} is not null").select(F.col(f).alias("f"), d.alias("d"), "n")
-    both = one("f", F.col("b")).unionAll(one("f2", F.col("a") + k)).repartition("f")
-    sums = both.groupBy("f", "d").agg(F.sum("n").alias("n")).groupBy("f").agg(F.collect_list("d").alias("d"), F.collect_list("n").alias("n"), F.sum(F.when(F.col("d") < k, F.col("n"))).alias("c"))
+    sums = contexts.groupBy("f", "d").agg(F.sum("n").alias("n")).groupBy("f").agg(F.collect_list("d").alias("d"), F.collect_list("n").alias("n"), F.sum(F.when(F.col("d") < k, F.col("n"))).alias("c"))
     at = cut(sums.where(F.col("c") >= least).withColumn("h", F.lit(0)))
     core = np.concatenate([g[1 : classes + 1], g[:, 1 : classes + 1].T], axis=1)
     d, total = core, core[:, :k].sum(1)
@@ -276,13 +320,15 @@ def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon:
     tokens, types = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # the most frequent words by levels of 1/32 of a doubling, so no task sorts or sends more than its part of them
     level = F.floor(F.log2(F.col("c")) * 32).cast("int")
-    least, room = 1 << 30, lexicon
+    least, room, part = 1 << 30, lexicon, 1.0
     for r in sorted(table.where(F.col("word") != END).groupBy(level.alias("level")).count().collect(), reverse=True):  # at most 2,016 rows
         room -= r["count"]
-        if room < 0:
-            break
         least = r["level"]
-    frequent = table.where((F.col("word") != END) & (level >= least)).collect()  # at most ``lexicon`` rows
+        if room < 0:  # of this level the words that hash lowest, some hundredths fewer than there is room for
+            part = max(0.0, (room + r["count"]) / r["count"] - 4 * (r["count"] ** -0.5))
+            break
+    low = F.pmod(F.xxhash64("word", F.lit(7)), F.lit(1 << 20)) < int(part * (1 << 20))
+    frequent = table.where((F.col("word") != END) & ((level > least) | (level == least) & low)).collect()  # about ``lexicon`` rows
     top = sorted(((r["word"], r["c"]) for r in frequent), key=lambda x: (-x[1], x[0]))
     ends = table.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     own = [END, *(w for w, _ in top[: clustered - 1])]
@@ -303,7 +349,7 @@ def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon:
     label = np.array(got[0]["label"]) if got else np.concatenate([[0], 1 + np.arange(len(own) - 1) % classes, classes + 1 + np.arange(SHAPES)])
     g = np.array(got[0]["g"]).reshape(k, k) if got else np.zeros((k, k))
     core = [(w, int(label[i])) for i, w in enumerate(own)]
-    learned = assign(links(texts, core, classes + 1, pairs=False), g, classes, least_count)
+    learned = assign(contexts(texts, core, classes + 1, frequent_bits(table, least_count)), g, classes, least_count)
     code = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)).view(np.int64))
     others = {code(w): w for w, _ in top[len(own) - 1 :]}
     wanted = F.broadcast(texts.sparkSession.createDataFrame([(f,) for f in others], "f long"))  # at most ``lexicon`` words
@@ -311,7 +357,7 @@ def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon:
     words_ = [(END, int(ends), 0)]
     words_ += [(w, int(c), class_of.get(w, classes + 1 + shape(w))) for w, c in top]
     # transitions between the classes of all words: those outside the lexicon are joined by fingerprint
-    met = cut(links(texts, [(w, h) for w, _, h in words_], classes + 1, pairs=True).groupBy("f", "a", "f2", "b").agg(F.sum("n").alias("n")))
+    met = cut(links(texts, [(w, h) for w, _, h in words_], classes + 1).groupBy("f", "a", "f2", "b").agg(F.sum("n").alias("n")))
     first = learned.select("f", F.col("h").alias("h1"))
     second = learned.select(F.col("f").alias("f2"), F.col("h").alias("h2"))
     sides = [met.where("f is null and f2 is null").select("a", "b", "n")]
