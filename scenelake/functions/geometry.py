@@ -237,6 +237,9 @@ def _hull_iou(a: pd.Series, b: pd.Series) -> pd.Series:
 def _matrix_euler(m: pd.Series) -> pd.Series:
     out = []
     for rows in m:
+        if rows is None:
+            out.append(None)
+            continue
         u, _, v = np.linalg.svd(np.array([list(r) for r in rows], np.float64))
         r = u @ np.diag([1, 1, np.linalg.det(u @ v)]) @ v
         s = float(np.clip(-r[2, 0], -1, 1))
@@ -245,13 +248,16 @@ def _matrix_euler(m: pd.Series) -> pd.Series:
 
 
 def hull_iou(a: str | Column, b: str | Column) -> Column:
-    """Intersection over union of the convex hulls of two lists of points (x, y); 0 if neither has an area."""
-    return F.pandas_udf(_hull_iou, "double")(a, b)
+    """Intersection over union of the convex hulls of two lists of points (x, y); 0 if neither has an area.
+
+    As no two plans that hold it are merged, its result may be used inside higher-order functions.
+    """
+    return F.pandas_udf(_hull_iou, "double").asNondeterministic()(a, b)
 
 
 def matrix_euler(m: str | Column) -> Column:
     """Degrees about x, y and z of the rotation nearest to a matrix given as rows."""
-    return F.pandas_udf(_matrix_euler, "array<double>")(m)
+    return F.pandas_udf(_matrix_euler, "array<double>").asNondeterministic()(m)
 
 
 def relation(iou: Column, du: Column, dv: Column, ddepth: Column) -> Column:

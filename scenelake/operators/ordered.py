@@ -61,18 +61,20 @@ def change_counter(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.withColumn("__new", new).withColumn(out, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__new")
 
 
-def moved(df: DataFrame, keys: list[str], t: str, values: list[str], threshold: float, steps: int, out: str = "moved") -> DataFrame:
-    """Whether any of the last ``steps - 1`` moves from row to row, over all values, is longer than ``threshold``; null without enough rows."""
+def moved(df: DataFrame, keys: list[str], t: str, values: list[str], threshold: float, steps: int, out: str = "moved", *, angles: list[str] | None = None, turn: float = 0.0) -> DataFrame:
+    """Whether any of the last ``steps - 1`` moves from row to row, over all values, is longer than ``threshold``, or turns
+    the ``angles`` by more than ``turn`` together; null without enough rows. Missing angles do not turn."""
     w = Window.partitionBy(*keys).orderBy(t)
     length = F.sqrt(sum(((F.col(c) - F.lag(c).over(w)) * (F.col(c) - F.lag(c).over(w)) for c in values), F.lit(0.0)))
-    df = df.withColumn("__far", length > threshold)
+    turned = sum((F.abs(F.col(c) - F.lag(c).over(w)) for c in angles or []), F.lit(0.0)) > turn
+    df = df.withColumn("__far", F.coalesce(length > threshold, F.lit(False)) | F.coalesce(turned, F.lit(False)) if angles else length > threshold)
     any_far = F.max("__far").over(w.rowsBetween(-(steps - 2), 0))
     return df.withColumn(out, F.when(F.row_number().over(w) >= steps, F.coalesce(any_far, F.lit(False)))).drop("__far")
 
 
-def still(df: DataFrame, keys: list[str], t: str, values: list[str], threshold: float, steps: int, out: str = "still") -> DataFrame:
+def still(df: DataFrame, keys: list[str], t: str, values: list[str], threshold: float, steps: int, out: str = "still", **turns) -> DataFrame:
     """The contrary of ``moved``, null in the same rows."""
-    return moved(df, keys, t, values, threshold, steps, "__m").withColumn(out, ~F.col("__m")).drop("__m")
+    return moved(df, keys, t, values, threshold, steps, "__m", **turns).withColumn(out, ~F.col("__m")).drop("__m")
 
 
 def net_displacement(df: DataFrame, keys: list[str], t: str, values: list[str], back: int, out: str = "displacement") -> DataFrame:

@@ -253,7 +253,10 @@ def travelled(s: Scenes, name: str) -> DataFrame:
 
 
 def _flags(s: Scenes) -> DataFrame:
-    return ordered.moved(_moving(s), ["sim_id", "object_id", "run"], "t", ["x", "y", "z"], s.config.move_distance, 8).where("moved is not null")
+    rows = _moving(s).withColumn("euler", G.matrix_euler("obb.R"))
+    rows = rows.withColumns({f"angle_{i}": F.get("euler", F.lit(i)) for i in range(3)})
+    angles = ["angle_0", "angle_1", "angle_2"]
+    return ordered.moved(rows, ["sim_id", "object_id", "run"], "t", ["x", "y", "z"], s.config.move_distance, 8, angles=angles, turn=s.config.move_degrees).where("moved is not null").drop("euler", *angles)
 
 
 @resolver("F_KINEMATICS_MOVING_OBJECT")

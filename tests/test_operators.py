@@ -146,3 +146,20 @@ def test_closed_trim_keeps_whole_bundles(spark):
     out = sampling.closed_trim(df, sample, X.base_id(F.col("idx")), "g", 6)
     n = {r.b: r.n for r in out.groupBy(X.base_id(F.col("idx")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert set(n.values()) == {2} and sum(n.values()) <= 6
+
+
+def test_a_spinning_object_moves(spark):
+    rows = [(k, float(i), 0.0, 0.0, 0.0, 0.0, 0.0, turn * i) for k, turn in (("spins", 6.0), ("creeps", 1.0)) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, t double, x double, y double, z double, a double, b double, c double")
+    got = ordered.moved(df, ["k"], "t", ["x", "y", "z"], 0.05, 8, angles=["a", "b", "c"], turn=5.0).where("moved is not null")
+    assert {(r.k, r.moved) for r in got.collect()} == {("spins", True), ("creeps", False)}
+    assert {r.still for r in ordered.still(df, ["k"], "t", ["x", "y", "z"], 0.05, 8).where("still is not null").collect()} == {True}
+
+
+def test_overlap_decides_the_relation_inside_options(spark):
+    square = lambda x: [[x, 0.0], [x + 2.0, 0.0], [x + 2.0, 2.0], [x, 2.0]]
+    df = spark.createDataFrame([("over", square(0.0), square(1.0)), ("apart", square(0.0), square(5.0))], "k string, p array<array<double>>, q array<array<double>>")
+    rows = df.withColumn("rel", G.relation(G.hull_iou("p", "q"), F.lit(-3.0), F.lit(1.0), F.lit(-1.0)))
+    labels = options.listed_options(F.col("rel"), F.array().cast("array<string>"), F.array(*[F.lit(x) for x in ("in front of", "behind", "left of", "right of")]), 1, F.col("k"))
+    got = {r.k: (r.rel, r.labels) for r in rows.withColumn("labels", labels).collect()}
+    assert got["over"][0] == "in front of" and got["apart"][0] == "left of" and all(rel in names for rel, names in got.values())
