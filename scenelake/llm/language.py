@@ -122,7 +122,10 @@ def fit(docs: DataFrame, *, each: int = 1000, spans: int = 8, doc_id: str = "doc
     """
     fold = F.xxhash64(F.col("id"))
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where(F.col("id").isNotNull() & F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    picked = known.select("id", "l").withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(fold, "id"))).where(F.col("k") <= each).select("id", "l").distinct()
+    # a hash bound for each language that some more than ``each`` of its texts pass, so that no task ranks a whole language
+    share = known.groupBy("l").count().select("l", (F.lit(each + 8 * each**0.5) / F.col("count")).alias("share"))
+    low = known.select("id", "l").join(F.broadcast(share), "l").where(F.pmod(fold, F.lit(1 << 30)) < F.col("share") * (1 << 30)).drop("share")  # a row a language
+    picked = low.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(F.pmod(fold, F.lit(1 << 30)), "id"))).where(F.col("k") <= each).select("id", "l").distinct()
     texts = known.join(F.broadcast(picked), ["id", "l"])  # ``each`` rows a language
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -53,9 +53,10 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = 0.5) -> None:
         self.threshold = threshold
-        self.items = {i: tuple(map(_grams, (tokens(t), *split_item(t)))) for i, t in items}
+        self.names = [i for i, _ in items]  # rows with equal ids are items of their own
+        self.items = [tuple(map(_grams, (tokens(t), *split_item(t)))) for _, t in items]
         self.owner, pieces = [], []
-        for i, t in items:
+        for i, (_, t) in enumerate(items):
             words = tokens(t)
             parts = -(-len(words) // PIECE)
             for k in range(parts):
@@ -94,7 +95,7 @@ class Index:
         return keys, np.bincount(at, weights=weight)
 
     def retrieve(self, words: list[str]) -> dict[int, float]:
-        """The items of which some passage of the text scores the threshold or more on a piece, with the best score."""
+        """The items, by their place in the index, of which some passage of the text scores the threshold or more on a piece, with the best score."""
         term = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
         where = np.flatnonzero(term >= 0)
         t = term[where]
@@ -141,13 +142,17 @@ class Index:
         return tuple(out)
 
 
-def _shards(items: DataFrame, shard: int, item_id: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items that have a word, about ``shard`` at a time."""
-    bare = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where(F.col("i").isNotNull() & F.col("t").rlike(r"[\p{L}\p{N}_]"))
+def _id_type(items: DataFrame, item_id: str) -> str:
+    return "long" if items.schema[item_id].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+
+
+def _shards(items: DataFrame, shard: int, item_id: str, item_text: str) -> Iterator[tuple[list[tuple], bool]]:
+    """The items that have a word, about ``shard`` at a time, and whether these are the last."""
+    bare = items.select(F.col(item_id).cast(_id_type(items, item_id)).alias("i"), F.col(item_text).alias("t")).where(F.col("t").rlike(r"[\p{L}\p{N}_]"))
     n = max(1, -(-bare.count() // shard))
     for k in range(n):
-        part = bare.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) if n > 1 else bare
-        yield [(r["i"], r["t"]) for r in part.orderBy("i", "t").collect()]
+        part = bare.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else bare
+        yield [(r["i"], r["t"]) for r in part.orderBy("i", "t").collect()], k == n - 1
 
 
 class Judge:
@@ -156,16 +161,16 @@ class Judge:
     def __init__(self, items: list[tuple[int, str]], threshold: float, overlap: float, part: float) -> None:
         self.index, self.overlap, self.part = Index(items, threshold), overlap, part
 
-    def __call__(self, text: str) -> tuple[list[int], float, float]:
-        """The leaked items, the best BM25 share and the best overlap of the retrieved ones."""
+    def __call__(self, text: str) -> tuple[list[int], float, float, bool]:
+        """The ids of the leaked items, the best BM25 share and the best overlap of the retrieved ones, and whether any item is leaked."""
         words = tokens(text)
         good, score, most = [], 0.0, 0.0
         for item, s in self.index.retrieve(words).items():
             whole, question, answer = self.index.verify(words, item)
             score, most = max(score, s), max(most, whole)
             if whole >= self.overlap and question >= self.part and answer >= self.part:
-                good.append(item)
-        return sorted(good), score, most
+                good.append(self.index.names[item])
+        return sorted({i for i in good if i is not None}), score, most, bool(good)
 
 
 def search(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, shard: int = 20_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -173,43 +178,54 @@ def search(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap
 
     An item is leaked into a text if one of its pieces reaches ``threshold`` of its own BM25 score in some passage of 128
     words, and at least ``overlap`` of its five-word shingles, and ``part`` of those of its question and of its answer,
-    occur in the text. Items are indexed ``shard`` at a time, which bounds what is broadcast; with more of them the
-    texts are read once for each shard. Null or empty texts leak nothing; items with a null id are left out;
-    other columns are ignored; an empty table gives an empty result.
+    occur in the text. Items are indexed ``shard`` at a time, one after the other, which bounds what driver and tasks
+    hold; with more of them the texts are read once for each shard. Null or empty texts leak nothing; items with a null
+    id are left out; items that share an id are tested each by itself; other columns are ignored; an empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
-    kind = docs.schema[doc_id].dataType.simpleString()
-    held = [spark.sparkContext.broadcast(x) for x in _shards(items, shard, item_id, item_text)]
+    kind, item_kind = docs.schema[doc_id].dataType.simpleString(), _id_type(items, item_id)
     source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    if len(held) > 1:
-        source = cut(source.withColumn("row", F.monotonically_increasing_id()))
-    out = None
-    for one in held:
-
-        def matched(parts: Iterator[pd.DataFrame], one=one) -> Iterator[pd.DataFrame]:
-            judge = Judge(one.value, threshold, overlap, part)
+    numbered = None
+    parts_done = []
+    for one, last in _shards(items.where(F.col(item_id).isNotNull()), shard, item_id, item_text):
+        held = spark.sparkContext.broadcast(one)
+        if not last and numbered is None:
+            numbered = cut(source.withColumn("row", F.monotonically_increasing_id()))
+
+        def matched(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            judge = Judge(held.value, threshold, overlap, part)
             for p in parts:
                 rows = [judge(t) for t in p["t"]]
                 yield p.drop(columns="t").assign(**{c: [r[i] for r in rows] for i, c in enumerate(("item_ids", "best_score", "best_overlap"))})
 
-        extra = ", row long" if len(held) > 1 else ""
-        got = source.select("id", *(["row"] if len(held) > 1 else []), "t").mapInPandas(matched, f"id {kind}{extra}, item_ids array<long>, best_score double, best_overlap double")
-        out = got if out is None else out.unionByName(got)
-    if len(held) > 1:
-        out = out.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("best_score").alias("best_score"), F.max("best_overlap").alias("best_overlap"))
+        told = f"item_ids array<{item_kind}>, best_score double, best_overlap double"
+        if numbered is None:
+            out = source.mapInPandas(matched, f"id {kind}, {told}")
+            return out.select(F.col("id").alias(doc_id), "item_ids", "best_score", "best_overlap", (F.size("item_ids") > 0).alias("leaked"))
+        parts_done.append(cut(numbered.select("id", "row", "t").mapInPandas(matched, f"id {kind}, row long, {told}")))
+        held.unpersist()
+    every = parts_done[0]
+    for one in parts_done[1:]:
+        every = every.unionByName(one)
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")
+    out = every.groupBy("row").agg(F.first("id").alias("id"), ids, F.max("best_score").alias("best_score"), F.max("best_overlap").alias("best_overlap"))
     return out.select(F.col("id").alias(doc_id), "item_ids", "best_score", "best_overlap", (F.size("item_ids") > 0).alias("leaked"))
 
 
 def clean(docs: DataFrame, items: DataFrame, *, threshold: float = 0.5, overlap: float = 0.8, part: float = 0.5, shard: int = 20_000, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, into which no item is leaked by the rules of ``search``; null and empty texts stay."""
+    """The rows of ``docs``, whole, into which no item is leaked by the rules of ``search``, items with a null id included; null and empty texts and repeated rows stay."""
     at, schema = docs.columns.index(text), docs.schema
-    for one in _shards(items, shard, item_id, item_text):
+    for one, last in _shards(items, shard, item_id, item_text):
         held = docs.sparkSession.sparkContext.broadcast(one)
 
         def kept(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             judge = Judge(held.value, threshold, overlap, part)
             for batch in batches:
-                yield batch.filter(pa.array([not judge(t or "")[0] for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not judge(t or "")[3] for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(kept, schema)
+        if not last:  # so that the next shard comes when this one has gone
+            docs = cut(docs)
+            held.unpersist()
     return docs

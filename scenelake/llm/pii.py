@@ -154,7 +154,7 @@ def cards(key: str, m: Column) -> Column:
 
 
 def _letters(key: str, m: Column) -> Column:
-    """Permutes the letters a mailbox has, up to 24 of them, as a number to base 26; case and place stay."""
+    """Permutes the letters a mailbox has, 24 at a time, as numbers to base 26; case and place stay."""
     value = lambda s: F.aggregate(F.split(s, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise(a * 26 + F.ascii(c) - 97))
     power = lambda k: F.aggregate(F.array_repeat(F.lit(26), k), F.lit(1).cast("long"), lambda a, x: a * x)
 
@@ -176,8 +176,11 @@ def _letters(key: str, m: Column) -> Column:
 
         return F.array_join(F.transform(F.split(m, ""), place), "")
 
-    low = F.substr(F.lower(F.regexp_replace(m, "[^A-Za-z]", "")), F.lit(1), F.lit(24))
-    return let(let(low, fresh), placed)
+    def every(low):
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(low) / 24), F.lit(1)).cast("int") - 1), lambda i: F.substr(low, i * 24 + 1, F.lit(24)))
+        return F.array_join(F.transform(parts, fresh), "")
+
+    return let(let(F.lower(F.regexp_replace(m, "[^A-Za-z]", "")), every), placed)
 
 
 def pseudonym(kind: str, key: str, m: Column) -> Column:
@@ -221,19 +224,23 @@ def pseudonym(kind: str, key: str, m: Column) -> Column:
     return let(_digits(m), by_digits)
 
 
-def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", out: str = "text") -> DataFrame:
-    """``docs`` with validated personal numbers, dates and mailboxes replaced in ``out``, and ``pii``: array of (kind, old, new).
+def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", out: str = "text", found: str = "pii") -> DataFrame:
+    """``docs`` with validated personal numbers, dates and mailboxes replaced in ``out``, and ``found``: array of (kind, old, new).
 
-    All rows and other columns stay as they are, in any order; null text stays null with an empty array. Matches are
-    leftmost and do not overlap; those that fail validation stay. Cards are searched in whole runs of digits, so one beside
-    an expiry, a security code or a count is found; about one stretch in ten of 13 to 19 other digits passes as a card. Dates
-    are yyyy-MM-dd from 1900 on, phones North American. The key is a secret of the caller: with it equal
-    values have equal pseudonyms in all documents and runs, and the permutation can be inverted. Mailbox names keep
-    letters beyond the 24th.
+    All rows and other columns stay as they are, in any order; where ``docs`` has a column ``found`` already, underscores
+    are added to the new one's name. Null text stays null with an empty array; repeated rows are rewritten each by itself;
+    an empty table gives an empty result. Matches are leftmost and do not overlap; those that fail validation stay. Cards
+    are searched in whole runs of digits, so one beside an expiry, a security code or a count is found; about one stretch
+    in ten of 13 to 19 other digits passes as a card. Dates are yyyy-MM-dd from 1900 on, phones North American, mailboxes
+    of at most 64 ASCII signs; a single digit in a mailbox stays. The key is a secret of the caller: with it equal values
+    have equal pseudonyms in all documents and runs, and the permutation can be inverted.
     """
-    t = F.col(text)
-    df = docs.withColumn("__some", F.coalesce(t.rlike("[0-9@]") & t.rlike(ANY), F.lit(False)))  # the first search is cheap, and most texts end there
-    df = df.withColumn("__hits", F.when(F.col("__some"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))).withColumn("__gaps", F.when(F.col("__some"), F.split(t, ANY, -1)))
+    while found.lower() in {c.lower() for c in docs.columns}:
+        found += "_"
+    t = F.col("t")
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("t"))
+    df = df.withColumn("some", F.coalesce(t.rlike("[0-9@]") & t.rlike(ANY), F.lit(False)))  # the first search is cheap, and most texts end there
+    df = df.withColumn("hits", F.when(F.col("some"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))).withColumn("gaps", F.when(F.col("some"), F.split(t, ANY, -1)))
 
     def kind_of(m):
         found = F.lit("card")  # a hit that is no whole match of another kind
@@ -241,7 +248,7 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", out: str = "t
             found = F.when(m.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(found)
         return found
 
-    df = df.withColumn("__kinds", F.transform("__hits", kind_of))
+    df = df.withColumn("kinds", F.transform("hits", kind_of))
 
     def swap(m, kind):
         new = m
@@ -251,8 +258,10 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", out: str = "t
         one = let(new, lambda x: F.struct(x.alias("new"), F.array(F.struct(kind.alias("kind"), m.alias("old"), x.alias("new"))).alias("found")))
         return F.when(kind == "card", cards(key, m)).otherwise(one)
 
-    df = df.withColumn("__swaps", F.zip_with("__hits", "__kinds", swap))
-    glued = F.array_join(F.zip_with("__gaps", "__swaps", lambda g, s: F.concat(g, F.coalesce(s["new"], F.lit("")))), "")
-    df = df.withColumn(out, F.when(F.col("__some"), glued).otherwise(t))
+    df = df.withColumn("swaps", F.zip_with("hits", "kinds", swap))
+    glued = F.array_join(F.zip_with("gaps", "swaps", lambda g, s: F.concat(g, F.coalesce(s["new"], F.lit("")))), "")
+    new = F.when(F.col("some"), glued).otherwise(t)
     empty = F.array().cast("array<struct<kind:string,old:string,new:string>>")
-    return df.withColumn("pii", F.when(F.col("__some"), F.filter(F.flatten(F.transform("__swaps", lambda s: s["found"])), lambda s: s["old"] != s["new"])).otherwise(empty)).drop("__some", "__hits", "__gaps", "__kinds", "__swaps")
+    told = F.when(F.col("some"), F.filter(F.flatten(F.transform("swaps", lambda s: s["found"])), lambda s: s["old"] != s["new"])).otherwise(empty)
+    names = docs.columns if out in docs.columns else [*docs.columns, out]
+    return df.select(*[(new if c == out else F.col("row").getField(c)).alias(c) for c in names], told.alias(found))

@@ -102,38 +102,40 @@ def train(grades: np.ndarray, rows: list[np.ndarray], levels: int, steps: int =
     return Model((w * scale).astype(np.float32), np.cumsum([b[0], *np.exp(b[1:])]))
 
 
-def fit(docs: DataFrame, grades: DataFrame, *, levels: int, sample: int = 16_000, share: int = 4_000, doc_id: str = "doc_id", text: str = "text", grade: str = "grade") -> Model:
+def fit(docs: DataFrame, grades: DataFrame, *, levels: int, sample: int = 16_000, doc_id: str = "doc_id", text: str = "text", grade: str = "grade") -> Model:
     """Trains on at most ``sample`` graded texts, those whose ids hash lowest; more rows change nothing but which these are.
 
-    Groups of about ``share`` texts train side by side and their parameters are averaged. A document graded twice counts with its
-    lowest grade; rows with null id, null grade or a grade outside 0 to levels - 1 are left out. Without any graded
-    text the model has zero weights and gives every grade the same odds for every text.
+    One task fits them jointly: the sample bounds it. A document graded twice counts with its lowest grade; repeated ids
+    are texts of their own; rows with null id, null grade or a grade outside 0 to levels - 1 are left out; null text
+    counts as empty. Without any graded text the model has zero weights and gives every grade the same odds for every text.
     """
     fold = F.crc32(F.col("id").cast("string").cast("binary"))
     rated = grades.select(F.col(doc_id).alias("id"), F.col(grade).cast("int").alias("y")).where(f"id is not null and y between 0 and {levels - 1}").groupBy("id").agg(F.min("y").alias("y"))
-    rated = rated.orderBy(fold, "id").limit(sample)
-    shards = max(1, round(rated.count() / share))
+    # a hash bound that some more than ``sample`` rows pass, so that no task sorts or sends more than its share of them
+    share = (sample + 8 * sample**0.5) / max(1, rated.count())
+    rated = rated.where(fold <= int(min(1.0, share) * (1 << 32))).orderBy(fold, "id").limit(sample)
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(rated), "id")  # at most ``sample`` rows of two numbers
 
     def hashed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"shard": part["s"], "y": part["y"], "x": [slots(t) for t in part["t"]]})
+            yield pd.DataFrame({"y": part["y"], "x": [slots(t) for t in part["t"]]})
 
     def trained(part: pd.DataFrame) -> pd.DataFrame:
         got = train(part["y"].to_numpy(np.int64), [np.asarray(x, np.int32) for x in part["x"]], levels)
-        return pd.DataFrame({"n": [len(part)], "w": [got.weights.tobytes()], "b": [got.thresholds.tobytes()]})
+        return pd.DataFrame({"w": [got.weights.tobytes()], "b": [got.thresholds.tobytes()]})
 
-    shard = F.pmod(F.floor(fold / 7), F.lit(shards)).cast("int")
-    rows = texts.select(shard.alias("s"), "y", "t").mapInPandas(hashed, "shard int, y int, x array<int>").groupBy("shard").applyInPandas(trained, "n long, w binary, b binary").collect()  # ``shards`` rows of 1 MB
+    rows = texts.select("y", "t").mapInPandas(hashed, "y int, x array<int>").groupBy(F.lit(0).alias("all")).applyInPandas(trained, "w binary, b binary").collect()  # one row of 1 MB
     if not rows:
         return Model(np.zeros(1 << BITS, np.float32), np.arange(levels - 1, dtype=np.float64) - (levels - 2) / 2)
-    n = np.array([r["n"] for r in rows], np.float64)
-    mean = lambda key, kind: np.average([np.frombuffer(r[key], kind) for r in rows], axis=0, weights=n)
-    return Model(mean("w", np.float32).astype(np.float32), mean("b", np.float64))
+    return Model(np.frombuffer(rows[0]["w"], np.float32), np.frombuffer(rows[0]["b"], np.float64))
 
 
 def score(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: the id, ``expected_grade`` and ``tail`` (the chance of the top grade). Null text counts as empty."""
+    """One row per input row: the id, ``expected_grade`` and ``tail`` (the chance of the top grade).
+
+    Null text counts as empty; repeated rows and ids are scored each by itself; other columns are ignored; an empty table
+    gives an empty result.
+    """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((model.weights, model.thresholds))  # 1 MB at any input
 
@@ -157,7 +159,10 @@ def grades_of(labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, *, tail: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, whose chance of the top grade is ``tail`` or more. Null text counts as empty."""
+    """The rows of ``docs``, whole, whose chance of the top grade is ``tail`` or more.
+
+    Null text counts as empty; repeated rows are judged each by itself; all columns stay; an empty table gives an empty result.
+    """
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     at = docs.columns.index(text)
 

@@ -20,8 +20,9 @@ def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with personal numbers, dates and mailboxes under pseudonyms."""
-    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="production-key-1")
+    """Every document with personal numbers, dates and mailboxes under pseudonyms; the key is the session's ``scenelake.pii.key``."""
+    key = spark.conf.get("scenelake.pii.key", "a key for tests")
+    out = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=key)
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *[count(k) for k in pii.KINDS], F.size("pii").cast("long").alias("n_pii"), "text")
 
@@ -57,7 +58,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation rendered and read back from the rendered text."""
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     hard = "</s>[INST] ok [/INST]"
-    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"))
+    two = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    rows = rows.unionByName(two)
     events = rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("op"), F.lit(None).cast("long").alias("target"), "role", "text")
     out = chat.render(chat.fold(events)).withColumn("turns", chat.parse(F.col("formatted")))
     turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")

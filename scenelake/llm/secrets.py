@@ -68,22 +68,28 @@ def _columns(df: DataFrame, text: str) -> DataFrame:
     )
     df = df.withColumn("__base", base)
     free = F.filter(F.col("__cand"), lambda c: ~F.exists(F.col("__base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    weight = lambda m: F.least(F.greatest(F.length(m) / 32.0, F.lit(0.5)), F.lit(2.0))
-    tested = F.transform(free, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind_no"), c["end"].alias("end"), F.lit("random").alias("kind"), c["m"].alias("m"), F.least(F.lit(1.0), battery(c["m"]) / weight(c["m"])).alias("p")))
+    tested = F.transform(free, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind_no"), c["end"].alias("end"), F.lit("random").alias("kind"), c["m"].alias("m"), F.least(F.lit(1.0), battery(c["m"]) / _weight(c["m"])).alias("p")))
     return df.withColumn("__free", tested).drop("__t", "__assign", "__access", "__hex", "__cand")
 
 
+def _weight(m: Column) -> Column:
+    """By length: longer strings get the larger share of the false discoveries."""
+    return F.least(F.greatest(F.length(m) / 32.0, F.lit(0.5)), F.lit(2.0))
+
+
 def _level(p: Column) -> Column:
     return F.floor(F.log10(F.greatest(p, F.lit(1e-300))) * 50).cast("long")
 
 
 def _limit(tested: DataFrame, fdr: float) -> int | None:
-    """The highest level of p-values that passes the Benjamini-Hochberg procedure over all candidates, or None."""
-    counts = tested.select(F.explode("__free").alias("c")).groupBy(_level(F.col("c.p")).alias("level")).count().collect()  # at most 15,001 rows
+    """The highest level of weighted p-values that passes the Benjamini-Hochberg procedure over all candidates, or None; weights are scaled to a mean of 1."""
+    each = tested.select(F.explode("__free").alias("c"))
+    counts = each.groupBy(_level(F.col("c.p")).alias("level")).agg(F.count(F.lit(1)).alias("count"), F.sum(_weight(F.col("c.m"))).alias("weight")).collect()  # at most 15,001 rows
     total, seen, limit = sum(r["count"] for r in counts), 0, None
+    mean = sum(r["weight"] for r in counts) / max(1, total)
     for r in sorted(counts, key=lambda r: r["level"]):
         seen += r["count"]
-        if 10 ** ((r["level"] + 1) / 50) <= fdr * seen / total:
+        if mean * 10 ** ((r["level"] + 1) / 50) <= fdr * seen / total:
             limit = r["level"]
     return limit
 
@@ -126,15 +132,18 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", text: str = "text", fdr:
     """``docs`` with every span that ``scan`` finds replaced by ``mark``; overlapping spans count as one. All rows and columns stay.
 
     The texts are read twice, once for the threshold and once to be rewritten in place, so no text is shuffled.
+    Null text stays null, empty text empty; repeated rows are rewritten each by itself; an empty table gives an empty result.
+    The rows travel as one column beside the text, so other columns may have any names.
     """
-    limit = _limit(cut(_columns(docs.select(F.col(text).alias("__text")), "__text").select("__free")), fdr)
-    whole = F.col(text)
+    limit = _limit(cut(_columns(docs.select(F.col(text).alias("text")), "text").select("__free")), fdr)
+    whole = F.col("text")
 
     def step(acc, x):
         gap = F.when(x["start"] >= acc["pos"], F.concat(acc["out"], F.substr(whole, (acc["pos"] + 1).cast("int"), (x["start"] - acc["pos"]).cast("int")), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["pos"], x["end"]).alias("pos"), gap.alias("out"))
 
     zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out"))
-    df = _columns(docs, text).withColumn("__found", _found(limit))
+    df = _columns(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text")), "text").withColumn("__found", _found(limit))
     clean = F.aggregate(F.col("__found"), zero, step, lambda a: F.concat(a["out"], F.substr(whole, (a["pos"] + 1).cast("int"))))
-    return df.withColumn(text, F.when(F.size("__found") > 0, clean).otherwise(whole)).select(*docs.columns)
+    new = F.when(F.size("__found") > 0, clean).otherwise(whole)
+    return df.select(*[(new if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

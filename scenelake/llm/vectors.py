@@ -57,6 +57,45 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def colliding(proj: np.ndarray, side: np.ndarray, other: np.ndarray, width: float, least: int, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, one of ``side`` and one of ``other`` (once each if these are the same), that collide on ``least`` projections.
+
+    A query's window on a projection reaches ``width`` to both sides. Each projection is sorted, and the windows are
+    found in it by bisection. Pairs come from the windows of the first projections, as many as a pair may miss and one
+    more, and are told once, by the first that holds them; on the projections after that they are counted, and dropped
+    when they cannot reach ``least`` any more.
+    """
+    m, same = proj.shape[1], side is other
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for j in range(m - least + 1):
+        order = other[np.argsort(proj[other, j], kind="stable")]
+        value = proj[order, j]
+        start = np.searchsorted(value, proj[side, j] - np.float32(width), "left")
+        sizes = np.searchsorted(value, proj[side, j] + np.float32(width), "right") - start
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(side):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, "right")))
+            n = sizes[at:upto]
+            a = np.repeat(side[at:upto], n)
+            b = order[np.repeat(start[at:upto] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            keep = a < b if same else np.ones(len(a), bool)
+            a, b = a[keep], b[keep]
+            missed = np.zeros(len(a), np.int8)
+            for i in range(m):
+                if i == j:
+                    continue
+                miss = np.abs(proj[a, i] - proj[b, i]) > np.float32(width)
+                missed += miss
+                keep = missed <= m - least
+                if i < j:  # a pair in an earlier window has been told there
+                    keep &= miss
+                a, b, missed = a[keep], b[keep], missed[keep]
+            found.append((a, b))
+            at = upto
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 class Hashing:
     """Gaussian directions for vectors of one dimension: ``tables`` times ``axes`` for cells, ``m`` for counting."""
 
@@ -148,13 +187,7 @@ def near(vectors: DataFrame, *, cosine: float = 0.95, tables: int = 14, axes: in
             if not len(side) or not len(other):
                 continue
             proj = (x @ hashing(x.shape[1]).count).astype(np.float32)
-            hits = np.zeros((len(side), len(other)), np.int8)
-            for j in range(m):
-                hits += np.abs(proj[side, j][:, None] - proj[other, j][None]) <= reach * sigma
-            a, b = np.nonzero(hits >= least)
-            a, b = side[a], other[b]
-            if lo == hi:
-                a, b = a[a < b], b[a < b]
+            a, b = colliding(proj, side, other, reach * sigma, least)
             good = np.zeros(len(a), bool)
             for i in range(0, len(a), 20_000):
                 good[i : i + 20_000] = np.einsum("ij,ij->i", x[a[i : i + 20_000]], x[b[i : i + 20_000]]) >= cosine

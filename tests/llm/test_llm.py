@@ -514,3 +514,47 @@ def test_network_gradient_is_the_losss_slope():
     rows = rng.integers(0, 255, (6, language.SPAN)).astype(np.uint8)
     model = language.train(rows, np.array([0, 1] * 3), ["a", "b"], epochs=80, batch=6)
     assert (model.chances(rows).argmax(1) == [0, 1] * 3).all()
+
+
+# names that clash, long mailboxes, repeated items
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "mail jo.smith@example.org, token = abcdefgh", "mine", "theirs", 7), (2, None, None, None, None)], "doc_id long, text string, pii string, __t string, row_0 long")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, key="k").collect()}
+    assert got[1].pii == "mine" and got[1]["__t"] == "theirs" and len(got[1]["pii_"]) == 1 and got[2].text is None
+    got = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert got[1].text == "mail jo.smith@example.org, [SECRET]" and got[1]["__t"] == "theirs" and got[1].pii == "mine" and got[2].text is None
+    twice = df.unionByName(df)
+    assert sorted(r.row_0 or 0 for r in jaccard.dedupe(twice).collect()) in ([0, 0, 7], [0, 7])
+
+
+def test_all_letters_of_a_long_mailbox_are_permuted(spark):
+    box = "abcdefghijklmnopqrstuvwxyz.abcdefghijklmnopqrstuvwxyz"
+    new = pii.pseudonymise(spark.createDataFrame([(f"{box}@example.org",)], "text string"), key="k").first().text
+    assert new.endswith("@example.org") and new[26] == "." and new[24:26] != "yz" and new[27:53] != box[27:] and len(new) == len(box) + 12
+
+
+def test_items_that_share_an_id_or_have_none_are_tested(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(20)) for w in ("ant", "bee", "cat"))
+    items = spark.createDataFrame([(1, one), (1, two), (None, three)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"so {t} it is") for i, t in enumerate((one, two, three, "none of it"))], "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in leakage.search(docs, items).collect()}
+    assert got == {0: [1], 1: [1], 2: [], 3: []}
+    assert [r.doc_id for r in leakage.clean(docs, items).collect()] == [3]
+
+
+def test_lexicon_of_equally_frequent_words_is_not_empty(spark):
+    texts = spark.createDataFrame([(" ".join(f"w{i}" for i in range(400)),)], "t string")
+    model, _ = brown.fit(texts, lexicon=200, clustered=50)
+    assert 50 < len(model.lexicon) <= 201
+
+
+def test_collisions_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    proj = rng.standard_normal((120, 12)).astype(np.float32)
+    side = np.arange(120)
+    for least in (3, 6, 12):
+        a, b = vectors.colliding(proj, side, side, 0.8, least, chunk=500)
+        want = {(i, j) for i in range(120) for j in range(i + 1, 120) if (np.abs(proj[i] - proj[j]) <= np.float32(0.8)).sum() >= least}
+        assert len(a) == len(want) and set(zip(a.tolist(), b.tolist())) == want
