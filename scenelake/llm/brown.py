@@ -101,26 +101,30 @@ class Numbers(dict):
         return n
 
 
-def links(texts: DataFrame, held: list[tuple[str, int]], first: int) -> DataFrame:
+def links(texts: DataFrame, held: list[tuple[str, int]], first: int, marked: np.ndarray) -> DataFrame:
     """(f, a, f2, b, n): how often class b follows class a in all texts, summed by each task over stretches of its texts.
 
-    Words of ``held``, END first, have their class there. Of any other word the fingerprint is told in f (first of the two) or
-    f2 (second), with its shape class.
+    Words of ``held``, END first, have their class there, and words that ``marked`` leaves out that of their shape. Of any
+    other word the fingerprint is told in f (first of the two) or f2 (second), with its shape class.
     """
-    known = texts.sparkSession.sparkContext.broadcast(held)  # a parameter's worth of words
+    known = texts.sparkSession.sparkContext.broadcast((held, np.packbits(marked)))  # a parameter's worth of words, and the bitmap
     width = first + SHAPES
 
     def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = {w.encode("utf-8", "surrogatepass"): i for i, (w, _) in enumerate(known.value)}
-        size, classes = len(base), [c for _, c in known.value]
+        words_, bits = known.value[0], np.unpackbits(known.value[1]).astype(bool)
+        base = {w.encode("utf-8", "surrogatepass"): i for i, (w, _) in enumerate(words_)}
+        size, classes = len(base), [c for _, c in words_]
 
         def frame(flat, ids):
             new = list(ids)[size:]
             cls = np.array(classes + [first + shape(w.decode("utf-8", "surrogatepass")) for w in new], np.int64)
-            code = np.concatenate([np.zeros(size, np.uint64), np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)]).view(np.int64)
+            code = np.concatenate([np.zeros(size, np.uint64), np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)])
+            told = bits[(code & np.uint64(len(bits) - 1)).astype(np.int64)]
+            told[:size] = False
+            code = code.view(np.int64)
             x, out = np.array(flat, np.int64), []
             x, y = x[:-1], x[1:]
-            p, q = x >= size, y >= size
+            p, q = told[x], told[y]
 
             def rows(u, v, one, two):
                 """Sums over u (number or class) and v; ``one`` and ``two`` say which of them are numbers."""
@@ -306,10 +310,11 @@ class Model:
     first_shape: int
     tokens: int
     types: int
+    marked: np.ndarray  # bits of the words that may have a learned class
     discount: float = 0.6
 
 
-def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon: int = 50_000, least_count: int = 10) -> tuple[Model, DataFrame]:
+def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon: int = 150_000, least_count: int = 10) -> tuple[Model, DataFrame]:
     """Learns from all texts of column t: the model, and the table (word, c, f, h) of all counts, fingerprints and learned classes.
 
     ``clustered`` words are clustered into ``classes`` by exchange. Every other word that occurs ``least_count`` times or
@@ -349,7 +354,8 @@ def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon:
     label = np.array(got[0]["label"]) if got else np.concatenate([[0], 1 + np.arange(len(own) - 1) % classes, classes + 1 + np.arange(SHAPES)])
     g = np.array(got[0]["g"]).reshape(k, k) if got else np.zeros((k, k))
     core = [(w, int(label[i])) for i, w in enumerate(own)]
-    learned = assign(contexts(texts, core, classes + 1, frequent_bits(table, least_count)), g, classes, least_count)
+    marked = frequent_bits(table, least_count)
+    learned = assign(contexts(texts, core, classes + 1, marked), g, classes, least_count)
     code = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)).view(np.int64))
     others = {code(w): w for w, _ in top[len(own) - 1 :]}
     wanted = F.broadcast(texts.sparkSession.createDataFrame([(f,) for f in others], "f long"))  # at most ``lexicon`` words
@@ -357,7 +363,7 @@ def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon:
     words_ = [(END, int(ends), 0)]
     words_ += [(w, int(c), class_of.get(w, classes + 1 + shape(w))) for w, c in top]
     # transitions between the classes of all words: those outside the lexicon are joined by fingerprint
-    met = cut(links(texts, [(w, h) for w, _, h in words_], classes + 1).groupBy("f", "a", "f2", "b").agg(F.sum("n").alias("n")))
+    met = cut(links(texts, [(w, h) for w, _, h in words_], classes + 1, marked).groupBy("f", "a", "f2", "b").agg(F.sum("n").alias("n")))
     first = learned.select("f", F.col("h").alias("h1"))
     second = learned.select(F.col("f").alias("f2"), F.col("h").alias("h2"))
     sides = [met.where("f is null and f2 is null").select("a", "b", "n")]
@@ -384,7 +390,7 @@ def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon:
     for r in rare.groupBy(shape_column(F.col("word")).alias("s")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # SHAPES rows
         shape_total[r["s"]], shape_types[r["s"]] = r["c"], r["v"]
     table = table.withColumn("f", F.xxhash64("word")).join(learned.select("f", "h"), "f", "left").select("word", "c", "f", "h")
-    return Model(words_, logt, class_total, shape_total, shape_types, classes + 1, int(tokens), int(types)), table
+    return Model(words_, logt, class_total, shape_total, shape_types, classes + 1, int(tokens), int(types), np.packbits(marked)), table
 
 
 def _rare(model: Model, c: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -416,6 +422,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame, *, doc_id: str = "doc
         emit[closed] = np.log10(np.where(c[closed] > 0, c[closed], 1) / np.where(m.class_total[h[closed]] > 0, m.class_total[h[closed]], 1))
         emit[~closed] = _rare(m, c[~closed], h[~closed] - m.first_shape)
         known, end = c > 0, np.zeros(1, np.int64)
+        bits = np.unpackbits(m.marked).astype(bool)
 
         for part in parts:
             rows = []
@@ -424,14 +431,17 @@ def score(docs: DataFrame, model: Model, table: DataFrame, *, doc_id: str = "doc
                 i = np.fromiter(map(at.get, ws, repeat(-1)), np.int64, len(ws))
                 cls = h[i]
                 far = np.flatnonzero(i < 0)
-                codes = np.array([xxhash.xxh64_intdigest(ws[k], 42) for k in far.tolist()], np.uint64).view(np.int64)
+                codes = np.array([xxhash.xxh64_intdigest(ws[k], 42) for k in far.tolist()], np.uint64)
+                sure = ~bits[(codes & np.uint64(len(bits) - 1)).astype(np.int64)]
+                codes = codes.view(np.int64)
                 shapes = np.array([shape(ws[k].decode("utf-8", "surrogatepass")) for k in far.tolist()], np.int64)
-                # classes with ends; -1 for a word to be joined, whose transitions are scored after that
-                cls[far] = -1
+                # classes with ends; -1 for a word whose class is to be joined, whose transitions are scored after that
+                cls[far] = np.where(sure, m.first_shape + shapes, -1)
                 cls, i = np.concatenate([end, cls, end]), np.concatenate([i[i >= 0], end])
                 one, two = cls[:-1], cls[1:]
                 near = (one >= 0) & (two >= 0)
-                rows.append((len(ws) + 1, int(known[i].sum()), float(base[i].sum()), float(emit[i].sum() + m.logt[one[near], two[near]].sum()), codes, shapes, cls[far], cls[far + 2]))
+                left, right = np.where(sure, -2, cls[far]), np.where(sure, -2, cls[far + 2])  # -2: scored here
+                rows.append((len(ws) + 1, int(known[i].sum()), float(base[i].sum()), float(emit[i].sum() + m.logt[one[near], two[near]].sum()), codes, shapes, left, right))
             yield pd.DataFrame({"id": part["id"]} | {name: [r[i] for r in rows] for i, name in enumerate(("n", "known", "base", "score", "f", "s", "l", "r"))})
 
     source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -449,9 +459,9 @@ def score(docs: DataFrame, model: Model, table: DataFrame, *, doc_id: str = "doc
         F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("known2"),
         F.sum(F.log10((F.col("c") + 1) / F.lit(float(model.tokens + model.types + 1)))).alias("base2"),
         F.sum(F.col("score") + hops).alias("score2"),
-        F.array_sort(F.collect_list(F.when((F.col("l") < 0) | (F.col("r") < 0), F.struct("i", "h", "r")))).alias("apart"),
+        F.array_sort(F.collect_list(F.when((F.col("l") == -1) | (F.col("r") == -1), F.struct("i", "h", "r")))).alias("apart"),
     )
-    meets = F.zip_with("apart", F.slice("apart", F.lit(2), F.greatest(F.size("apart"), F.lit(1))), lambda x, y: F.when((x["r"] < 0) & y.isNotNull(), hop(x["h"], y["h"])).otherwise(0.0))
+    meets = F.zip_with("apart", F.slice("apart", F.lit(2), F.greatest(F.size("apart"), F.lit(1))), lambda x, y: F.when((x["r"] == -1) & y.isNotNull(), hop(x["h"], y["h"])).otherwise(0.0))
     sums = sums.withColumn("score2", F.col("score2") + F.aggregate(meets, F.lit(0.0), lambda a, x: a + x)).drop("apart")
     out = scored.select("row", "id", "n", "known", "base", "score").join(sums, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
