@@ -117,3 +117,35 @@ def angular_velocity(df: DataFrame, keys: list[str], t: str, q: str, out: str =
     dt = F.coalesce(F.lead(t).over(w), F.col(t)) - F.coalesce(F.lag(t).over(w), F.col(t))
     df = df.withColumn("__turn", G.quat_mul(G.quat_conj(before), after)).withColumn("__dt", dt)
     return df.withColumn(out, F.transform(G.rotation_vector(F.col("__turn")), lambda x: F.try_divide(x, F.col("__dt")))).drop("__flip", "__q", "__turn", "__dt")
+
+
+def motion(df: DataFrame, keys: list[str], t: str, values: list[str], mass: Column) -> DataFrame:
+    """Adds speed, tangential and normal acceleration (a_t, a_n), jerk, curvature, momentum and kinetic energy of a point.
+
+    ``values`` are two or three coordinates. Velocity, acceleration and jerk are second-order gradients, each of the one
+    before; a point at rest has no direction, so its a_t and curvature are zero.
+    """
+    source = list(values)
+    for level in "vaj":
+        for c, of in zip(values, source):
+            df = central_gradient(df, keys, t, of, f"{level}_{c}")
+        source = [f"{level}_{c}" for c in values]
+    v, a, j = ([F.col(f"{level}_{c}") for c in values] for level in "vaj")
+    dot = lambda x, y: sum((p * q for p, q in zip(x, y)), F.lit(0.0))
+    df = df.withColumn("speed", F.sqrt(dot(v, v)))
+    moves = F.col("speed") > 1e-12
+    df = df.withColumn("a_t", F.when(moves, F.try_divide(dot(a, v), F.col("speed"))).when(F.col("speed").isNotNull(), 0.0))
+    turns = [(p, q) for p in range(len(values)) for q in range(p + 1, len(values))]
+    cross = F.sqrt(sum(((v[p] * a[q] - v[q] * a[p]) * (v[p] * a[q] - v[q] * a[p]) for p, q in turns), F.lit(0.0)))
+    return df.withColumns({
+        "a_n": F.sqrt(F.greatest(F.lit(0.0), dot(a, a) - F.col("a_t") * F.col("a_t"))), "jerk": F.sqrt(dot(j, j)),
+        "curvature": F.when(moves, F.try_divide(cross, F.col("speed") * F.col("speed") * F.col("speed"))).when(F.col("speed").isNotNull(), 0.0),
+        "momentum": mass * F.col("speed"), "kinetic": mass * F.col("speed") * F.col("speed") / 2,
+    })
+
+
+def three_samples(df: DataFrame, keys: list[str], t: str, value: str) -> DataFrame:
+    """Adds v and a: central first and second differences over a row and its neighbours; null at the ends."""
+    w = Window.partitionBy(*keys).orderBy(t)
+    before, after, span = F.lag(value).over(w), F.lead(value).over(w), F.lead(t).over(w) - F.lag(t).over(w)
+    return df.withColumns({"v": F.try_divide(after - before, span), "a": F.try_divide(after - 2 * F.col(value) + before, span / 2 * (span / 2))})

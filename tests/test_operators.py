@@ -163,3 +163,16 @@ def test_overlap_decides_the_relation_inside_options(spark):
     labels = options.listed_options(F.col("rel"), F.array().cast("array<string>"), F.array(*[F.lit(x) for x in ("in front of", "behind", "left of", "right of")]), 1, F.col("k"))
     got = {r.k: (r.rel, r.labels) for r in rows.withColumn("labels", labels).collect()}
     assert got["over"][0] == "in front of" and got["apart"][0] == "left of" and all(rel in names for rel, names in got.values())
+
+
+def test_curation_raises_on_what_does_not_fit(spark):
+    from scenelake.operators import curation as C
+
+    df = spark.createDataFrame([(1, 5.0), (2, 150.0)], "k int, p double")
+    truth = spark.createDataFrame([(1, "x")], "k int, v string")
+    assert {(r.k, r.v, r.found) for r in C.looked_up(df, truth, "k", "v").collect()} == {(1, "x", True), (2, None, False)}
+    for bad in (C.looked_up(df, truth, "k", "v", strict=True), df.select(C.fraction(F.col("p"))), C.agreed(df.select(F.lit(1).alias("k"), "p"), ["k"], "p")):
+        with pytest.raises(Exception, match="no entry for 2|no percentage|values disagree"):
+            bad.collect()
+    assert C.without_ids(df, "k", []).count() == 2 and C.pick_column(["a", "model_key"], ["idx"], "key") == "model_key" and C.pick_column(["a"], ["idx"]) is None
+    assert spark.range(1).select(C.next_letter(F.lit("q")).alias("x")).first().x == "A"
