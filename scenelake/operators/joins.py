@@ -23,11 +23,14 @@ def missing(df: DataFrame, found: DataFrame, key: str, other: str | None = None)
     return df.join(found.select(F.col(other or key).alias("__k")), df[key] == F.col("__k"), "left_anti")
 
 
-def first_contained(df: DataFrame, text: Column, fragments: DataFrame, fragment: str, ordinal: str, row: list[str]) -> DataFrame:
+def first_contained(df: DataFrame, text: Column, fragments: DataFrame, fragment: str, ordinal: str, row: list[str], most: int = 10_000) -> DataFrame:
     """For each row the first fragment, by ordinal, that its text contains; rows without one have none.
 
-    The fragments are a template list, bounded by its author, so the join goes through all of them for each row.
+    The fragments are a template list, bounded by its author, so the join goes through all of them for each row. More
+    than ``most`` of them are an error, as they would all be broadcast.
     """
+    if fragments.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} fragments: they would be compared with every row")
     hit = df.withColumn("__text", text).join(F.broadcast(fragments), F.contains(F.col("__text"), F.col(fragment)))
     return hit.groupBy(*row).agg(F.min_by(fragment, ordinal).alias(fragment), F.min(ordinal).alias(ordinal))
 
