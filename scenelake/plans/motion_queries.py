@@ -263,7 +263,17 @@ def quaternion_chain(spark, folder):
     return _vectors(spark, folder).select("vec_id", q.alias("q")).select("vec_id", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate("xyzw")])
 
 
-@query()
+@query(f"""
+WITH e AS ({_E}), q AS (SELECT *, sin(value / 50 / 2) AS z, cos(value / 50 / 2) AS w FROM e),
+f AS (SELECT *, CASE WHEN z * lag(z) OVER o + w * lag(w) OVER o < 0 THEN 1 ELSE 0 END AS flip FROM q WINDOW o AS (PARTITION BY user_id ORDER BY t)),
+s AS (SELECT *, CASE WHEN sum(flip) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) % 2 = 1 THEN -1.0 ELSE 1.0 END AS sign FROM f),
+c AS (SELECT event_id, user_id, t, z * sign AS z, w * sign AS w FROM s),
+n AS (SELECT event_id, coalesce(lag(z) OVER o, z) AS z0, coalesce(lag(w) OVER o, w) AS w0, coalesce(lead(z) OVER o, z) AS z1, coalesce(lead(w) OVER o, w) AS w1, coalesce(lead(t) OVER o, t) - coalesce(lag(t) OVER o, t) AS dt FROM c WINDOW o AS (PARTITION BY user_id ORDER BY t)),
+r AS (SELECT event_id, dt, w0 * z1 - z0 * w1 AS tz, w0 * w1 + z0 * z1 AS tw FROM n),
+g AS (SELECT event_id, dt, CASE WHEN tw < 0 THEN -tz ELSE tz END AS tz, abs(tw) AS tw FROM r)
+SELECT event_id, CASE WHEN dt <> 0 AND tz IS NOT NULL THEN 0.0::DOUBLE END AS wx, CASE WHEN dt <> 0 AND tz IS NOT NULL THEN 0.0::DOUBLE END AS wy,
+  tz * CASE WHEN abs(tz) < 1e-12 THEN 2.0 ELSE 2 * atan2(abs(tz), tw) / abs(tz) END / nullif(dt, 0) AS wz FROM g
+""")
 def angular_velocity(spark, folder):
     """Turning rates of a series of rotations made of event values."""
     df = _events(spark, folder).withColumn("q", G.axis_angle_quat(G.vec(0, 0, 1), F.col("value") / 50))

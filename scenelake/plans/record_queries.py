@@ -117,7 +117,13 @@ def mcq_log(spark, folder):
     return _numeric(spark, folder, "mcq_log", options.log_options(F.col("p_retailprice") * 1000, 42, F.col("p_partkey"), least=100.0), F.format_string("%.2e", F.col("p_retailprice") * 1000))
 
 
-@query()
+@query("""
+WITH b AS (SELECT p_partkey, p_size / 150.0 AS r FROM part),
+c AS (SELECT p_partkey, printf('%.2f', r) AS truth, list_transform(list_filter(list_transform([-3.0, -2.0, -1.0, 1.0, 2.0, 3.0], lambda x: (x + 3) / 3 * r), lambda x: x >= 0 AND x <= 0.5), lambda x: printf('%.2f', x)) AS w FROM b),
+l AS (SELECT p_partkey, truth, list_concat([truth], list_filter(w, lambda x: x <> truth)[1:3]) AS labels FROM c),
+h AS (SELECT p_partkey, truth, list_transform(list_sort(list_transform(labels, lambda x: struct_pack(k := sha256(concat_ws(':', '42', p_partkey, x)), x := x))), lambda s: s.x) AS labels FROM l WHERE len(labels) = 4 AND len(list_distinct(labels)) = 4)
+SELECT p_partkey, array_to_string(labels, ',') AS labels, CAST(list_position(labels, truth) - 1 AS INT) AS correct FROM h
+""")
 def mcq_poisson(spark, folder):
     """Options for a ratio made of a part's size."""
     ratio = F.col("p_size") / 150.0
@@ -196,7 +202,7 @@ def hash_uniform(spark, folder):
     return table(spark, folder, "part").select("p_partkey", uniform(7, F.col("p_partkey"), low=5.0, high=15.0).alias("u"))
 
 
-@query()
+@query(f"SELECT p_partkey, CAST(CAST('0x' || substr({_HASH.format(chr(39) + '42' + chr(39) + ', p_partkey')}, 1, 16) AS UBIGINT) AS VARCHAR) AS seed FROM part")
 def seed_numbers(spark, folder):
     """Seeds as 64-bit unsigned numbers."""
     return table(spark, folder, "part").select("p_partkey", seed_of(42, F.col("p_partkey")).cast("string").alias("seed"))
