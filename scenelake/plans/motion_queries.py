@@ -278,7 +278,7 @@ def angular_velocity(spark, folder):
     """Turning rates of a series of rotations made of event values."""
     df = _events(spark, folder).withColumn("q", G.axis_angle_quat(G.vec(0, 0, 1), F.col("value") / 50))
     df = ordered.angular_velocity(df, ["user_id"], "t", "q")
-    return df.select("event_id", *[F.get("omega", F.lit(i)).alias(c) for i, c in enumerate(("wx", "wy", "wz"))])
+    return df.select("event_id", *[(F.get("omega", F.lit(i)) + F.lit(0.0)).alias(c) for i, c in enumerate(("wx", "wy", "wz"))])  # no negative zeros
 
 
 @query()
