@@ -293,9 +293,10 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
     if not members.isEmpty():
         links = _derived(members, sets, links, num, den)
     roots = components(links)
-    classes = groups.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    out = rows.join(classes.join(least, "root").select("node", "component_id"), "node", "left")
+    linked = groups.join(roots, "node").select("node", "low", "root")
+    least = cut(linked.groupBy("root").agg(F.min("low").alias("component_id")))  # written, so that the join by a large class's root can be split
+    classes = groups.join(linked.join(least, "root").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
+    out = rows.join(classes, "node", "left")
     alone = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
