@@ -9,6 +9,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +23,28 @@ EDGES, MARKS = (3, 5, 7, 9, 12, 16), ".,;:!?"
 SHAPES = 2 * (len(EDGES) + 1)
 
 
+#: Twice the number of EDGES that a length reaches, for lengths up to the last of them.
+_STEPS = [2 * sum(n >= e for e in EDGES) for n in range(EDGES[-1] + 1)]
+_MARKS = frozenset(MARKS.encode())
+
+
 def words(text: str) -> list[bytes]:
     """The words of a text in UTF-8; bytes lower only A-Z and split only at ASCII white space."""
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def shape(w: str) -> int:
-    return 2 * sum(len(w) >= e for e in EDGES) + (w[-1] in MARKS)
+    return _shape(w.encode("utf-8", "surrogatepass"))
+
+
+def _shape(w: bytes) -> int:
+    n = len(w) if w.isascii() else len(w.decode("utf-8", "replace"))
+    return _STEPS[min(n, EDGES[-1])] + (w[-1] in _MARKS)
+
+
+def utf8(batch: pa.RecordBatch) -> list[bytes]:
+    """The texts of column t as they lie in the batch, without decoding them."""
+    return batch.column(batch.schema.get_field_index("t")).cast(pa.large_binary()).to_pylist()
 
 
 def shape_column(w: Column) -> Column:
@@ -39,20 +55,20 @@ def shape_column(w: Column) -> Column:
 def counts(texts: DataFrame, limit: int = 300_000) -> DataFrame:
     """(word, c) over all texts of column t, ends included: each task sums what it reads before anything is shuffled."""
 
-    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = lambda: pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in got], "c": list(got.values())})
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = lambda: pa.record_batch({"word": pa.array(list(got), pa.binary()), "c": pa.array(list(got.values()), pa.int64())})
         got: Counter[bytes] = Counter()
         for part in parts:
-            for t in part["t"]:
-                got.update(words(t))
+            for t in utf8(part):
+                got.update(t.lower().split())
                 if len(got) > limit:
                     yield frame()
                     got = Counter()
-            got[END.encode()] += len(part)
+            got[END.encode()] += part.num_rows
         if got:
             yield frame()
 
-    return texts.mapInPandas(counted, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(counted, "word binary, c long").groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("c").alias("c"))
 
 
 class Ids(dict):
@@ -63,7 +79,7 @@ class Ids(dict):
         self.first = first
 
     def __missing__(self, w: bytes) -> int:
-        n = self.first + shape(w.decode("utf-8", "surrogatepass"))
+        n = self.first + _shape(w)
         if len(self) < 400_000:
             self[w] = n
         return n
@@ -74,23 +90,21 @@ def bigrams(texts: DataFrame, clustered: list[str]) -> DataFrame:
     size = len(clustered) + SHAPES
     held = texts.sparkSession.sparkContext.broadcast(clustered)  # a parameter's worth of words
 
-    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, total = Ids(held.value, len(held.value)), np.zeros(0, np.int64)
-        keys = np.zeros(0, np.int64)
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, total = Ids(held.value, len(held.value)), np.zeros(size * size, np.int64)
         for part in parts:
             flat = [0]
-            for i, t in enumerate(part["t"], 1):
-                flat.extend(map(ids.__getitem__, words(t)))
+            for i, t in enumerate(utf8(part), 1):
+                flat.extend(map(ids.__getitem__, t.lower().split()))
                 flat.append(0)
-                if len(flat) > 1_000_000 or i == len(part):
+                if len(flat) > 1_000_000 or i == part.num_rows:
                     x = np.array(flat, np.int64)
-                    k, n = np.unique(x[:-1] * size + x[1:], return_counts=True)
-                    both, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                    total = np.bincount(at, weights=np.concatenate([total, n])).astype(np.int64)
-                    keys, flat = both, [0]
-        yield pd.DataFrame({"a": keys // size, "b": keys % size, "n": total})
+                    total += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
+                    flat = [0]
+        keys = np.flatnonzero(total)
+        yield pa.record_batch({"a": (keys // size).astype(np.int32), "b": (keys % size).astype(np.int32), "n": total[keys]})
 
-    return texts.mapInPandas(counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 class Numbers(dict):
@@ -110,14 +124,14 @@ def links(texts: DataFrame, held: list[tuple[str, int]], first: int, marked: np.
     known = texts.sparkSession.sparkContext.broadcast((held, np.packbits(marked)))  # a parameter's worth of words, and the bitmap
     width = first + SHAPES
 
-    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_, bits = known.value[0], np.unpackbits(known.value[1]).astype(bool)
         base = {w.encode("utf-8", "surrogatepass"): i for i, (w, _) in enumerate(words_)}
         size, classes = len(base), [c for _, c in words_]
 
         def frame(flat, ids):
             new = list(ids)[size:]
-            cls = np.array(classes + [first + shape(w.decode("utf-8", "surrogatepass")) for w in new], np.int64)
+            cls = np.array(classes + [first + _shape(w) for w in new], np.int64)
             code = np.concatenate([np.zeros(size, np.uint64), np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)])
             told = bits[(code & np.uint64(len(bits) - 1)).astype(np.int64)]
             told[:size] = False
@@ -130,26 +144,28 @@ def links(texts: DataFrame, held: list[tuple[str, int]], first: int, marked: np.
                 """Sums over u (number or class) and v; ``one`` and ``two`` say which of them are numbers."""
                 wide = len(ids) if two else width
                 k, n = np.unique(u * wide + v, return_counts=True)
-                u, v, none = k // wide, k % wide, np.full(len(k), None)
-                out.append(pd.DataFrame({"f": pd.array(code[u], "Int64") if one else none, "a": cls[u] if one else u, "f2": pd.array(code[v], "Int64") if two else none, "b": cls[v] if two else v, "n": n}).astype({"f": "Int64", "f2": "Int64"}))
+                u, v, none = k // wide, k % wide, [None] * len(k)
+                a, b = cls[u] if one else u, cls[v] if two else v
+                columns = {"f": code[u] if one else none, "a": a.astype(np.int32), "f2": code[v] if two else none, "b": b.astype(np.int32), "n": n}
+                out.append(pa.record_batch({c: pa.array(x, pa.int32() if c in "ab" else pa.int64()) for c, x in columns.items()}))
 
             rows(cls[x[~p & ~q]], cls[y[~p & ~q]], False, False)
             rows(x[p & ~q], cls[y[p & ~q]], True, False)
             rows(cls[x[q & ~p]], y[q & ~p], False, True)
             rows(x[p & q], y[p & q], True, True)
-            return pd.concat(out)
+            return out
 
         flat, ids = [0], Numbers(base)
         for part in parts:
-            for t in part["t"]:
-                flat.extend(map(ids.__getitem__, words(t)))
+            for t in utf8(part):
+                flat.extend(map(ids.__getitem__, t.lower().split()))
                 flat.append(0)
                 if len(flat) > 2_000_000:
-                    yield frame(flat, ids)
+                    yield from frame(flat, ids)
                     flat, ids = [0], Numbers(base)
-        yield frame(flat, ids)
+        yield from frame(flat, ids)
 
-    return texts.mapInPandas(counted, "f long, a int, f2 long, b int, n long")
+    return texts.mapInArrow(counted, "f long, a int, f2 long, b int, n long")
 
 
 def frequent_bits(table: DataFrame, least: int, bits: int = 23) -> np.ndarray:
@@ -170,14 +186,14 @@ def contexts(texts: DataFrame, held: list[tuple[str, int]], first: int, marked:
     known = texts.sparkSession.sparkContext.broadcast((held, np.packbits(marked)))  # a parameter's worth of words, and the bitmap
     width = first + SHAPES
 
-    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_, bits = known.value[0], np.unpackbits(known.value[1]).astype(bool)
         base = {w.encode("utf-8", "surrogatepass"): i for i, (w, _) in enumerate(words_)}
         size, classes = len(base), [c for _, c in words_]
 
         def frame(flat, ids):
             new = list(ids)[size:]
-            cls = np.array(classes + [first + shape(w.decode("utf-8", "surrogatepass")) for w in new], np.int64)
+            cls = np.array(classes + [first + _shape(w) for w in new], np.int64)
             code = np.concatenate([np.zeros(size, np.uint64), np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)])
             told = bits[(code & np.uint64(len(bits) - 1)).astype(np.int64)]
             told[:size] = False
@@ -185,19 +201,19 @@ def contexts(texts: DataFrame, held: list[tuple[str, int]], first: int, marked:
             x, y = x[:-1], x[1:]
             p, q = told[x], told[y]
             k, n = np.unique(np.concatenate([x[p] * (2 * width) + cls[y[p]], y[q] * (2 * width) + width + cls[x[q]]]), return_counts=True)
-            return pd.DataFrame({"f": code.view(np.int64)[k // (2 * width)], "d": k % (2 * width), "n": n})
+            return pa.record_batch({"f": code.view(np.int64)[k // (2 * width)], "d": (k % (2 * width)).astype(np.int32), "n": n.astype(np.int64)})
 
         flat, ids = [0], Numbers(base)
         for part in parts:
-            for t in part["t"]:
-                flat.extend(map(ids.__getitem__, words(t)))
+            for t in utf8(part):
+                flat.extend(map(ids.__getitem__, t.lower().split()))
                 flat.append(0)
                 if len(flat) > 2_000_000:
                     yield frame(flat, ids)
                     flat, ids = [0], Numbers(base)
         yield frame(flat, ids)
 
-    return texts.mapInPandas(counted, "f long, d int, n long")
+    return texts.mapInArrow(counted, "f long, d int, n long")
 
 
 def assign(contexts: DataFrame, g: np.ndarray, classes: int, least: int, rounds: int = 3) -> DataFrame:
@@ -358,7 +374,7 @@ def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon:
     learned = assign(contexts(texts, core, classes + 1, marked), g, classes, least_count)
     code = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)).view(np.int64))
     others = {code(w): w for w, _ in top[len(own) - 1 :]}
-    wanted = F.broadcast(texts.sparkSession.createDataFrame([(f,) for f in others], "f long"))  # at most ``lexicon`` words
+    wanted = F.broadcast(texts.sparkSession.createDataFrame(pa.table({"f": pa.array(list(others), pa.int64())})))  # at most ``lexicon`` words
     class_of = dict(core) | {others[r["f"]]: r["h"] for r in learned.join(wanted, "f").select("f", "h").collect()}
     words_ = [(END, int(ends), 0)]
     words_ += [(w, int(c), class_of.get(w, classes + 1 + shape(w))) for w, c in top]
@@ -385,7 +401,7 @@ def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon:
         class_total[h] += c
     for r in learned.groupBy("h").agg(F.sum("c").alias("c")).collect():  # ``classes`` rows
         class_total[r["h"]] += r["c"]
-    rare = table.where(F.col("c") < least_count).join(F.broadcast(texts.sparkSession.createDataFrame([(w,) for w in own], "word string")), "word", "left_anti")  # ``clustered`` words
+    rare = table.where(F.col("c") < least_count).join(F.broadcast(texts.sparkSession.createDataFrame(pa.table({"word": pa.array(own, pa.string())}))), "word", "left_anti")  # ``clustered`` words
     shape_total, shape_types = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in rare.groupBy(shape_column(F.col("word")).alias("s")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # SHAPES rows
         shape_total[r["s"]], shape_types[r["s"]] = r["c"], r["v"]
@@ -411,7 +427,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame, *, doc_id: str = "doc
     held = spark.sparkContext.broadcast(model)  # bounded by the model's parameters
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def local(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def local(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         at = {w.encode("utf-8", "surrogatepass"): i for i, (w, _, _) in enumerate(m.lexicon)}
         c = np.array([x[1] for x in m.lexicon], np.float64)
@@ -425,16 +441,18 @@ def score(docs: DataFrame, model: Model, table: DataFrame, *, doc_id: str = "doc
         bits = np.unpackbits(m.marked).astype(bool)
 
         for part in parts:
+            if not part.num_rows:
+                continue
             rows = []
-            for t in part["t"]:
-                ws = words(t)
+            for t in utf8(part):
+                ws = t.lower().split()
                 i = np.fromiter(map(at.get, ws, repeat(-1)), np.int64, len(ws))
                 cls = h[i]
                 far = np.flatnonzero(i < 0)
                 codes = np.array([xxhash.xxh64_intdigest(ws[k], 42) for k in far.tolist()], np.uint64)
                 sure = ~bits[(codes & np.uint64(len(bits) - 1)).astype(np.int64)]
                 codes = codes.view(np.int64)
-                shapes = np.array([shape(ws[k].decode("utf-8", "surrogatepass")) for k in far.tolist()], np.int64)
+                shapes = np.array([_shape(ws[k]) for k in far.tolist()], np.int64)
                 # classes with ends; -1 for a word whose class is to be joined, whose transitions are scored after that
                 cls[far] = np.where(sure, m.first_shape + shapes, -1)
                 cls, i = np.concatenate([end, cls, end]), np.concatenate([i[i >= 0], end])
@@ -442,11 +460,14 @@ def score(docs: DataFrame, model: Model, table: DataFrame, *, doc_id: str = "doc
                 near = (one >= 0) & (two >= 0)
                 left, right = np.where(sure, -2, cls[far]), np.where(sure, -2, cls[far + 2])  # -2: scored here
                 rows.append((len(ws) + 1, int(known[i].sum()), float(base[i].sum()), float(emit[i].sum() + m.logt[one[near], two[near]].sum()), codes, shapes, left, right))
-            yield pd.DataFrame({"id": part["id"]} | {name: [r[i] for r in rows] for i, name in enumerate(("n", "known", "base", "score", "f", "s", "l", "r"))})
+            flat = {c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate((("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())))}
+            ends = pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]), pa.int32())
+            lists = {c: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[i] for r in rows]), k)) for i, (c, k) in enumerate((("f", pa.int64()), ("s", pa.int32()), ("l", pa.int32()), ("r", pa.int32())), 4)}
+            yield pa.record_batch({"id": part.column(0)} | flat | lists)
 
     source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     schema = f"id {kind}, n long, known long, base double, score double, f array<long>, s array<int>, l array<int>, r array<int>"
-    scored = cut(source.mapInPandas(local, schema).withColumn("row", F.monotonically_increasing_id()))
+    scored = cut(source.mapInArrow(local, schema).withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.posexplode(F.arrays_zip("f", "s", "l", "r")).alias("i", "z")).select("row", "i", "z.f", "z.s", "z.l", "z.r")
     rare = rare.join(table.select("f", "c", "h"), "f", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     look = lambda x, at: F.element_at(F.split(F.lit(",".join(repr(float(v)) for v in x)), ",").cast("array<double>"), (at + 1).cast("int"))
