@@ -1 +1 @@
-"""Training-data operators: scoring, privacy, quality, duplicates, secrets, packing, chat, leakage, language."""
+"""Training-data operators: scoring, privacy, quality, duplicates of vectors, texts and lines, secrets, packing, chat, leakage, language, negatives, periodic runs."""

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, jaccard, language, leakage, packing, pii, quality, secrets, vectors
-from .common import digest_bucket, table
+from . import brown, chat, jaccard, language, leakage, lines, negatives, packing, periodic, pii, quality, secrets, vectors
+from .common import WORD, digest_bucket, let, table
 
 
 def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,43 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (digest_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without lines that an earlier document holds."""
+    out = lines.dedupe(table(spark, sf_dir, "documents"), least=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector for its first positives."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document; one document in ten is first made periodic from some word on, by its id."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        at = lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(w, lambda x, i: at(i)), " "))
+
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(h % 10 == 0, let(words, repeated)).otherwise(F.col("text")).alias("text"))
+    found = periodic.runs(docs, least=24, times=3)
+    longer = lambda x, best: x["length"] * best["period"] > best["length"] * x["period"]
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    top = F.aggregate("runs", none, lambda best, x: F.when(best.isNull() | longer(x, best), x).otherwise(best))
+    told = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), F.col("top.length").alias("length"), F.col("top.period").alias("period"),
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).cast("long").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP4_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -135,5 +172,35 @@ WITH rows AS (
 SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM agg
 """
 
-QUERIES = {f.__name__: f for f in (op1_brown, op2_pii, op3_quality, op4_vectors, op5_jaccard, op6_secrets, op7_packing, op8_chat, op9_leakage, op10_language)}
-ORACLE: dict[str, str] = {"op4_vectors": OP4_SQL, "op5_jaccard": OP5_SQL, "op8_chat": OP8_SQL}
+OP11_SQL = """
+WITH parted AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), lines AS (
+  SELECT r, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM parted
+), keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), repeats AS (
+  SELECT k, min(doc_id) AS low FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (low <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (low IS NULL OR low = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN repeats USING (k) GROUP BY r, doc_id
+"""
+
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS s, a.label = b.label AS same
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, vec_id NULLS LAST, b) AS k FROM scores WHERE same QUALIFY k <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.k ORDER BY n.s DESC, n.vec_id NULLS LAST, n.b) AS INTEGER) AS rank,
+  n.vec_id AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM positives p JOIN scores n ON p.a = n.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s QUALIFY rank <= 3
+"""
+
+QUERIES = {f.__name__: f for f in (op1_brown, op2_pii, op3_quality, op4_vectors, op5_jaccard, op6_secrets, op7_packing, op8_chat, op9_leakage, op10_language, op11_lines, op12_negatives, op13_periodic)}
+ORACLE: dict[str, str] = {"op4_vectors": OP4_SQL, "op5_jaccard": OP5_SQL, "op8_chat": OP8_SQL, "op11_lines": OP11_SQL, "op12_negatives": OP12_SQL}
