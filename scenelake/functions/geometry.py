@@ -82,10 +82,20 @@ def axis_angle_quat(axis: Column, angle: Column) -> Column:
     return F.array(*[F.get(u, F.lit(i)) * F.sin(angle / 2) for i in range(3)], F.cos(angle / 2))
 
 
-def euler_quat(rx: Column, ry: Column, rz: Column) -> Column:
-    """Rotation about x, then y, then z (radians)."""
+def euler_quat(rx: Column, ry: Column, rz: Column, order: str = "ZYX") -> Column:
+    """The product of the rotations about the named axes (radians), the first one outermost: ZYX turns about x, then y, then z."""
+    if sorted(order) != ["X", "Y", "Z"]:
+        raise ValueError(f"no order of axes: {order}")
     q = lambda i, a: F.array(*[F.sin(a / 2) if k == i else F.lit(0.0) for k in range(3)], F.cos(a / 2))
-    return quat_mul(q(2, rz), quat_mul(q(1, ry), q(0, rx)))
+    one, two, three = (q(i, (rx, ry, rz)[i]) for i in map("XYZ".index, order))
+    return quat_mul(quat_mul(one, two), three)
+
+
+def unit_quat(q: Column) -> Column:
+    """A quaternion of length 1; the identity for one of length 0."""
+    none = F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0)))
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return let(q, lambda v: let(size(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(none)))
 
 
 def matrix_quat(r: Column) -> Column:

@@ -193,8 +193,8 @@ def image_tokens(width: Column, height: Column, patch: int = 32) -> Column:
 
 
 def time_key(frame: Column) -> Column:
-    """The time of a frame number at four steps a frame and one hundredth a step, as the key of a step: 000.050 for 1."""
-    return F.lpad(F.format_string("%.2f0", (frame * 4 + 1) / F.lit(100.0)), 7, "0")
+    """The time of a frame number at four steps a frame and one hundredth a step, as the key of a step: 0000.050 for 1."""
+    return F.lpad(F.format_string("%.2f0", (frame * 4 + 1) / F.lit(100.0)), 8, "0")
 
 
 def inserted(values: Column, at: Column, value: Column) -> Column:

@@ -186,7 +186,7 @@ def vector_values(spark, folder):
 
 @query("""
 SELECT p_partkey, CASE WHEN p_size <= 1 THEN p_size * 1.0 ELSE p_size / 100.0 END AS fraction, CAST(ceil(p_size * 10 / 32.0) * ceil(p_size * 7 / 32.0) AS BIGINT) AS tokens,
-  lpad(printf('%.2f', (p_size * 4 + 1) / 100.0) || '0', 7, '0') AS time_key FROM part
+  printf('%04d.%02d0', (p_size * 4 + 1) // 100, (p_size * 4 + 1) % 100) AS time_key FROM part
 """)
 def small_values(spark, folder):
     """Percentages as fractions, image tokens, and time keys of frames."""

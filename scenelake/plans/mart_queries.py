@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, joins
+from ..operators import aggregates, joins, names
 from .registry import query, table
 
 
@@ -49,7 +49,7 @@ def anti_missing(spark, folder):
 def theta_contains(spark, folder):
     """The first benchmark passage that a document contains literally."""
     items = _t(spark, folder, "benchmark").select("item_id", F.col("text").alias("fragment"))
-    return joins.first_contained(_t(spark, folder, "documents").select("doc_id", "text"), F.col("text"), items, "fragment", "item_id", ["doc_id"])
+    return names.picked(_t(spark, folder, "documents"), "text", ["doc_id"], items, "fragment", "item_id")
 
 
 @query("SELECT l_partkey, arg_min(l_returnflag, struct_pack(a := l_orderkey, b := l_linenumber)) AS l_returnflag, count(DISTINCT l_returnflag) <= 1 AS agrees FROM lineitem GROUP BY 1")

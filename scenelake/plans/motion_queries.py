@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import aggregates, joins, ordered, predicates
+from ..operators import aggregates, joins, neighbours, ordered, predicates
 from .registry import query, table
 
 _E = "SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1e6 AS t FROM events"
@@ -205,20 +205,20 @@ def _vectors(spark, folder):
 @query(f"{_V}, p AS ({_PAIRS}), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank FROM p) SELECT a, b, distance FROM k WHERE rank = 1")
 def closest_pair(spark, folder):
     """The nearest other vector of the same label."""
-    return joins.nearest(_vectors(spark, folder), ["label"], "vec_id", "e").select("a", "b", "distance")
+    return neighbours.nearest(_vectors(spark, folder), ["label"], "vec_id", "e").select("a", "b", "distance")
 
 
 @query(f"{_V}, p AS ({_PAIRS}), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank FROM p) SELECT a, avg(distance) AS mean, max(distance) AS far FROM k WHERE rank <= 20 GROUP BY a")
 def knn_k20(spark, folder):
     """Mean and largest distance of the twenty nearest of the same label."""
-    near = joins.nearest(_vectors(spark, folder), ["label"], "vec_id", "e", 20)
+    near = neighbours.nearest(_vectors(spark, folder), ["label"], "vec_id", "e", 20)
     return near.groupBy("a").agg(F.avg("distance").alias("mean"), F.max("distance").alias("far"))
 
 
 @query(f"{_V}, p AS ({_PAIRS}), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank FROM p), l AS (SELECT a, list(distance ORDER BY distance) AS d, median(distance) FILTER (WHERE rank <= 5) AS m FROM k WHERE rank <= 20 GROUP BY a) SELECT a, CASE WHEN d[least(5, len(d))] > 3 * d[1] THEN m ELSE d[1] END AS distance FROM l")
 def robust_nn(spark, folder):
     """The nearest distance, or the median of five where the nearest stands out."""
-    near = joins.nearest(_vectors(spark, folder), ["label"], "vec_id", "e", 20)
+    near = neighbours.nearest(_vectors(spark, folder), ["label"], "vec_id", "e", 20)
     return near.groupBy("a").agg(F.array_sort(F.collect_list("distance")).alias("d")).select("a", joins.robust_distance(F.col("d")).alias("distance"))
 
 
