@@ -151,6 +151,7 @@ def dedupe(docs: DataFrame, *, least: int = 10, doc_id: str = "doc_id", text: st
     lines = cut(marked.select("id", *place, F.explode("suspects").alias("key")))
     low, high, none = F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("id").isNull()).alias("none")
     first = lines.groupBy("key").agg(low, high, none).where((F.col("low") < F.col("high")) | (F.col("none") & F.col("low").isNotNull())).select("key", "low")
+    first = cut(first)  # so that both sides of the join are plain shuffles, and a line that very many documents hold can be split
     drops = lines.join(first, "key").where(~F.col("id").eqNullSafe(F.col("low")))
     drops = drops.groupBy("id", *place).agg(F.collect_set("key").alias("dropped")).select(F.col("id").alias("of"), *[F.col(c).alias(f"d{c}") for c in place], "dropped")
 
