@@ -70,16 +70,6 @@ def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("r"))
 
 
-def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Pearson's r of average ranks within each group."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-
-    def mean_rank(c: str) -> Column:
-        return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / F.lit(2.0)
-
-    return both.withColumns({"__x": mean_rank(x), "__y": mean_rank(y)}).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("__x", "__y").alias("rho"))
-
-
 def line(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """The least-squares line of y on x for each group."""
     return df.groupBy(*by).agg(F.regr_count(y, x).alias("n"), F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"), F.regr_r2(F.col(y), F.col(x)).alias("r2"))
@@ -92,10 +82,47 @@ def residuals(df: DataFrame, by: list[str], x: str, y: str, out: str = "residual
     return joined.withColumn(out, F.col(y) - (F.col("slope") * F.col(x) + F.col("intercept"))).drop("slope", "intercept", *[f"__{b}" for b in by])
 
 
+def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(by, n, quantiles): exact quantiles of the non-null values of each group, with linear interpolation.
+
+    A first pass takes sketches of bounded size, whose ranks are off by n / ``accuracy`` at most. They bracket every
+    quantile; a second pass counts what lies below a bracket and, by value, what lies in it. Only those counts are put
+    in order, some 4 n / ``accuracy`` values a quantile, and equal values are one. A bracket that misses its quantile
+    raises an error. Null is a group like others; groups without a value have no row.
+    """
+    keys = [f"__b{i}" for i in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(value).cast("double").alias("__v"))
+    wide = 2.0 / accuracy
+    edges = [min(1.0, max(0.0, x)) for p in shares for x in (p - wide, p + wide)]
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__v", edges, accuracy).alias("__e"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    few = F.col("n") <= accuracy  # then a bracket is the whole group, which is no larger than a bracket of a large one
+    low = lambda i, p: F.when(F.lit(p - wide <= 0) | few, F.col("__min")).otherwise(F.get("__e", F.lit(2 * i)))
+    high = lambda i, p: F.when(F.lit(p + wide >= 1) | few, F.col("__max")).otherwise(F.get("__e", F.lit(2 * i + 1)))
+    brackets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), low(i, p).alias("lo"), high(i, p).alias("hi")) for i, p in enumerate(shares)])
+    sketch = sketch.select(*[F.col(k).alias(f"r{k}") for k in keys], "n", brackets.alias("__b"))
+    met = rows.join(sketch, [F.col(k).eqNullSafe(F.col(f"r{k}")) for k in keys]) if keys else rows.crossJoin(sketch)  # one row
+    met = met.select(*keys, "n", "__v", F.explode("__b").alias("b")).where("__v <= b.hi")
+    inside = F.when(F.col("__v") >= F.col("b.lo"), F.col("__v"))
+    counts = met.groupBy(*keys, "n", "b.i", "b.p", inside.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*keys, "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("c").over(w)).withColumn("at", (F.col("n") - 1) * F.col("p"))
+    held = lambda k: F.min(F.when((F.col("upto") > k) & (F.col("upto") - F.col("c") <= k), F.col("v")))
+    k = F.floor(F.col("at") + 1e-9)
+    two = ranked.groupBy(*keys, "n", "i", "p", "at").agg(held(k).alias("a"), held(F.least(k + 1, F.col("n") - 1)).alias("b"))
+    share = F.col("at") - k
+    lost = F.raise_error(F.lit("a bracket missed its quantile")).cast("double")
+    q = F.when(F.col("a").isNull() | (F.col("b").isNull() & (share > 1e-9)), lost).when(share <= 1e-9, F.col("a")).otherwise(F.col("a") + share * (F.col("b") - F.col("a")))
+    out = two.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("i", q.alias("q")))).alias("q"))
+    return out.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], "n", F.transform("q", lambda x: x["q"]).alias("quantiles"))
+
+
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles."""
-    q = lambda p: F.percentile(F.col(value), F.lit(p))
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(value).alias("max"))
+    """Count, mean, deviation, extremes and exact quartiles of each group; null is a group like others."""
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = percentiles(df, by, value, [0.25, 0.5, 0.75]).select(*[F.col(b).alias(f"__q{i}") for i, b in enumerate(by)], "quantiles")
+    joined = plain.join(q, [F.col(b).eqNullSafe(F.col(f"__q{i}")) for i, b in enumerate(by)], "left") if by else plain.join(q, how="left")  # one row each
+    at = lambda i: F.get("quantiles", F.lit(i))
+    return joined.select(*by, "n", "mean", "std", "min", at(0).alias("q1"), at(1).alias("median"), at(2).alias("q3"), "max")
 
 
 def two_level(df: DataFrame, by: list[str], inner: list[str], value: Column) -> DataFrame:

@@ -97,10 +97,6 @@ def first_where(df: DataFrame, keys: list[str], order: list[str], condition: Col
     return df.where(condition).groupBy(*keys).agg(best).select(*keys, *[F.col(f"__first.{c}").alias(c) for c in kept])
 
 
-def ordinal(df: DataFrame, keys: list[str], order: list[str], out: str = "ordinal") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-
-
 def angular_velocity(df: DataFrame, keys: list[str], t: str, q: str, out: str = "omega") -> DataFrame:
     """Rotation rate about the axis, from unit quaternions (x, y, z, w) of neighbouring rows; one-sided at the ends.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
-from . import allocation
+from . import allocation, ranks
 
 
 def group_key(*cols: str) -> Column:
@@ -23,12 +23,13 @@ def sizes(df: DataFrame, *cols: str) -> dict[str, int]:
 
 def draw(df: DataFrame, groups: list[str], takes: Mapping[str, int] | int, key: str, seed: int = 42) -> DataFrame:
     """The first rows of each group in hash order, as many as it takes; ties go by key."""
-    w = Window.partitionBy("__g").orderBy(order_key(seed, F.col(key)), key)
-    ranked = df.withColumn("__g", group_key(*groups)).withColumn("__k", F.row_number().over(w))
-    if isinstance(takes, int):
-        return ranked.where(F.col("__k") <= takes).drop("__g", "__k")
-    limit = df.sparkSession.createDataFrame(list(takes.items()) or [("", 0)], "__g string, __take long")
-    return ranked.join(F.broadcast(limit), "__g").where("__k <= __take").drop("__g", "__k", "__take")  # a row a group
+    if isinstance(takes, int):  # the limit is part of the plan, so tasks drop what is beyond it before the shuffle
+        w = Window.partitionBy("__g").orderBy(order_key(seed, F.col(key)), key)
+        return df.withColumn("__g", group_key(*groups)).withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= takes).drop("__g", "__k")
+    limit = df.sparkSession.createDataFrame(list(takes.items()) or [("", 0)], "__t string, __take long")
+    keyed = df.withColumn("__t", group_key(*groups)).join(limit.where("__take > 0"), "__t")
+    ranked = ranks.ordinal(keyed, ["__t"], [order_key(seed, F.col(key)), key], "__k")
+    return ranked.where("__k <= __take").select(*df.columns)
 
 
 def even(df: DataFrame, groups: list[str], target: int, key: str, seed: int = 42) -> DataFrame:
@@ -71,9 +72,8 @@ def closed_trim(df: DataFrame, sample: DataFrame, bundle: Column, group: str, ta
     per = full.groupBy("__b").agg(F.count(F.lit(1)).alias("n"), F.min(group_key(group)).alias("g"))
     over = {r["g"]: r["n"] - takes.get(r["g"], 0) for r in per.groupBy("g").agg(F.sum("n").alias("n")).collect()}
     rank = F.coalesce(*[F.when(F.col("g") == g, F.lit(x)) for g, x in over.items()], F.lit(0))
-    # bundles in the order in which they stay: a running sum over the sample, which is a report's size
-    w = Window.orderBy(rank, order_key(seed, F.col("__b")), "__b").rowsBetween(Window.unboundedPreceding, 0)
-    stay = per.withColumn("s", F.sum("n").over(w)).where(F.col("s") <= target).select("__b")
+    # bundles in the order in which they stay, added up by ranges of that order
+    stay = ranks.running(per.select("__b", "n", rank.alias("r")), [], ["r", order_key(seed, F.col("__b")), "__b"], F.col("n"), "s").where(F.col("s") <= target).select("__b")
     return full.join(stay, "__b", "left_semi").drop("__b")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, joins, names
+from ..operators import aggregates, joins, names, ranks
 from .registry import query, table
 
 
@@ -134,7 +134,7 @@ SELECT p_brand, count(*) AS n, corr(x, y) AS rho FROM k GROUP BY 1
 """)
 def spearman(spark, folder):
     """Rank correlation of size and price by brand."""
-    return aggregates.spearman(_t(spark, folder, "part"), ["p_brand"], "p_size", "p_retailprice")
+    return ranks.spearman(_t(spark, folder, "part"), ["p_brand"], "p_size", "p_retailprice")
 
 
 @query("SELECT l_returnflag, regr_count(l_extendedprice, l_quantity) AS n, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem GROUP BY 1")
@@ -184,12 +184,4 @@ def natural_sort(spark, folder):
     from ..functions.text import natural_key
 
     df = _t(spark, folder, "supplier").select("s_name", natural_key(F.col("s_name")).alias("key"))
-    ordered = df.repartitionByRange(F.col("key"), F.col("s_name")).sortWithinPartitions("key", "s_name")
-    counted = ordered.withColumn("p", F.spark_partition_id())
-    sizes = {r["p"]: r["count"] for r in counted.groupBy("p").count().collect()}  # a row a partition
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    base = F.coalesce(*[F.when(F.col("p") == p, F.lit(n)) for p, n in before.items()], F.lit(0))
-    within = F.monotonically_increasing_id() - F.shiftleft(F.col("p").cast("long"), 33)
-    return counted.select("s_name", (base + within + 1).cast("long").alias("k"))
+    return ranks.ordinal(df, [], ["key", "s_name"], "k").select("s_name", "k")

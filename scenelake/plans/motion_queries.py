@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import aggregates, joins, neighbours, ordered, predicates
+from ..operators import aggregates, joins, neighbours, ordered, predicates, ranks
 from .registry import query, table
 
 _E = "SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1e6 AS t FROM events"
@@ -112,7 +112,7 @@ def first_contact(spark, folder):
 @query(f"WITH e AS ({_E}) SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) AS ordinal FROM e")
 def ordinal_of_type(spark, folder):
     """Each event's number within its type."""
-    return ordered.ordinal(_events(spark, folder), ["event_type"], ["t", "event_id"]).select("event_id", "ordinal")
+    return ranks.ordinal(_events(spark, folder).select("event_id", "event_type", "t"), ["event_type"], ["t", "event_id"]).select("event_id", "ordinal")
 
 
 def _seen(name, rule, sql):

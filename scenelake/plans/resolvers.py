@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import permutations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import geometry as G
 from ..functions import text as X
 from ..functions.hashing import order_key
-from ..operators import aggregates, joins, ordered, predicates
+from ..operators import aggregates, joins, ordered, predicates, similarity
 from ..operators import options as O
 from ..sources import scene
 
@@ -34,7 +35,10 @@ def resolver(name: str):
 
 @dataclass
 class Scenes:
-    """The long tables of a set of scenes. ``visible`` has the uniquely named objects a step shows."""
+    """The long tables of a set of scenes. ``visible`` has the uniquely named objects a step shows.
+
+    ``images`` (sim_id, frame, pixels) holds rendered frames of ``image_shape`` (channels, height, width) with values of 0 to ``image_span``.
+    """
 
     steps: DataFrame
     states: DataFrame
@@ -42,6 +46,9 @@ class Scenes:
     collisions: DataFrame
     cloud: DataFrame | None = None
     config: EngineConfig = field(default=DEFAULT)
+    images: DataFrame | None = None
+    image_shape: tuple[int, int, int] = (3, 562, 1000)
+    image_span: float = 255.0
 
     @classmethod
     def of(cls, worlds: DataFrame, names: DataFrame | None = None, cloud: DataFrame | None = None, config: EngineConfig = DEFAULT) -> "Scenes":
@@ -66,9 +73,17 @@ class Scenes:
     def key(self, name: str, *parts: str) -> Column:
         return order_key(self.config.seed, F.lit(name), *[F.col(p) for p in parts])
 
-    def at_step(self, rows: DataFrame, name: str) -> DataFrame:
-        """The rows of one step of each scene, chosen by hash among those present."""
-        chosen = rows.select("sim_id", "step").distinct().groupBy("sim_id").agg(F.min_by("step", self.key(name, "sim_id", "step")).alias("step"))
+    def at_step(self, rows: DataFrame, name: str, listed: DataFrame | None = None) -> DataFrame:
+        """The rows of one step of each scene, chosen by hash among those present.
+
+        Questions over a clip take only steps from one clip's length on, up to the thirtieth, of the steps ``listed``.
+        """
+        steps = rows.select("sim_id", "step").distinct()
+        if listed is not None:
+            numbered = listed.select("sim_id", "step").distinct().withColumn("__i", F.row_number().over(Window.partitionBy("sim_id").orderBy("step")) - 1)
+            first = (self.config.clip_frames - 1) * self.config.frame_stride
+            steps = steps.join(numbered.where(F.col("__i").between(first, 30)).drop("__i"), ["sim_id", "step"])
+        chosen = steps.groupBy("sim_id").agg(F.min_by("step", self.key(name, "sim_id", "step")).alias("step"))
         return rows.join(chosen, ["sim_id", "step"])
 
     def choose(self, rows: DataFrame, name: str, n: int = 1) -> DataFrame:
@@ -108,16 +123,10 @@ def _names(rows: DataFrame, others: DataFrame) -> DataFrame:
     return rows.join(others.groupBy("sim_id", "step").agg(F.array_sort(F.collect_set("name")).alias("present")), ["sim_id", "step"])
 
 
-#: Names that a catalogue may have at most, as it is part of the plan.
-CATALOGUE = 1000
-
-
-def _catalogue(s: Scenes, column: str = "name") -> Column:
-    """All names, of which there are a few hundred: the catalogue of models, not of scenes. More than ``CATALOGUE`` raise an error."""
-    rows = s.objects.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(CATALOGUE + 1).collect()
-    if len(rows) > CATALOGUE:
-        raise ValueError(f"more than {CATALOGUE} values of {column}: options would be drawn from a part of them")
-    return F.array(*[F.lit(r[0]) for r in rows]).cast("array<string>")
+def _listed(s: Scenes, rows: DataFrame, column: str = "name") -> DataFrame:
+    """Adds ``catalogue``: all values of a column of the objects, the models' names for instance, of which options are drawn."""
+    one = s.objects.where(F.col(column).isNotNull()).agg(F.array_sort(F.collect_set(column)).alias("catalogue"))
+    return rows.crossJoin(F.broadcast(one))  # one row
 
 
 def _number(s: Scenes, name: str, rows: DataFrame, value: Column, decimals: int = 2, **bounds) -> DataFrame:
@@ -132,8 +141,8 @@ def _one(s: Scenes, name: str, need: int, floor: int = 1) -> DataFrame:
 
 
 def _named(s: Scenes, name: str, rows: DataFrame, truth: str, others: DataFrame, attributes: dict[str, Column] | None = None, frames: DataFrame | None = None) -> DataFrame:
-    labels = O.listed_options(F.col(truth), F.col("present"), _catalogue(s), s.config.seed, F.lit(name), F.col("sim_id"))
-    return s.finish(_names(rows, others), name, labels, F.col(truth), attributes, frames)
+    labels = O.listed_options(F.col(truth), F.col("present"), F.col("catalogue"), s.config.seed, F.lit(name), F.col("sim_id"))
+    return s.finish(_listed(s, _names(rows, others)), name, labels, F.col(truth), attributes, frames)
 
 
 def _center() -> Column:
@@ -261,14 +270,14 @@ def _flags(s: Scenes) -> DataFrame:
 
 @resolver("F_KINEMATICS_MOVING_OBJECT")
 def moving(s: Scenes, name: str) -> DataFrame:
-    rows = s.at_step(_flags(s), name)
+    rows = s.at_step(_flags(s), name, s.ready(ALL))
     got = rows.groupBy("sim_id", "step").agg(F.coalesce(F.min_by("name", F.when(F.col("moved"), s.key(name, "sim_id", "object_id"))), F.lit("No Object")).alias("name"))
     return _named(s, name, got, "name", rows.where("not moved"), frames=s.clip())
 
 
 @resolver("F_KINEMATICS_STILL_OBJECT")
 def still(s: Scenes, name: str) -> DataFrame:
-    rows = s.choose(s.at_step(_flags(s), name), name)
+    rows = s.choose(s.at_step(_flags(s), name, s.ready(ALL)), name)
     return _fixed_labels(s, name, rows, F.when(F.col("moved"), "no").otherwise("yes"), ["yes", "no"], {"OBJECT": F.col("name")}, s.clip())
 
 
@@ -382,8 +391,8 @@ def poisson(s: Scenes, name: str) -> DataFrame:
 @resolver("F_MATERIAL_IDENTIFICATION_OBJECT")
 def material(s: Scenes, name: str) -> DataFrame:
     rows = _one(s, name, 1).where("material is not null")
-    labels = O.listed_options(F.col("material"), F.array().cast("array<string>"), _catalogue(s, "material"), s.config.seed, F.lit(name), F.col("sim_id"))
-    return s.finish(rows, name, labels, F.col("material"), {"OBJECT": F.col("name")})
+    labels = O.listed_options(F.col("material"), F.array().cast("array<string>"), F.col("catalogue"), s.config.seed, F.lit(name), F.col("sim_id"))
+    return s.finish(_listed(s, rows, "material"), name, labels, F.col("material"), {"OBJECT": F.col("name")})
 
 
 # ---- view
@@ -393,7 +402,8 @@ def material(s: Scenes, name: str) -> DataFrame:
 def visibility(s: Scenes, name: str) -> DataFrame:
     rows = s.at_step(s.ready(ALL), name)
     one = s.choose(rows, name).join(rows.groupBy("sim_id", "step").agg(F.collect_set("name").alias("shown_names")), ["sim_id", "step"])
-    absent = F.array_except(_catalogue(s), F.col("shown_names"))
+    one = _listed(s, one)
+    absent = F.array_except(F.col("catalogue"), F.col("shown_names"))
     labels = O.listed_options(F.col("name"), F.array().cast("array<string>"), absent, s.config.seed, F.lit(name), F.col("sim_id"))
     return s.finish(one, name, labels, F.col("name"))
 
@@ -409,9 +419,10 @@ def _cameras(s: Scenes, name: str) -> DataFrame:
     return s.at_step(s.steps.where("camera is not null").select("sim_id", "step", "camera"), name)
 
 
-def _classes(s: Scenes, name: str, rows: DataFrame, value: Column, classes: list[str], frames: DataFrame | None = None) -> DataFrame:
+def _classes(s: Scenes, name: str, rows: DataFrame, value: Column, classes: list[str] | Column, frames: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("__c", value).where(F.col("__c").isNotNull())
-    labels = O.listed_options(F.col("__c"), F.array().cast("array<string>"), F.array(*map(F.lit, classes)), s.config.seed, F.lit(name), F.col("sim_id"))
+    classes = classes if isinstance(classes, Column) else F.array(*map(F.lit, classes))
+    labels = O.listed_options(F.col("__c"), F.array().cast("array<string>"), classes, s.config.seed, F.lit(name), F.col("sim_id"))
     return s.finish(rows, name, labels, F.col("__c"), None, frames)
 
 
@@ -446,7 +457,9 @@ def camera_motion(s: Scenes, name: str) -> DataFrame:
     one, two = direction("camera", "mid"), direction("mid", "end")
     value = F.when(one == two, one).otherwise(F.concat_ws(" then ", one, two))
     names = ["static", "forward", "backward", "right", "left", "up", "down"]
-    return _classes(s, name, rows, value, names)
+    turns = [f"{a} then {b}" for a, b in permutations(names, 2)]  # so that a truth of two parts does not stand alone
+    wide = F.when(F.contains(F.col("__c"), F.lit(" then ")), F.array(*map(F.lit, turns))).otherwise(F.array(*map(F.lit, names)))
+    return _classes(s, name, rows, value, wide)
 
 
 @resolver("F_CAMERA_ZOOM_BEHAVIOR")
@@ -473,21 +486,26 @@ def sequence_images(s: Scenes, name: str) -> DataFrame:
 
     four = s.at_step(_frames(s, 4, 4), name).withColumn("mixed", shuffle(F.col("frames"), s.config.seed, F.lit(name), F.col("sim_id")))
     four = four.withColumn("truth", X.order_letters(F.col("mixed")))
-    orders = ["A-B-C-D", "B-D-A-C", "C-A-D-B", "D-C-B-A", "B-A-D-C", "C-D-A-B", "A-C-B-D"]
+    orders = ["-".join(o) for o in permutations("ABCD")]
     labels = O.listed_options(F.col("truth"), F.array().cast("array<string>"), F.array(*map(F.lit, orders)), s.config.seed, F.lit(name), F.col("sim_id"))
     return s.finish(four, name, labels, F.col("truth"), None, four.select("sim_id", "step", F.col("mixed").alias("frames")))
 
 
 def _predict(s: Scenes, name: str, place: int) -> DataFrame:
-    """Five frames, of which one is asked for; the wrong ones are frames at least eight steps away, by hash."""
+    """Five frames, of which one is asked for; the wrong ones are the three frames, at least eight steps away, that look least like it."""
+    if s.images is None:
+        raise ValueError("this resolver needs the scenes' images")
     five = s.at_step(_frames(s, 5, 4), name)
     truth = F.get(F.col("frames"), F.lit(place))
     rows = five.withColumn("truth", truth).withColumn("shown", F.array_except("frames", F.array(truth)))
     named = s.steps.select("sim_id", F.col("step").alias("other"), F.lpad(F.col("frame_idx").cast("string"), 6, "0").alias("frame"))
+    named = named.join(s.images.select("sim_id", "frame", "pixels"), ["sim_id", "frame"])
+    asked = rows.join(named.select("sim_id", F.col("frame").alias("truth"), F.col("pixels").alias("va")), ["sim_id", "truth"]).select("sim_id", F.lit(-1).cast("long").alias("a"), "va")
     first, last = F.col("step") - 16, F.col("step")
-    far = rows.join(named, "sim_id").where((F.col("other") < first - 8) | (F.col("other") > last + 8))
-    w = Window.partitionBy("sim_id").orderBy(s.key(name, "sim_id", "frame"), "frame")
-    wrong = far.withColumn("k", F.row_number().over(w)).where("k <= 3").groupBy("sim_id").agg(F.array_sort(F.collect_list("frame")).alias("wrong"))
+    far = rows.select("sim_id", "step").join(named, "sim_id").where((F.col("other") < first - 8) | (F.col("other") > last + 8))
+    least = similarity.least_similar(asked, far.select("sim_id", F.col("other").cast("long").alias("b"), F.col("pixels").alias("vb")), ["sim_id"], s.image_shape, 3, span=s.image_span)
+    least = least.join(named.select("sim_id", F.col("other").cast("long").alias("b"), "frame"), ["sim_id", "b"])
+    wrong = least.groupBy("sim_id").agg(F.array_sort(F.collect_list("frame")).alias("wrong"))
     rows = rows.join(wrong, "sim_id")
     labels = O.listed_options(F.col("truth"), F.col("wrong"), F.array().cast("array<string>"), s.config.seed, F.lit(name), F.col("sim_id"))
     return s.finish(rows, name, labels, F.col("truth"), None, rows.select("sim_id", "step", F.col("shown").alias("frames")))
@@ -510,7 +528,8 @@ def missing_image(s: Scenes, name: str) -> DataFrame:
 
 def answer(s: Scenes, names: list[str] | None = None) -> DataFrame:
     """The rows of the named resolvers, or of all that the tables allow."""
-    wanted = names or [n for n in RESOLVERS if s.cloud is not None or n != "F_DISTANCE_OBJECT_GROUND"]
+    without = {n for n in RESOLVERS if s.cloud is None and n == "F_DISTANCE_OBJECT_GROUND" or s.images is None and n.startswith("F_TEMPORAL_PREDICTION")}
+    wanted = names or [n for n in RESOLVERS if n not in without]
     unknown = [n for n in wanted if n not in RESOLVERS]
     if unknown:
         raise KeyError(f"no resolver {unknown}; there are {sorted(RESOLVERS)}")
@@ -520,6 +539,27 @@ def answer(s: Scenes, names: list[str] | None = None) -> DataFrame:
     return out
 
 
+def ledger(s: Scenes, worlds: DataFrame, names: list[str]) -> DataFrame:
+    """(sim_id, question_id, answered, reason): every scene with every question, once, and why a scene has no answer.
+
+    The reasons: the document is broken; it has no object of a model of its own; no step shows one of them; or there are
+    too few for this question, or nothing to choose from. Rows of the named resolvers are made once. Count with ``tally``.
+    """
+    asked = worlds.select("sim_id", "bad").withColumn("question_id", F.explode(F.array(*map(F.lit, names))))
+    done = answer(s, names).select("sim_id", "question_id", F.lit(True).alias("answered")).distinct()
+    unique = s.objects.where("unique").select("sim_id", F.lit(True).alias("named")).distinct()
+    shown = s.visible().select("sim_id", F.lit(True).alias("shown")).distinct()
+    out = asked.join(done, ["sim_id", "question_id"], "left").join(unique, "sim_id", "left").join(shown, "sim_id", "left")
+    reason = F.when(F.col("answered"), None).when(F.col("bad"), "broken document").when(F.col("named").isNull(), "no object of its own model").when(F.col("shown").isNull(), "no visible object").otherwise("too little for this question")
+    return out.select("sim_id", "question_id", F.coalesce("answered", F.lit(False)).alias("answered"), reason.alias("reason"))
+
+
+def tally(rows: DataFrame, name: str = "answers") -> tuple[DataFrame, Observation]:
+    """The ledger with an observation of its counts, which is filled while the rows are written: rows, answered, unanswered."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("answered").alias("answered"), F.count_if(~F.col("answered")).alias("unanswered")), seen
+
+
 def records(answers: DataFrame, templates: DataFrame) -> DataFrame:
     """Question records: templates filled with attributes, assembled with frames and options, and the answer's letter."""
     df = answers.join(F.broadcast(templates.select("question_id", "category", "sub_category", "question")), "question_id")  # the catalogue: a row a template

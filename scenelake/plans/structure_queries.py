@@ -87,8 +87,10 @@ SELECT conv_id, turn, role, text, (ARRAY['A teapot made of fog', 'Nine purple Tu
 
 
 @query(f"""
-WITH e AS ({_ENTRY}), o AS (SELECT *, CASE WHEN turn % 3 = 2 THEN 'A' WHEN role = 'user' THEN 'C' ELSE 'B' END AS letter, rtrim(coalesce(text, ''), ' ') AS base FROM e),
-j AS (SELECT conv_id, turn, role, text, '{{"options":' || CASE WHEN turn % 3 = 2 THEN '{{"A":' || to_json(nonsense) || '}}' WHEN role = 'user' THEN '{{"A":"x","B":[{{"deep":1}}],"C":' || to_json(nonsense) || '}}' ELSE '["x",' || to_json(nonsense) || ']' END
+WITH e AS ({_ENTRY}), l AS (SELECT *, regexp_extract_all(coalesce(text, ''), '(?m)^ *([A-Z])\\.', 1) AS seen FROM e),
+n AS (SELECT *, CASE WHEN len(seen) = 0 THEN 'A' WHEN list_max(seen) < 'Z' THEN chr(ascii(list_max(seen)) + 1) ELSE 'Option ' || (len(seen) + 1) END AS free FROM l),
+o AS (SELECT *, CASE WHEN turn % 3 = 2 THEN free WHEN role = 'user' THEN 'C' ELSE 'B' END AS letter, rtrim(coalesce(text, ''), ' ') AS base FROM n),
+j AS (SELECT conv_id, turn, role, text, '{{"options":' || CASE WHEN turn % 3 = 2 THEN '{{' || to_json(letter) || ':' || to_json(nonsense) || '}}' WHEN role = 'user' THEN '{{"A":"x","B":[{{"deep":1}}],"C":' || to_json(nonsense) || '}}' ELSE '["x",' || to_json(nonsense) || ']' END
   || ',"question":' || to_json(CASE WHEN base <> '' THEN base || chr(10) ELSE '' END || letter || '. ' || nonsense || chr(10)) || ',"z":{{"turn":' || turn || '}}}}' AS x FROM o)
 SELECT conv_id, sha256('{{"blocks":[' || string_agg(CASE WHEN turn % 2 = 1 THEN '[[' || x || ']]' ELSE x END, ',' ORDER BY turn, role, text) || '],"conv":' || conv_id || '}}') AS doc_sha256 FROM j GROUP BY conv_id
 """)

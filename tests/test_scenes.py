@@ -44,6 +44,9 @@ def scenes(spark, tmp_path_factory):
     names = spark.createDataFrame([("ball", "Ball"), ("cube", "Cube"), ("cone", "Cone"), *[(m, m) for m in more]], "model string, name string")
     cloud = spark.createDataFrame([("room", 0.2 * i - 5, 0.2 * j - 5, 0.0) for i in range(50) for j in range(50)], "scene string, x double, y double, z double")
     s = R.Scenes.of(worlds, names, cloud)
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: ((i * (F.col("step") + 1)) % 256).cast("double"))
+    s.images = s.steps.select("sim_id", F.lpad(F.col("frame_idx").cast("string"), 6, "0").alias("frame"), pixels.alias("pixels"))
+    s.image_shape = (3, 8, 8)
     s.objects = s.objects.unionByName(spark.createDataFrame([("other", "room", str(i), m, "s", 1.0, 1.0, 1.0, 1.0, 0.1, f"stuff{i}", "toy", m, False) for i, m in enumerate(["vase", "lamp", "book", "cup"])], s.objects.schema))
     return s
 
