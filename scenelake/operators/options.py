@@ -66,5 +66,27 @@ def categorical_options(df: DataFrame, scene: list[str], truth: str, tier: str,
     return out.select(*scene, truth, shuffle(labels, seed, *[F.col(c) for c in scene]).alias("labels"))
 
 
+def uniform_labels(values: Column, digits: int = 3) -> Column:
+    """Numbers with the same decimals: enough for ``digits`` significant ones of the largest, three at most, and up to six where two would look the same."""
+    top = F.aggregate(values, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))
+    at = lambda d: F.transform(values, lambda x: F.format_string(f"%.{d}f", x.cast("double")))
+    own = F.when(top > 0, F.lit(digits - 1) - F.floor(F.log10(top))).otherwise(F.lit(digits - 1))
+    least = F.least(F.lit(3), F.greatest(F.lit(0), own))
+    apart = lambda d: F.size(F.array_distinct(at(d))) == F.size(values)
+    first = F.coalesce(*[F.when(least == d, at(d)) for d in range(4)])
+    wider = [F.when((least < d) & apart(d), at(d)) for d in range(1, 7)]
+    return F.when(F.size(F.array_distinct(first)) == F.size(values), first).otherwise(F.coalesce(*wider, first))
+
+
+def options_for(truth: Column, seed, *key: Column, integer: bool = False, low: float | None = None, high: float | None = None, decimals: int | None = None, need: int = 3) -> Column:
+    """Labels for a number: neighbours of a whole number (0 to 9 unless bounded), else scaled copies, with given or fitting decimals."""
+    if integer:
+        return integer_options(F.round(truth).cast("int"), int(low if low is not None else 0), int(high if high is not None else 9), seed, *key, need=need)
+    if decimals is not None:
+        return numeric_options(truth, seed, *key, decimals=decimals, low=low, high=high, need=need)
+    wide = numeric_options(truth, seed, *key, decimals=6, low=low, high=high, need=need)
+    return F.when(wide.isNotNull(), uniform_labels(F.transform(wide, lambda x: x.cast("double"))))
+
+
 def correct_index(labels: Column, truth: Column) -> Column:
     return (F.array_position(labels, truth) - 1).cast("int")

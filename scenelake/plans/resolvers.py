@@ -446,20 +446,26 @@ def _offsets(s: Scenes) -> DataFrame:
 @resolver("F_CAMERA_MOTION_DIRECTION")
 def camera_motion(s: Scenes, name: str) -> DataFrame:
     rows = s.at_step(_offsets(s), name)
-    right, down, forward = G.camera_basis(F.col("camera.eye"), F.col("camera.at"), F.col("camera.up"))
+    basis = G.camera_basis(F.col("camera.eye"), F.col("camera.at"), F.col("camera.up"))
+    rows = rows.withColumns(dict(zip(("right", "down", "forward"), basis)))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  worked out in a step of its own, not wherever it is named
 
-    def direction(a: str, b: str) -> Column:
-        d = G.sub(F.col(f"{b}.eye"), F.col(f"{a}.eye"))
-        r, u, f = G.dot(d, right), -G.dot(d, down), G.dot(d, forward)
+    def move(a: str, b: str) -> Column:
+        along = lambda d: F.array(G.dot(d, F.col("right")), -G.dot(d, F.col("down")), G.dot(d, F.col("forward")))
+        return G.let(G.sub(F.col(f"{b}.eye"), F.col(f"{a}.eye")), along)
+
+    def direction(m: str) -> Column:
+        r, u, f = (F.get(m, F.lit(i)) for i in range(3))
         big = F.greatest(F.abs(r), F.abs(u), F.abs(f))
         return F.when(big < s.config.move_distance, "static").when(F.abs(f) == big, F.when(f > 0, "forward").otherwise("backward")).when(F.abs(r) == big, F.when(r > 0, "right").otherwise("left")).otherwise(F.when(u > 0, "up").otherwise("down"))
 
-    one, two = direction("camera", "mid"), direction("mid", "end")
-    value = F.when(one == two, one).otherwise(F.concat_ws(" then ", one, two))
+    rows = rows.withColumn("m1", once(move("camera", "mid"))).withColumn("m2", once(move("mid", "end")))
+    rows = rows.withColumn("one", direction("m1")).withColumn("two", direction("m2"))
+    rows = rows.withColumn("told", once(F.when(F.col("one") == F.col("two"), F.col("one")).otherwise(F.concat_ws(" then ", "one", "two"))))
     names = ["static", "forward", "backward", "right", "left", "up", "down"]
     turns = [f"{a} then {b}" for a, b in permutations(names, 2)]  # so that a truth of two parts does not stand alone
-    wide = F.when(F.contains(F.col("__c"), F.lit(" then ")), F.array(*map(F.lit, turns))).otherwise(F.array(*map(F.lit, names)))
-    return _classes(s, name, rows, value, wide)
+    wide = F.when(F.contains("told", F.lit(" then ")), F.array(*map(F.lit, turns))).otherwise(F.array(*map(F.lit, names)))
+    return _classes(s, name, rows, F.col("told"), wide)
 
 
 @resolver("F_CAMERA_ZOOM_BEHAVIOR")

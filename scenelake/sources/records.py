@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import letter
+
 QUESTION = "scene string, source string, simulation_id string, file_name array<string>, question string, mode string, idx string, split string, choice_type string, question_id string, category string, sub_category string"
 ANSWER = "idx string, answer string, task_type string, mode string, choice_type string"
 
@@ -29,6 +33,39 @@ def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("model_id"), "idx", "answer")
 
 
+def read_results(spark: SparkSession, paths: list[str], name: str = r"([^/]+)\.json$", pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """Answers of models from files and folders, one file a model: (model_id, idx, letter), and (model_id, idx, answer) that have no letter.
+
+    The letter is the first one anywhere in an answer; of several answers of a model to one id the last in its file
+    counts. Records without an id, and files that are no JSON list, have no rows. Both tables are views of one scan.
+    """
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(paths)
+    model = F.regexp_extract("_metadata.file_path", name, 1).alias("model_id")
+    items = raw.select(model, F.from_json("value", "array<struct<idx:string,answer:string>>").alias("items")).where("items is not null")
+    rows = items.select("model_id", F.posexplode("items").alias("at", "r")).select("model_id", "at", F.trim("r.idx").alias("idx"), F.col("r.answer").alias("answer")).where("idx <> ''")
+    rows = rows.withColumn("letter", F.coalesce(letter(F.col("answer")), F.lit("")))
+    valid = rows.where("letter <> ''").groupBy("model_id", "idx").agg(F.max_by("letter", "at").alias("letter"))
+    return valid, rows.where("letter = ''").select("model_id", "idx", F.coalesce("answer", F.lit("")).alias("answer"))
+
+
+def percentage_map(spark: SparkSession, raw: str) -> dict[str, float]:
+    """Shares by name from a JSON object, given as text or as the path of a file: 0 to 1 as they are, up to 100 as hundredths.
+
+    An object that is empty, has a value that is no number or out of range, or text that is no JSON, raises ValueError.
+    """
+    text = raw if raw.lstrip()[:1] in ("{", "[", '"') else "\n".join(r[0] for r in spark.read.option("wholetext", True).text(raw).collect())  # one small file
+    try:
+        got = json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ValueError(f"no JSON: {e}") from e
+    if not isinstance(got, dict) or not got:
+        raise ValueError("shares must be a JSON object with entries")
+    bad = {k: v for k, v in got.items() if isinstance(v, bool) or not isinstance(v, int | float) or not 0 <= v <= 100}
+    if bad:
+        raise ValueError(f"no shares: {bad}")
+    return {k: v / 100 if v > 1 else float(v) for k, v in got.items()}
+
+
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     """Struct fields as columns with dotted names, at any depth; the plan is made from the schema alone."""
     def leaves(field: T.StructField, path: str, name: str):

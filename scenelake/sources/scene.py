@@ -16,15 +16,29 @@ _OBJECT = "struct<model:string,sim:string,mass:double,volume:double,props:struct
 SCHEMA = f"struct<scene:struct<scene:string,name:string>,encoding:struct<classes:array<array<int>>>,metadata:struct<world_up:array<double>>,objects:map<string,{_OBJECT}>,simulation:map<string,{_STEP}>>"
 
 
+def _texts(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFrame:
+    """Whole files by path. Patterns that match nothing are left out, unless none matches."""
+    reader = lambda: spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    listed = [paths] if isinstance(paths, str) else paths
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    held = [p for p in listed if path(p).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path(p))]
+    return reader().text(held or listed)
+
+
 def read(spark: SparkSession, paths: str | list[str], pattern: str = "simulation*.json", limit: int | None = None) -> DataFrame:
     """(sim_id, path, world, bad): one row a file below the paths. Files that are no JSON object have a null world and ``bad``."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths)
+    raw = _texts(spark, paths, pattern)
     df = raw.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", SCHEMA).alias("world"))
     df = df.withColumn("bad", F.col("world").isNull() | F.col("world.simulation").isNull())
     df = df.withColumn("sim_id", F.element_at(F.split("path", "/"), -2))
     return df.orderBy(natural_key(F.col("path")), "path").limit(limit) if limit is not None else df
 
 
+def at_depths(root: str, depths: tuple[int, ...] = (3, 4), name: str = "simulation.json") -> list[str]:
+    """Path patterns for ``read`` that find files so many folders below a root, and none elsewhere."""
+    return [f"{root.rstrip('/')}/{'*/' * d}{name}" for d in depths]
+
+
 def steps(worlds: DataFrame) -> DataFrame:
     """(sim_id, step, t, frame_idx, camera, collisions, states), with ``step`` the place in the document."""
     df = worlds.where("not bad").select("sim_id", F.posexplode("world.simulation").alias("step", "t_key", "s"))
