@@ -63,11 +63,12 @@ def answered(questions: DataFrame, answers: DataFrame, key: str, endings: tuple[
 
 
 def looked_up(df: DataFrame, truth: DataFrame, key: str, value: str, strict: bool = False) -> DataFrame:
-    """Rows with the value of a table of unique keys, and ``found``; ``strict`` raises when a row without one is read."""
+    """Rows with the value of a table of unique keys, and ``found``; ``strict`` raises when there is a row without one, whatever is read of it."""
     known = truth.select(key, F.col(value), F.lit(True).alias("found"))
     out = df.join(known, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
     if strict:
-        out = out.withColumn("found", F.when(F.col("found"), True).otherwise(F.raise_error(F.concat(F.lit("no entry for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")))
+        told = F.concat(F.lit("no entry for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+        out = out.where(F.when(F.col("found"), True).otherwise(F.raise_error(told).cast("boolean")))
     return out
 
 
@@ -84,11 +85,11 @@ def first_rows(df: DataFrame, keys: list[str], order: list[str], columns: list[s
 
 
 def agreed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One row a key with its value; rows of a key that disagree raise an error when they are read."""
+    """One row a key with its value; rows of a key that disagree raise an error, whatever is read of them."""
     got = df.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias(value))
     same = F.col("__low").eqNullSafe(F.col(value))
     told = F.concat(F.lit("values disagree for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
-    return got.withColumn(value, F.when(same, F.col(value)).otherwise(F.raise_error(told).cast(df.schema[value].dataType))).drop("__low")
+    return got.where(F.when(same, True).otherwise(F.raise_error(told).cast("boolean"))).drop("__low")
 
 
 def answer_map(df: DataFrame, key: str, answer: str, order: str) -> DataFrame:

@@ -23,18 +23,6 @@ def missing(df: DataFrame, found: DataFrame, key: str, other: str | None = None)
     return df.join(found.select(F.col(other or key).alias("__k")), df[key] == F.col("__k"), "left_anti")
 
 
-def first_contained(df: DataFrame, text: Column, fragments: DataFrame, fragment: str, ordinal: str, row: list[str], most: int = 10_000) -> DataFrame:
-    """For each row the first fragment, by ordinal, that its text contains; rows without one have none.
-
-    The fragments are a template list, bounded by its author, so the join goes through all of them for each row. More
-    than ``most`` of them are an error, as they would all be broadcast.
-    """
-    if fragments.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} fragments: they would be compared with every row")
-    hit = df.withColumn("__text", text).join(F.broadcast(fragments), F.contains(F.col("__text"), F.col(fragment)))
-    return hit.groupBy(*row).agg(F.min_by(fragment, ordinal).alias(fragment), F.min(ordinal).alias(ordinal))
-
-
 def consistent(df: DataFrame, key: list[str], value: str, order: str) -> DataFrame:
     """One row a key with its first value, and whether all its rows agree."""
     return df.groupBy(*key).agg(F.min_by(value, F.struct(order, value)).alias(value), (F.count_distinct(value) <= 1).alias("agrees"))
@@ -53,15 +41,6 @@ def pairs_within(df: DataFrame, scene: list[str], item: str, columns: list[str])
     return left.join(right, scene).where("a < b")
 
 
-def nearest(df: DataFrame, scene: list[str], item: str, vector: str, k: int = 1) -> DataFrame:
-    """The ``k`` nearest other items of the same scene, with rank and distance; ties go by item."""
-    left = df.select(*scene, F.col(item).alias("a"), F.col(vector).alias("__a"))
-    right = df.select(*scene, F.col(item).alias("b"), F.col(vector).alias("__b"))
-    both = left.join(right, scene).where("a <> b").withColumn("distance", distance(F.col("__a"), F.col("__b"))).drop("__a", "__b")
-    w = Window.partitionBy(*scene, "a").orderBy("distance", "b")
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def robust_distance(distances: Column) -> Column:
     """The distance to a point cloud from ascending neighbour distances: the median of the first five if the fifth is over
     three times the first, else the first."""

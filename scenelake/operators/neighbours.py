@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import stage
 from . import blocks
 
 
@@ -16,10 +17,6 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(-1))
 
 
-def _kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return distances(x, y)
-
-
 def nearest(df: DataFrame, scene: list[str], item: str, vector: str, k: int = 1, *, pivots: int = 16, large: int = 4096, block: int = 2048) -> DataFrame:
     """(scene, a, b, distance, rank): the ``k`` nearest other items of the same scene; ties go by item.
 
@@ -36,7 +33,7 @@ def nearest(df: DataFrame, scene: list[str], item: str, vector: str, k: int = 1,
     sized = rows.join(sizes, places)
     small, big = sized.where(F.col("__n") <= large).drop("__n"), sized.where(F.col("__n") > large)
     answered = lambda got: got.select(*scene, "a", "b", F.col("metric").alias("distance"), "rank")
-    plain = blocks.smallest(small.drop(*places), small.select(*scene, F.col("a").alias("b"), F.col("va").alias("vb")), scene, _kernel, k, block)
+    plain = blocks.smallest(small.drop(*places), small.select(*scene, F.col("a").alias("b"), F.col("va").alias("vb")), scene, distances, k, block)
     if sizes.where(F.col("__n") > large).isEmpty():
         return answered(plain)
 
@@ -44,6 +41,7 @@ def nearest(df: DataFrame, scene: list[str], item: str, vector: str, k: int = 1,
     by_hash = Window.partitionBy(*places).orderBy(F.xxhash64("a"), "a")
     chosen = big.withColumn("__k", F.row_number().over(by_hash)).where(F.col("__k") <= pivots)
     chosen = chosen.groupBy(*places).agg(F.collect_list("va").alias("pv"), F.first("__n").alias("__n"))
+    chosen = stage.staged(chosen)
     salts = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / block).cast("int") - 1))).drop("__n")
     salted = big.withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("__n") / block)).cast("int")).drop("__n")
     key = [*places, "salt"]
@@ -57,18 +55,18 @@ def nearest(df: DataFrame, scene: list[str], item: str, vector: str, k: int = 1,
         cell = gaps.argmin(1) if len(x) else np.zeros(0, int)
         return own[[*places, *scene, "a", "va"]].assign(cell=cell.astype(np.int32), away=gaps[np.arange(len(x)), cell], gaps=list(gaps))
 
-    celled = salted.groupBy(*key).cogroup(salts.groupBy(*key)).applyInPandas(place, schema)
+    celled = stage.staged(salted.groupBy(*key).cogroup(salts.groupBy(*key)).applyInPandas(place, schema))  # read by all that follows
     cells = celled.groupBy(*places, "cell").agg(F.max("away").alias("radius"))
     radii = cells.groupBy(*places).agg(F.map_from_entries(F.collect_list(F.struct("cell", "radius"))).alias("radii"))
     targets = celled.select(*places, "cell", F.col("a").alias("b"), F.col("va").alias("vb"))
     spot = [*places, "cell"]
-    own = blocks.smallest(celled.select(*spot, "a", "va"), targets, spot, _kernel, k, block)
+    own = blocks.smallest(celled.select(*spot, "a", "va"), targets, spot, distances, k, block)
     bound = own.groupBy(*places, "a").agg(F.max("metric").alias("far"), F.count(F.lit(1)).alias("found"))
     asking = celled.join(bound, [*places, "a"], "left").join(radii, places)
     reach = F.when(F.col("found") >= k, F.col("far") * (1 + 1e-12)).otherwise(F.lit(float("inf")))
     other = F.filter(F.map_entries("radii"), lambda e: (e["key"] != F.col("cell")) & (F.greatest(F.get("gaps", e["key"]) - e["value"], (F.get("gaps", e["key"]) - F.col("away")) / 2) * (1 - 1e-12) <= reach))
     rest = asking.select(*places, "a", "va", F.explode(other).alias("e")).select(*places, F.col("e.key").alias("cell"), "a", "va")
-    more = blocks.smallest(rest, targets, spot, _kernel, k, block)
+    more = blocks.smallest(rest, targets, spot, distances, k, block)
     w = Window.partitionBy(*places, "a").orderBy("metric", "b")
     both = own.unionByName(more).select(*places, "a", "b", "metric").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     back = celled.select(*places, *scene, "a")

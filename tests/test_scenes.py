@@ -133,10 +133,17 @@ def test_streaming_velocities(spark, tmp_path):
     assert sorted((r.t, r.v) for r in spark.table("vel").collect() if r.v is not None) == [(float(i), 2.0) for i in range(1, 5)]
 
 
-def test_a_catalogue_beyond_its_bound_is_an_error(spark):
+def test_a_catalogue_of_any_size_is_whole(spark):
     from types import SimpleNamespace
 
-    names = lambda n: SimpleNamespace(objects=spark.range(n).selectExpr("cast(id as string) as name"))
-    assert len(spark.range(1).select(R._catalogue(names(1000)).alias("x")).first().x) == 1000
-    with pytest.raises(ValueError, match="more than 1000"):
-        R._catalogue(names(1001))
+    s = SimpleNamespace(objects=spark.range(1500).selectExpr("cast(id as string) as name"))
+    assert len(R._listed(s, spark.range(1)).first().catalogue) == 1500
+
+
+def test_the_ledger_holds_every_scene_and_question(scenes, spark):
+    names = ["F_SIZE_OBJECT", "F_MASS_COMPARE_OBJECTS"]
+    worlds = spark.createDataFrame([(k, k == "broken") for k in ("plain", "twins", "hidden", "camera", "broken")], "sim_id string, bad boolean")
+    rows, seen = R.tally(R.ledger(scenes, worlds, names), "test")
+    got = {(r.sim_id, r.question_id): r.reason for r in rows.collect()}
+    assert len(got) == seen.get["rows"] == seen.get["answered"] + seen.get["unanswered"] == 10
+    assert got["plain", "F_SIZE_OBJECT"] is None and got["broken", "F_SIZE_OBJECT"] == "broken document" and got["hidden", "F_SIZE_OBJECT"] == "no visible object"
