@@ -245,13 +245,15 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
                     else:
                         keys.append(None)
                         needs.append(0)
-                yield pd.DataFrame({"id": part["id"].iloc[i : i + 500].to_numpy(), "n": sizes, "node": nodes, "need": needs, "keys": keys})
+                yield pd.DataFrame({"id": part["id"].iloc[i : i + 500].to_numpy(), "h": part["h"].iloc[i : i + 500].to_numpy(), "n": sizes, "node": nodes, "need": needs, "keys": keys})
 
-    source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    keyed = cut(source.mapInPandas(named, f"id {kind}, n long, node long, need int, keys array<long>"))
+    source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    keyed = cut(source.mapInPandas(named, f"id {kind}, h long, n long, node long, need int, keys array<long>"))
     keys = keyed.select("node", F.explode("keys").alias("key"))
     rows = cut(keyed.select("id", "n", "node"))
-    groups = cut(keyed.where("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.max("need").alias("need")))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "h")).alias("first")
+    groups = keyed.where("n > 0").groupBy("node").agg(first, F.max("need").alias("need"))
+    groups = cut(groups.select("node", F.col("first.id").alias("low"), F.col("first.h").alias("h"), "need"))
     hot = cut(keys.where("node % 64 = 0").groupBy("key").count().where(F.col("count") >= often).select("key"))
     if hot.count() <= broadcast_rows:  # 8 bytes a row
         hot = F.broadcast(hot)
@@ -263,9 +265,9 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
     lists = cut(_lists(_enough(shared, groups)))
     delete(shared)
 
-    # the sets of nodes in shared blocks, found again from the texts
+    # the sets of nodes in shared blocks, found again from the texts, by id and digest: ids may be null or stand on many texts
     wanted = cut(lists.select("node").distinct().join(groups, "node"))
-    if wanted.count() <= broadcast_rows:  # 16 bytes a row
+    if wanted.count() <= broadcast_rows:  # 24 bytes a row
         wanted = F.broadcast(wanted)
 
     def again(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,7 +275,7 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
             out = [(node, s.tobytes()) for node, t in zip(part["node"], part["t"]) for s in [shingles(t, width)] if _digest(s) == node]
             yield pd.DataFrame(out, columns=["node", "s"])
 
-    found = source.join(wanted, source["id"].eqNullSafe(wanted["low"])).select("node", "t").mapInPandas(again, "node long, s binary")
+    found = source.join(wanted, source["id"].eqNullSafe(wanted["low"]) & (source["h"] == wanted["h"])).select("node", "t").mapInPandas(again, "node long, s binary")
     sets = cut(found)
     if sets.groupBy("node").count().where("count > 1").limit(1).count():  # rows with equal ids and texts
         sets = sets.dropDuplicates(["node"])
