@@ -72,6 +72,12 @@ def looked_up(df: DataFrame, truth: DataFrame, key: str, value: str, strict: boo
     return out
 
 
+def misses(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The keys that a table of known ones lacks, with their rows: the report of a look-up. A null key is missing too."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(known.select(F.col(key).alias("__k")), counts[key] == F.col("__k"), "left_anti")
+
+
 def has_text(df: DataFrame, text: str, known: DataFrame, other: str) -> DataFrame:
     """Adds ``known``: whether a row's text is one of those of another table."""
     texts = known.select(F.col(other).alias("__known")).where("__known is not null").distinct()

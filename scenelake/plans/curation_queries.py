@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import curation as C
 from ..operators import ordered
 from .registry import query, table
@@ -37,16 +38,16 @@ def keep_present(spark, folder):
 
 
 @query("""
-SELECT page_id, [u || '#' || i FOR i IN range(0, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 3 END)] AS files, repeat('<image>', CASE WHEN page_id % 2 = 0 THEN 2 ELSE 3 END) || 'What is it?' AS question
-FROM (SELECT page_id, 'frames/' || page_id AS u FROM pages)
+SELECT page_id, [u || '#' || i FOR i IN range(0, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 3 END)] AS files, repeat('<image>', CASE WHEN page_id % 2 = 0 THEN 2 ELSE 3 END) || 'What is on ' || url || '?' AS question
+FROM (SELECT page_id, url, 'frames/' || page_id AS u FROM pages WHERE url IS NOT NULL)
 """)
 def without_renders(spark, folder):
     """File lists without rendered copies, and questions with as many image marks."""
     name = F.concat(F.lit("frames/"), F.col("page_id").cast("string"))
     many = F.when(F.col("page_id") % 2 == 0, 2).otherwise(3)
     files = F.concat(F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.concat(name, F.lit("#"), i.cast("string"))), F.array(F.concat(name, F.lit("//render/0")), F.concat(name, F.lit("//render/1"))))
-    kept, question = C.without_renders(F.col("f"), F.lit("<image><image><image><image><image>What is it?"))
-    return table(spark, folder, "pages").select("page_id", files.alias("f")).select("page_id", kept.alias("files"), question.alias("question"))
+    kept, question = C.without_renders(F.col("f"), F.concat(F.repeat(F.lit("<image>"), F.size("f")), F.lit("What is on "), F.col("url"), F.lit("?")))
+    return table(spark, folder, "pages").where("url is not null").select("page_id", "url", files.alias("f")).select("page_id", kept.alias("files"), question.alias("question"))
 
 
 @query("SELECT a.conv_id, a.text AS text_question, b.text AS text_answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id WHERE a.turn = 0 AND b.turn = 1")
@@ -85,11 +86,31 @@ def first_row_per_key(spark, folder):
     return C.first_rows(table(spark, folder, "events"), ["user_id"], ["ts", "event_id"], ["event_id", "event_type"])
 
 
-@query("SELECT p_brand, count(DISTINCT p_brand) AS n FROM part GROUP BY p_brand")
+@query("SELECT o_custkey, max(c_nationkey) AS c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey")
 def agreed_truth(spark, folder):
-    """A value for each key on which all rows agree; rows that disagree would raise."""
-    df = table(spark, folder, "part").select("p_brand", F.col("p_brand").alias("same"))
-    return C.agreed(df, ["p_brand"], "same").select("p_brand", F.when(F.col("same") == F.col("p_brand"), 1).cast("long").alias("n"))
+    """The nation of each customer, on which all their orders agree; orders that disagree would raise."""
+    df = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "c_nationkey")
+    return C.agreed(df, ["o_custkey"], "c_nationkey")
+
+
+@query("SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey % 10 = 0 OR l_partkey IS NULL OR l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey IS NOT NULL) GROUP BY 1")
+def report_of_misses(spark, folder):
+    """Parts without an entry, and how many lines name them."""
+    parts = table(spark, folder, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("l_partkey"))
+    return C.misses(table(spark, folder, "lineitem"), parts, "l_partkey")
+
+
+@query("""
+WITH k AS (SELECT l_orderkey, count(*) AS objects FROM lineitem GROUP BY 1), h AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, CAST(contains(o_orderpriority, 'URGENT') AS INT) + CAST(contains(o_orderpriority, 'HIGH') AS INT) + CAST(contains(o_orderpriority, 'LOW') AS INT) + CAST(contains(o_orderpriority, '5-') AS INT) AS n FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderstatus IS NOT NULL)
+SELECT o_orderkey, CASE WHEN n = 1 THEN lower(o_orderstatus) || 'x' END AS stiffness, objects FROM h LEFT JOIN k ON l_orderkey = o_orderkey
+""")
+def record_conditions(spark, folder):
+    """The stiffness part of each order's name where its text names one object, and how many lines it has."""
+    o = table(spark, folder, "orders").where("o_orderpriority is not null and o_orderstatus is not null")
+    sim = F.concat(F.lit("rho-"), F.col("o_custkey").cast("string"), F.lit("_yms-"), F.lower("o_orderstatus"), F.lit("x_prs-1"))
+    names = F.array(*map(F.lit, ("URGENT", "HIGH", "LOW", "5-")))
+    objects = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("objects"))
+    return o.select("o_orderkey", X.stiffness(F.col("o_orderpriority"), sim, names).alias("stiffness")).join(objects, "o_orderkey", "left")
 
 
 @query("SELECT conv_id, trim(text) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE trim(text) <> '') WHERE k = 1")

@@ -47,11 +47,14 @@ def label_title(spark, folder):
     return table(spark, folder, "part").select("p_partkey", X.title(F.lower("p_brand"), {"brand#2": "Second"}).alias("label"))
 
 
-@query("SELECT p_partkey, 'How large is <OBJECT> here?' AS question, 3 AS images FROM part")
+@query("""
+SELECT p_partkey, 'How large is ' || CASE WHEN contains(p_name, ' ') THEN '<OBJECT>' ELSE p_name END || ' beside ' || p_type || '?' AS question, p_size % 4 AS images FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL
+""")
 def question_normal_form(spark, folder):
     """Questions without image marks and options, names as placeholders, and how many image marks there were."""
-    q = F.concat(F.lit("<image><image><image>\nHow large is part_"), F.col("p_partkey").cast("string"), F.lit(" here?\nA. 1\nB. 2"))
-    return table(spark, folder, "part").select("p_partkey", X.normal_question(q).alias("question"), X.image_marks(q).cast("int").alias("images"))
+    lines = F.array_join(F.transform(F.sequence(F.lit(0), F.col("p_size") % 3), lambda i: F.concat(F.char(F.lit(65) + i), F.lit(". a_b "), F.col("p_brand"))), "\n")
+    q = F.concat(F.repeat(F.lit("<image>"), F.col("p_size") % 4), F.lit("\nHow large is "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" beside "), F.col("p_type"), F.lit("?\n"), lines)
+    return table(spark, folder, "part").where("p_name is not null and p_type is not null").select("p_partkey", X.normal_question(q).alias("question"), X.image_marks(q).cast("int").alias("images"))
 
 
 @query("SELECT coalesce(source, '<MISSING>') || '|' || coalesce(lang, '<MISSING>') AS label, count(*) AS n FROM documents GROUP BY 1")
