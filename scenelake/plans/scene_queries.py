@@ -181,3 +181,26 @@ def answer_ledger(spark, folder):
     worlds = s.objects.select("sim_id", F.lit(False).alias("bad")).distinct()
     rows = R.ledger(s, worlds, ["F_SIZE_OBJECT", "F_MASS_COMPARE_OBJECTS", "F_VIEWPOINT_CAMERA_ANGLE"])
     return rows.groupBy("question_id", "answered", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _draw(n: str, name: str, low: float, high: float) -> str:
+    return f"CAST(round({low} + CAST(CAST('0x' || substr(sha256(concat_ws(':', '42', sim_id, '{n}', '{name}')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 * {high - low!r}, 1) AS VARCHAR)"
+
+
+def _pick(n: str, name: str, items: str) -> str:
+    return f"{items}[CAST(CAST('0x' || substr(sha256(concat_ws(':', '42', sim_id, '{n}', '{name}')), 1, 13) AS BIGINT) % len({items}) + 1 AS BIGINT)]"
+
+
+@query(f"""
+WITH {_BASE}, m AS (SELECT sim_id, list_sort(list(DISTINCT material)) AS materials, list(name ORDER BY sha256(concat_ws(':', '42', sim_id, 'q1', i))) FILTER (uniq) AS o1, list(name ORDER BY sha256(concat_ws(':', '42', sim_id, 'q2', i))) FILTER (uniq) AS o2 FROM ob GROUP BY 1),
+t AS (SELECT CAST(u AS VARCHAR) AS sim_id, list_sort(list(DISTINCT step / 25.0)) AS times FROM e GROUP BY 1), p AS (SELECT * FROM m JOIN t USING (sim_id))
+SELECT sim_id, 'q1' AS question_id, 'Is ' || o1[1] || ' of ' || {_pick('q1', 'MATERIAL', 'materials')} || ' nearer than ' || {_draw('q1', 'DISTANCE', 1.0, 5.0)} || ' to ' || o1[2] || ' at ' || CAST({_pick('q1', 'TIME', 'times')} AS VARCHAR) || '?' AS question FROM p
+UNION ALL SELECT sim_id, 'q2', o2[1] || ' of ' || {_draw('q2', 'MASS', 0.1, 3.0)} || ', a toy' FROM p
+UNION ALL SELECT sim_id, 'q3', NULL FROM p
+""")
+def filled_templates(spark, folder):
+    """Three templates filled for every scene: objects, material, distance, time, mass and category; one has a name of no known kind."""
+    from . import placeholders
+
+    rows = [("q1", "Is <OBJECT_1> of <MATERIAL> nearer than <DISTANCE> to <OBJECT_2> at <TIME>?"), ("q2", "<OBJECT> of <MASS>, a <CATEGORY>"), ("q3", "What of <NOTHING>?")]
+    return placeholders.resolve(scenes(spark, folder), spark.createDataFrame(rows, "question_id string, question string")).drop("attributes")

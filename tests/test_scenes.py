@@ -147,3 +147,20 @@ def test_the_ledger_holds_every_scene_and_question(scenes, spark):
     got = {(r.sim_id, r.question_id): r.reason for r in rows.collect()}
     assert len(got) == seen.get["rows"] == seen.get["answered"] + seen.get["unanswered"] == 10
     assert got["plain", "F_SIZE_OBJECT"] is None and got["broken", "F_SIZE_OBJECT"] == "broken document" and got["hidden", "F_SIZE_OBJECT"] == "no visible object"
+
+
+def test_placeholders_of_every_kind(scenes, spark):
+    from scenelake.plans import placeholders as P
+
+    text = " ".join(f"<{k}>" for k in P.KINDS if k != "OBJECT") + " <OBJECT_1> <OBJECT_2>"
+    templates = spark.createDataFrame([("all", text), ("many", "<OBJECT_1> <OBJECT_2> <OBJECT_3> <OBJECT_4>"), ("odd", "<WHO>"), ("none", "plain")], "question_id string, question string")
+    got = {(r.sim_id, r.question_id): r for r in P.resolve(scenes, templates).collect()}
+    a = got["plain", "all"].attributes
+    assert set(a) == {*P.KINDS, "OBJECT_1", "OBJECT_2"} - {"OBJECT"} and a["OBJECT_1"] != a["OBJECT_2"] and {a["OBJECT_1"], a["OBJECT_2"]} <= {"Ball", "Cube", "Cone"}
+    assert a["CATEGORY"] == "toy" and a["MATERIAL"] in ("wood", "steel", "foam") and json.loads(a["CAMERA"])["width"] == 1000
+    for k, (low, high) in P.RANGES.items():
+        assert low - 0.05 <= float(a[k]) <= high + 0.05
+    assert "<" not in got["plain", "all"].question and got["plain", "none"].question == "plain"
+    for q in ("many", "odd"):  # three objects for four names, and a name of no kind
+        assert got["plain", q].attributes is None and got["plain", q].question is None
+    assert got["twins", "all"].attributes is None  # one object of a model of its own
