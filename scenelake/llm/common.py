@@ -65,23 +65,42 @@ def tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(F.lit(1.0) - half)
 
 
+def running(x: Column, zero: Column, plus) -> Column:
+    """For each element of an array what ``plus``, an associative function, makes of all before it, from ``zero`` on.
+
+    The array is taken in stretches of about the root of its length, so no list grows by an element at a time over all of it.
+    """
+    none = F.slice(F.array(zero), 1, 0)
+
+    def scan(part, start):
+        grown = lambda a, v: F.struct(plus(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("at"), none.alias("out")), grown, lambda a: a["out"])
+
+    def parted(x, step):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / step).cast("int")), lambda i: F.slice(x, i * step + 1, step))
+
+    def joined(parts):
+        starts = scan(F.transform(parts, lambda p: F.aggregate(p, zero, plus)), zero)
+        return F.flatten(F.zip_with(parts, starts, scan))
+
+    root = lambda x: F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(x)))).cast("int")
+    whole = lambda x: F.when(F.size(x) > 16, let(let(root(x), lambda step: parted(x, step)), joined)).otherwise(scan(x, zero))
+    return let(x, whole)
+
+
 def matches(df: DataFrame, text: str, pattern: str, out: str) -> DataFrame:
     """Adds ``out``: array of (start, end, match) for all leftmost non-overlapping matches, in code points, end exclusive.
 
     ``pattern`` never matches the empty string. The text is cut at the matches and the lengths of what lies between
     are summed, so no row-at-a-time Python is needed. Texts without a match cost one search.
     """
-    bare = f"array<struct<start:bigint,end:bigint,m:string>>"
+    bare = "array<struct<start:bigint,end:bigint,m:string>>"
     df = df.withColumn("__hit", F.col(text).rlike(pattern))
     df = df.withColumn("__hits", F.when(F.col("__hit"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))))
     df = df.withColumn("__gaps", F.when(F.col("__hit"), F.transform(F.split(F.col(text), pattern, -1), lambda p: F.length(p).cast("bigint"))))
-    pairs = F.zip_with(F.slice(F.col("__gaps"), F.lit(1), F.size("__hits")), F.col("__hits"), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-
-    def step(acc, x):
-        start = acc["pos"] + x["g"]
-        end = start + F.length(x["m"]).cast("bigint")
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("out"))
-
-    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(bare).alias("out"))
-    found = F.when(F.col("__hit"), F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(bare))
-    return df.withColumn(out, found).drop("__hit", "__hits", "__gaps")
+    sizes = F.zip_with(F.slice(F.col("__gaps"), F.lit(1), F.size("__hits")), F.col("__hits"), lambda g, m: g + F.length(m).cast("bigint"))
+    df = df.withColumn("__before", F.when(F.col("__hit"), running(sizes, F.lit(0).cast("bigint"), lambda a, n: a + n)))
+    # what lies before each match: the matches and gaps before it, and its own gap
+    starts = F.zip_with("__before", F.slice(F.col("__gaps"), F.lit(1), F.size("__hits")), lambda b, g: b + g)
+    found = F.zip_with(starts, F.col("__hits"), lambda b, m: F.struct(b.alias("start"), (b + F.length(m).cast("bigint")).alias("end"), m.alias("m")))
+    return df.withColumn(out, F.when(F.col("__hit"), found).otherwise(F.array().cast(bare))).drop("__hit", "__hits", "__gaps", "__before")
