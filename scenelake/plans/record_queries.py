@@ -111,7 +111,19 @@ def mcq_numeric(spark, folder):
     return _numeric(spark, folder, "mcq_numeric", options.numeric_options(g, 42, F.col("p_partkey"), low=0.0), options.fixed(F.col("p_retailprice"), 2))
 
 
-@query()
+@query("""
+WITH b AS (SELECT p_partkey, p_retailprice * 1000 AS g, unnest([1.0, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1e1, 1e2, 1e3, 1e4, 1e5]::DOUBLE[]) AS f, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11], 1) AS i FROM part WHERE p_retailprice > 0),
+x AS (SELECT p_partkey, i, f * g AS x FROM b WHERE i = 1 OR f * g > 100),
+d AS (SELECT p_partkey, i, CAST(CAST(x AS VARCHAR) AS DECIMAL(38, 16)) AS d, CAST(floor(log10(x)) AS BIGINT) AS e FROM x),
+u AS (SELECT p_partkey, i, d, e, CAST(pow(10, e - 2) AS BIGINT) AS u FROM d),
+m AS (SELECT p_partkey, i, e, CAST(floor(d + CAST(u * 0.5 AS DECIMAL(38, 16))) AS BIGINT) // u AS m FROM u),
+n AS (SELECT p_partkey, i, CASE WHEN m = 1000 THEN e + 1 ELSE e END AS e, CASE WHEN m = 1000 THEN 100 ELSE m END AS m FROM m),
+t AS (SELECT p_partkey, i, (m // 100) || '.' || lpad(CAST(m % 100 AS VARCHAR), 2, '0') || 'e+' || lpad(CAST(e AS VARCHAR), 2, '0') AS t FROM n),
+c AS (SELECT p_partkey, list(t ORDER BY i) FILTER (i = 1) AS one, list(t ORDER BY i) FILTER (i > 1) AS w FROM t GROUP BY 1),
+l AS (SELECT p_partkey, one[1] AS truth, list_concat(one, list_filter(w, lambda x: x <> one[1])[1:3]) AS labels FROM c),
+h AS (SELECT p_partkey, truth, list_transform(list_sort(list_transform(labels, lambda x: struct_pack(k := sha256(concat_ws(':', '42', p_partkey, x)), x := x))), lambda s: s.x) AS labels FROM l WHERE len(labels) = 4 AND len(list_distinct(labels)) = 4)
+SELECT p_partkey, array_to_string(labels, ',') AS labels, CAST(list_position(labels, truth) - 1 AS INT) AS correct FROM h
+""")
 def mcq_log(spark, folder):
     """Options a few powers of ten away from a part's price in mills."""
     return _numeric(spark, folder, "mcq_log", options.log_options(F.col("p_retailprice") * 1000, 42, F.col("p_partkey"), least=100.0), F.format_string("%.2e", F.col("p_retailprice") * 1000))
