@@ -65,8 +65,11 @@ def choice(x: Column) -> Column:
 
 
 def letter(x: Column) -> Column:
-    """The viewer's choice: the first letter anywhere, or the empty string."""
-    return F.coalesce(F.regexp_extract(F.upper(x), "[A-Z]", 0), F.lit(""))
+    """The viewer's choice: the first letter anywhere, or the empty string.
+
+    Characters are raised one by one: of those beyond ASCII only dotless i and long s become letters, and a sharp s is no S.
+    """
+    return F.coalesce(F.upper(F.regexp_extract(x, "[A-Za-z\u0131\u017f]", 0)), F.lit(""))
 
 
 def base_id(x: Column) -> Column:
