@@ -58,6 +58,14 @@ def write_documents(docs: DataFrame, folder: str, name: str = "sim_id") -> None:
     docs.select(F.col("text").alias("value"), name).write.mode("overwrite").partitionBy(name).text(folder)
 
 
+def write_lists(records: DataFrame, folder: str, record: str, key: Column, rows: int, most: int = 50_000) -> None:
+    """Records as JSON lists, a file each of about ``most`` of the ``rows``, dealt by the hash of a key: one line a file."""
+    parts = max(1, -(-rows // most))
+    dealt = records.select(F.pmod(F.xxhash64(key), F.lit(parts)).alias("__part"), F.col(record).alias("__r")).repartitionByRange(parts, "__part")
+    lists = dealt.groupBy("__part").agg(F.to_json(F.collect_list("__r")).alias("value")).select("value")
+    lists.write.option("maxRecordsPerFile", 1).text(folder)
+
+
 def kinematics_table(states: DataFrame, keys: list[str] = ["sim_id", "object_id"], t: str = "t", mass: Column | None = None) -> DataFrame:  # noqa: B006
     """The long table of 28 columns besides ``sim_id``: place, velocity, acceleration, jerk and what follows from them, rotation rate and its gradient.
 

@@ -36,13 +36,14 @@ def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
 def read_results(spark: SparkSession, paths: list[str], name: str = r"([^/]+)\.json$", pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """Answers of models from files and folders, one file a model: (model_id, idx, letter), and (model_id, idx, answer) that have no letter.
 
+    A file is read whole by one task. Where ``name`` takes the model from a folder, it may have any number of files.
     The letter is the first one anywhere in an answer; of several answers of a model to one id the last in its file
-    counts. Records without an id, and files that are no JSON list, have no rows. Both tables are views of one scan.
+    counts, and of its files that with the last path. Records without an id, and files that are no JSON list, have no rows. Both tables are views of one scan.
     """
     raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(paths)
     model = F.regexp_extract("_metadata.file_path", name, 1).alias("model_id")
-    items = raw.select(model, F.from_json("value", "array<struct<idx:string,answer:string>>").alias("items")).where("items is not null")
-    rows = items.select("model_id", F.posexplode("items").alias("at", "r")).select("model_id", "at", F.trim("r.idx").alias("idx"), F.col("r.answer").alias("answer")).where("idx <> ''")
+    items = raw.select(model, F.col("_metadata.file_path").alias("path"), F.explode(F.array(F.from_json("value", "array<struct<idx:string,answer:string>>"))).alias("items")).where("items is not null")
+    rows = items.select("model_id", "path", F.posexplode("items").alias("spot", "r")).select("model_id", F.struct("path", "spot").alias("at"), F.trim("r.idx").alias("idx"), F.col("r.answer").alias("answer")).where("idx <> ''")
     rows = rows.withColumn("letter", F.coalesce(letter(F.col("answer")), F.lit("")))
     valid = rows.where("letter <> ''").groupBy("model_id", "idx").agg(F.max_by("letter", "at").alias("letter"))
     return valid, rows.where("letter = ''").select("model_id", "idx", F.coalesce("answer", F.lit("")).alias("answer"))
