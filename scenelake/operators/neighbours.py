@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,6 +19,34 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(-1))
 
 
+def near_first(k: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Distances of which each query's ``k`` + 1 smallest, and all ties of these, are exact; those that are surely larger are NaN.
+
+    Squares come from one matrix product first; only rows within its rounding error of the last place are measured.
+    One place more is kept, as a query may meet itself.
+    """
+
+    def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x, y = np.nan_to_num(x), np.nan_to_num(y)
+        if y.shape[0] <= k + 1:
+            return distances(x, y)
+        xx, yy = (x * x).sum(1), (y * y).sum(1)
+        both = xx[:, None] + yy[None, :]
+        rough = both - 2 * (x @ y.T)
+        both *= 4 * (x.shape[1] + 4) * np.finfo(float).eps  # what a product of this length, and the measured squares, may be off
+        edge = np.partition(rough + both, k, axis=1)[:, k]
+        if not np.isfinite(edge).all():  # too large to square, or no numbers: measured one by one
+            return distances(x, y)
+        i, j = np.nonzero(rough - both <= edge[:, None])
+        out = np.full(rough.shape, np.nan)
+        for at in range(0, len(i), 1 << 15):  # ties may be many
+            p, q = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+            out[p, q] = np.sqrt(((x[p] - y[q]) ** 2).sum(-1))
+        return out
+
+    return kernel
+
+
 def nearest(df: DataFrame, scene: list[str], item: str, vector: str, k: int = 1, *, pivots: int = 16, large: int = 4096, block: int = 2048) -> DataFrame:
     """(scene, a, b, distance, rank): the ``k`` nearest other items of the same scene; ties go by item.
 
@@ -33,7 +63,7 @@ def nearest(df: DataFrame, scene: list[str], item: str, vector: str, k: int = 1,
     sized = rows.join(sizes, places)
     small, big = sized.where(F.col("__n") <= large).drop("__n"), sized.where(F.col("__n") > large)
     answered = lambda got: got.select(*scene, "a", "b", F.col("metric").alias("distance"), "rank")
-    plain = blocks.smallest(small.drop(*places), small.select(*scene, F.col("a").alias("b"), F.col("va").alias("vb")), scene, distances, k, block)
+    plain = blocks.smallest(small.drop(*places), small.select(*scene, F.col("a").alias("b"), F.col("va").alias("vb")), scene, near_first(k), k, block, 1 << 27)
     if sizes.where(F.col("__n") > large).isEmpty():
         return answered(plain)
 
@@ -60,13 +90,13 @@ def nearest(df: DataFrame, scene: list[str], item: str, vector: str, k: int = 1,
     radii = cells.groupBy(*places).agg(F.map_from_entries(F.collect_list(F.struct("cell", "radius"))).alias("radii"))
     targets = celled.select(*places, "cell", F.col("a").alias("b"), F.col("va").alias("vb"))
     spot = [*places, "cell"]
-    own = blocks.smallest(celled.select(*spot, "a", "va"), targets, spot, distances, k, block)
+    own = blocks.smallest(celled.select(*spot, "a", "va"), targets, spot, near_first(k), k, block, 1 << 27)
     bound = own.groupBy(*places, "a").agg(F.max("metric").alias("far"), F.count(F.lit(1)).alias("found"))
     asking = celled.join(bound, [*places, "a"], "left").join(radii, places)
     reach = F.when(F.col("found") >= k, F.col("far") * (1 + 1e-12)).otherwise(F.lit(float("inf")))
     other = F.filter(F.map_entries("radii"), lambda e: (e["key"] != F.col("cell")) & (F.greatest(F.get("gaps", e["key"]) - e["value"], (F.get("gaps", e["key"]) - F.col("away")) / 2) * (1 - 1e-12) <= reach))
     rest = asking.select(*places, "a", "va", F.explode(other).alias("e")).select(*places, F.col("e.key").alias("cell"), "a", "va")
-    more = blocks.smallest(rest, targets, spot, distances, k, block)
+    more = blocks.smallest(rest, targets, spot, near_first(k), k, block, 1 << 27)
     w = Window.partitionBy(*places, "a").orderBy("metric", "b")
     both = own.unionByName(more).select(*places, "a", "b", "metric").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     back = celled.select(*places, *scene, "a")
