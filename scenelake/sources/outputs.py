@@ -18,6 +18,11 @@ AXES = ("x", "y", "z")
 KINEMATICS = ["time", "object_id", *(p + a for p in ("p", "v", "a", "j") for a in AXES), "speed", "a_t", "a_n", "curvature", *("m" + a for a in AXES), "ke_trans", *(p + a for p in ("w", "alpha") for a in AXES)]
 
 
+def once(c: Column) -> Column:
+    """A value worked out in a step of its own, not wherever it is named."""
+    return F.explode(F.array(c))
+
+
 def enriched(docs: DataFrame, states: DataFrame) -> DataFrame:
     """(sim_id, text): the documents (sim_id, text) with the kinematics of ``states`` in each object of each step.
 
@@ -29,26 +34,27 @@ def enriched(docs: DataFrame, states: DataFrame) -> DataFrame:
     kind = "map<string,variant>"
     # a value in a variant: by way of JSON, as null must stay null
     state = F.parse_json(F.to_json(F.struct("v", "speed", "a", "accel"), {"ignoreNullFields": "false"}))
-    folded = states.groupBy("sim_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "step", "object_id"), state))).alias("__rows"))
-    doc = docs.withColumn("__top", F.try_variant_get(F.try_parse_json("text"), "$", kind))
+    # by step, then by object: a look-up in a map goes along its keys
+    folded = states.groupBy("sim_id", "step").agg(F.map_from_entries(F.collect_list(F.struct("object_id", state.alias("state")))).alias("__objects"))
+    folded = folded.groupBy("sim_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "__objects"))).alias("__rows"))
+    doc = docs.join(folded, "sim_id", "left").withColumn("__top", once(F.try_variant_get(F.try_parse_json("text"), "$", kind)))
     # steps keep their place in the text by their number among the sorted times, which is how scenes are read
-    doc = doc.withColumn("__steps", F.try_variant_get(F.try_element_at("__top", F.lit("simulation")), "$", kind)).join(folded, "sim_id", "left")
-    times = F.map_keys("__steps")
+    doc = doc.withColumn("__steps", once(F.try_variant_get(F.try_element_at("__top", F.lit("simulation")), "$", kind)))
 
-    def body(key: Column, value: Column) -> Column:
-        place = F.array_position(times, key) - 1
-        members = F.try_variant_get(value, "$", kind)
-        objects = F.try_variant_get(value, "$.objects", kind)
+    def body(value: Column, place: Column) -> Column:
+        def one(name: Column, o: Column, rows: Column) -> Column:
+            put = lambda row, own: F.when(row.isNotNull() & own.isNotNull(), F.to_variant_object(F.map_concat(F.map_filter(own, lambda k, _: k != "kinematics"), F.create_map(F.lit("kinematics"), row)))).otherwise(o)
+            return G.let(F.try_element_at(rows, name), lambda row: G.let(F.try_variant_get(o, "$", kind), lambda own: put(row, own)))
 
-        def one(name: Column, o: Column) -> Column:
-            row = F.try_element_at("__rows", F.concat_ws("/", place.cast("string"), name))
-            own = F.try_variant_get(o, "$", kind)
-            return F.when(row.isNotNull() & own.isNotNull(), F.to_variant_object(F.map_concat(F.map_filter(own, lambda k, _: k != "kinematics"), F.create_map(F.lit("kinematics"), row)))).otherwise(o)
+        def whole(objects: Column, rows: Column) -> Column:
+            more = F.to_variant_object(F.transform_values(objects, lambda name, o: one(name, o, rows)))
+            members = F.try_variant_get(value, "$", kind)
+            return F.when(objects.isNotNull(), F.to_variant_object(F.map_concat(F.map_filter(members, lambda k, _: k != "objects"), F.create_map(F.lit("objects"), more)))).otherwise(value)
 
-        more = F.to_variant_object(F.transform_values(objects, one))
-        return F.when(objects.isNotNull(), F.to_variant_object(F.map_concat(F.map_filter(members, lambda k, _: k != "objects"), F.create_map(F.lit("objects"), more)))).otherwise(value)
+        return G.let(F.try_variant_get(value, "$.objects", kind), lambda objects: G.let(F.try_element_at("__rows", place), lambda rows: whole(objects, rows)))
 
-    steps = F.to_variant_object(F.transform_values("__steps", body))
+    entries = F.transform(F.map_entries("__steps"), lambda e, i: F.struct(e["key"], body(e["value"], i)))
+    steps = F.to_variant_object(F.map_from_entries(entries))
     whole = F.to_json(F.map_concat(F.map_filter("__top", lambda k, _: k != "simulation"), F.create_map(F.lit("simulation"), steps)))
     return doc.select("sim_id", F.when(F.col("__steps").isNotNull() & F.col("__rows").isNotNull(), whole).otherwise(F.col("text")).alias("text"))
 
@@ -58,6 +64,15 @@ def write_documents(docs: DataFrame, folder: str, name: str = "sim_id") -> None:
     docs.select(F.col("text").alias("value"), name).write.mode("overwrite").partitionBy(name).text(folder)
 
 
+def write_document_lines(docs: DataFrame, folder: str, name: str = "sim_id") -> None:
+    """Documents as lines (name, text) of JSON files: for sets so large that a file each costs more than what is in it."""
+    docs.select(name, "text").write.mode("overwrite").json(folder)
+
+
+def read_document_lines(spark: SparkSession, folder: str, name: str = "sim_id") -> DataFrame:
+    return spark.read.schema(f"`{name}` string, text string").json(folder)
+
+
 def write_lists(records: DataFrame, folder: str, record: str, key: Column, rows: int, most: int = 50_000) -> None:
     """Records as JSON lists, a file each of about ``most`` of the ``rows``, dealt by the hash of a key: one line a file."""
     parts = max(1, -(-rows // most))

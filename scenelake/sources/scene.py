@@ -27,13 +27,17 @@ def _texts(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFra
 
 def read(spark: SparkSession, paths: str | list[str], pattern: str = "simulation*.json", limit: int | None = None) -> DataFrame:
     """(sim_id, path, world, bad): one row a file below the paths. Files that are no JSON object have a null world and ``bad``."""
-    raw = _texts(spark, paths, pattern)
-    df = raw.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", SCHEMA).alias("world"))
-    df = df.withColumn("bad", F.col("world").isNull() | F.col("world.simulation").isNull())
-    df = df.withColumn("sim_id", F.element_at(F.split("path", "/"), -2))
+    df = parsed(_texts(spark, paths, pattern).select(F.col("_metadata.file_path").alias("path"), "value"))
     return df.orderBy(natural_key(F.col("path")), "path").limit(limit) if limit is not None else df
 
 
+def parsed(raw: DataFrame) -> DataFrame:
+    """The rows of ``read`` from whole texts (path, value). Each text is parsed once, in a step of its own."""
+    df = raw.select("path", F.explode(F.array(F.from_json("value", SCHEMA))).alias("world"))
+    df = df.withColumn("bad", F.col("world").isNull() | F.col("world.simulation").isNull())
+    return df.withColumn("sim_id", F.element_at(F.split("path", "/"), -2))
+
+
 def at_depths(root: str, depths: tuple[int, ...] = (3, 4), name: str = "simulation.json") -> list[str]:
     """Path patterns for ``read`` that find files so many folders below a root, and none elsewhere."""
     return [f"{root.rstrip('/')}/{'*/' * d}{name}" for d in depths]
