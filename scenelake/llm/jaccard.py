@@ -113,9 +113,10 @@ def _digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _lists(rows: DataFrame) -> DataFrame:
-    """The rows (key, node, root) of lists with several roots, with ``lead``, the smallest of them, and ``size``; hot lists are summed before they are joined."""
-    several = rows.groupBy("key").agg(F.min("root").alias("lead"), F.max("root").alias("other"), F.count(F.lit(1)).alias("size")).where("lead <> other").select("key", "lead", "size")
+def _lists(rows: DataFrame, *rank: str) -> DataFrame:
+    """The rows (key, node, root) of lists with several roots, with ``lead``, the smallest of them by ``rank`` and itself, and ``size``; hot lists are summed before they are joined."""
+    several = rows.groupBy("key").agg(F.min(F.struct(*rank, "root"))["root"].alias("lead"), F.min("root").alias("one"), F.max("root").alias("other"), F.count(F.lit(1)).alias("size"))
+    several = several.where("one <> other").select("key", "lead", "size")
     return rows.join(several, "key")
 
 
@@ -125,6 +126,17 @@ def _enough(lists: DataFrame, groups: DataFrame) -> DataFrame:
     return lists.select("key", "node", "root").join(kept, "node", "left_semi")
 
 
+def _first(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of each node's lists but the last ``need`` - 1, small lists first.
+
+    Nodes that link share as many lists as either needs. The first of these in the order of all lists has need - 1 shared
+    ones after it on both sides, so both keep it. Nodes in fewer lists than a link implies keep none.
+    """
+    own = Window.partitionBy("node")
+    told = lists.join(groups.select("node", "need"), "node").withColumn("n", F.count(F.lit(1)).over(own)).withColumn("k", F.row_number().over(own.orderBy("size", "key")))
+    return told.where("k <= n - need + 1").select("key", "node", "root", "few")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) with den * intersection >= num * union."""
 
@@ -217,7 +229,7 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
     of a list but the sets that agree with it in a whole block, and a passage that many texts share makes no long list.
     Nodes in fewer lists than a link implies leave them. Each node is then compared with the two leads (smallest nodes
     of lists) with which it shares most blocks, and what these have linked is taken over. In lists that still hold
-    several classes, pairs of different classes are tested, where the list has more than ``short_list`` nodes by way of
+    several classes, of which a node keeps the smallest that no link can miss, pairs of different classes are tested, where the list has more than ``short_list`` nodes by way of
     the nodes' differences to the list's lead.
     Keys that ``often`` or more of one in 64 nodes hold are summed before they are joined, so no task sees a whole hot list.
     """
@@ -285,8 +297,10 @@ def join(docs: DataFrame, *, width: int = 5, num: int = 8, den: int = 10, doc_id
     pairs = pairs.withColumn("k", F.row_number().over(best)).where("k <= 2").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     links = cut(_verified(pairs, sets, num, den))
     roots = components(links)
-    rooted = lists.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lists = cut(_lists(_enough(_lists(rooted), groups)))
+    # roots of large classes lead, so that the lists of a node have few leads
+    roots = roots.join(roots.groupBy("root").agg((-F.count(F.lit(1))).alias("few")), "root")
+    rooted = lists.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).fillna(-1, ["few"])
+    lists = cut(_lists(_first(_lists(rooted, "few"), groups), "few"))
     short = lists.where(F.col("size") <= short_list)
     pairs = short.select("key", F.col("node").alias("a"), F.col("root").alias("x")).join(short.select("key", F.col("node").alias("b"), F.col("root").alias("y")), "key").where("a < b and x <> y")
     more = cut(_verified(pairs.select("a", "b").distinct(), sets, num, den))
