@@ -11,6 +11,16 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 
+def dealt(df: DataFrame, *keys: str, most: int = 50_000, rows: int | None = None) -> DataFrame:
+    """The rows in as many partitions as it takes for about ``most`` of them in each, by keys if there are any.
+
+    The number is fixed, so adaptive execution does not merge them: what a task holds does not grow with the table.
+    ``rows`` spares the count where it is known.
+    """
+    n = max(1, -(-(df.count() if rows is None else rows) // most))
+    return df.repartition(n, *keys)
+
+
 def backward_difference(df: DataFrame, keys: list[str], t: str, values: list[str], prefix: tuple[str, str] = ("v_", "a_")) -> DataFrame:
     """Adds velocity and acceleration of each value: differences to the row before over the time between.
 

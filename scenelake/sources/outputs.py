@@ -88,7 +88,9 @@ def kinematics_table(states: DataFrame, keys: list[str] = ["sim_id", "object_id"
     """
     mass = F.col("mass") if mass is None else mass
     df = states.withColumns({c: F.get("obb.center", F.lit(i)) for i, c in enumerate(AXES)}).withColumn("__m", mass)
-    df = ordered.motion(df, keys, t, list(AXES), F.col("__m")).withColumn("__q", G.unit_quat(G.matrix_quat(F.col("obb.R"))))
+    # the matrix goes first: what is put in order and kept for the gradients is narrow
+    df = df.withColumn("__q", once(G.unit_quat(G.matrix_quat(F.col("obb.R"))))).select(*keys, t, *AXES, "__m", "__q")
+    df = ordered.motion(df, keys, t, list(AXES), F.col("__m"))
     df = ordered.angular_velocity(df, keys, t, "__q", "__w").withColumns({f"__w{c}": F.get("__w", F.lit(i)) for i, c in enumerate(AXES)})
     for c in AXES:
         df = ordered.central_gradient(df, keys, t, f"__w{c}", f"__alpha{c}")
