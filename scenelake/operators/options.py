@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
 from ..functions.hashing import order_key, shuffle, uniform
 
 
@@ -14,8 +15,8 @@ def fixed(x: Column, decimals: int) -> Column:
 
 def _with_truth(wrong: Column, truth: Column, need: int, seed, *key: Column) -> Column:
     """Shuffled labels of the truth and the first ``need`` wrong ones; null if there are too few or two look the same."""
-    labels = F.concat(F.array(truth), F.slice(F.filter(wrong, lambda x: x != truth), 1, need))
-    return F.when((F.size(labels) == need + 1) & (F.size(F.array_distinct(labels)) == need + 1), shuffle(labels, seed, *key))
+    whole = lambda labels: F.when((F.size(labels) == need + 1) & (F.size(F.array_distinct(labels)) == need + 1), shuffle(labels, seed, *key))
+    return let(truth, lambda t: let(F.concat(F.array(t), F.slice(F.filter(wrong, lambda x: x != t), 1, need)), whole))
 
 
 def integer_options(truth: Column, low: int, high: int, seed, *key: Column, need: int = 3) -> Column:
@@ -31,7 +32,7 @@ def numeric_options(truth: Column, seed, *key: Column, decimals: int = 2, low: f
     Near zero the wrong ones are 2.5, 5 and 10.
     """
     s = F.when(F.abs(truth) < 1, F.lit(0.4)).otherwise(uniform(seed, *key, low=slope[0], high=slope[1]))
-    scaled = F.transform(F.array(*[F.lit(float(x)) for x in (-3, -2, -1, 1, 2, 3)]), lambda x: (x + s) / s * truth)
+    scaled = let(s, lambda s: F.transform(F.array(*[F.lit(float(x)) for x in (-3, -2, -1, 1, 2, 3)]), lambda x: (x + s) / s * truth))
     ok = lambda x: (F.abs(x - truth) > apart) & (x >= low if low is not None else F.lit(True)) & (x <= high if high is not None else F.lit(True))
     wrong = F.when(F.abs(truth) < 0.04, F.array(F.lit(2.5), F.lit(5.0), F.lit(10.0))).otherwise(F.filter(scaled, ok))
     return _with_truth(F.transform(wrong, lambda x: fixed(x, decimals)), fixed(truth, decimals), need, seed, *key)

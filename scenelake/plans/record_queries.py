@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.hashing import order_key, seed_of, uniform
-from ..operators import joins, options, sampling
+from ..operators import joins, options, ordered, sampling
+from ..sources import outputs
 from .registry import query, table
 
 _HASH = "sha256(concat_ws(':', {}))"
@@ -93,7 +94,9 @@ def mcq_integer(spark, folder):
 
 
 def _numeric(spark, folder, name, labels, truth):
-    df = table(spark, folder, "part").select("p_partkey", labels.alias("labels"), truth.alias("truth")).where("labels is not null")
+    # each row's labels are made once, in tasks of a bounded number of rows whatever the files' sizes
+    part = ordered.dealt(table(spark, folder, "part").select("p_partkey", "p_retailprice", "p_size"))
+    df = part.select("p_partkey", outputs.once(labels).alias("labels"), truth.alias("truth")).where("labels is not null")
     return df.select("p_partkey", F.array_join("labels", ",").alias("labels"), options.correct_index(F.col("labels"), F.col("truth")).alias("correct"))
 
 
