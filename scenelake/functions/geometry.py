@@ -245,16 +245,17 @@ def _hull_iou(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _matrix_euler(m: pd.Series) -> pd.Series:
-    out = []
-    for rows in m:
-        if rows is None:
-            out.append(None)
-            continue
-        u, _, v = np.linalg.svd(np.array([list(r) for r in rows], np.float64))
-        r = u @ np.diag([1, 1, np.linalg.det(u @ v)]) @ v
-        s = float(np.clip(-r[2, 0], -1, 1))
-        out.append(np.degrees([np.arctan2(r[2, 1], r[2, 2]), np.arcsin(s), np.arctan2(r[1, 0], r[0, 0])]).tolist())
-    return pd.Series(out)
+    out = pd.Series([None] * len(m), dtype=object)
+    known = np.flatnonzero(m.notna().to_numpy())
+    if len(known):
+        u, _, v = np.linalg.svd(np.concatenate(m.iloc[known].to_list()).astype(np.float64).reshape(-1, 3, 3))
+        u[:, :, 2] *= np.linalg.det(u @ v)[:, None]
+        r = u @ v
+        turns = np.stack([np.arctan2(r[:, 2, 1], r[:, 2, 2]), np.arcsin(np.clip(-r[:, 2, 0], -1, 1)), np.arctan2(r[:, 1, 0], r[:, 0, 0])], axis=1)
+        held = np.empty(len(known), object)
+        held[:] = np.degrees(turns).tolist()
+        out.iloc[known] = held
+    return out
 
 
 def hull_iou(a: str | Column, b: str | Column) -> Column:
@@ -267,7 +268,7 @@ def hull_iou(a: str | Column, b: str | Column) -> Column:
 
 def matrix_euler(m: str | Column) -> Column:
     """Degrees about x, y and z of the rotation nearest to a matrix given as rows."""
-    return F.pandas_udf(_matrix_euler, "array<double>").asNondeterministic()(m)
+    return F.pandas_udf(_matrix_euler, "array<double>").asNondeterministic()(F.flatten(m))
 
 
 def relation(iou: Column, du: Column, dv: Column, ddepth: Column) -> Column:
