@@ -9,24 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.llm import jaccard, leakage, packing, quality, secrets
-from scenelake.llm.common import cut, table
+from scenelake.llm.common import cut, small_batches, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose chance of the top grade, good and not toxic, is under one half."""
+    small_batches(spark)
     model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")), levels=3)
     return quality.keep(docs, model, tail=0.5)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class linked by Jaccard similarity 0.8 of five-word shingles."""
+    small_batches(spark)
     return jaccard.dedupe(docs, width=5, num=8, den=10)
 
 
 def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    small_batches(spark)
     return leakage.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -38,6 +41,7 @@ def unsecret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer=TOKENIZER)
 
 

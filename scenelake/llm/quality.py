@@ -170,5 +170,6 @@ def keep(docs: DataFrame, model: Model, *, tail: float = 0.5, text: str = "text"
         own = Model(*held.value)
         for batch in batches:
             yield batch.filter(pa.array([bool(own.tails(slots(t or ""))[-1] >= tail) for t in batch.column(at).to_pylist()], pa.bool_()))
+        _slots.clear()  # workers are used again by other steps
 
     return docs.mapInArrow(kept, docs.schema)
