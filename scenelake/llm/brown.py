@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, delete
@@ -71,101 +71,120 @@ def counts(texts: DataFrame, limit: int = 300_000) -> DataFrame:
     return texts.mapInArrow(counted, "word binary, c long").groupBy(F.col("word").cast("string").alias("word")).agg(F.sum("c").alias("c"))
 
 
-class Ids(dict):
-    """Numbers of words: a clustered word has its own, any other word SHAPES numbers by shape from ``first`` on."""
+#: Two-byte numbers that stand for a word of the lexicon with a larger one, told in ``more``, and for a word outside it, told in ``f`` and ``s``.
+MORE, FAR = 65534, 65535
 
-    def __init__(self, clustered: list[str], first: int) -> None:
-        super().__init__((w.encode("utf-8", "surrogatepass"), i) for i, w in enumerate(clustered))
-        self.first = first
 
-    def __missing__(self, w: bytes) -> int:
-        n = self.first + _shape(w)
-        if len(self) < 400_000:
-            self[w] = n
-        return n
+def encode(docs: DataFrame, lexicon: list[str]) -> DataFrame:
+    """The rows of ``docs`` with the numbers of their words instead of the text t, so that later passes need not split texts again.
+
+    ``codes`` has two bytes a word, the place in ``lexicon``, of which END is 0; words outside it are told by fingerprint in
+    ``f`` and by shape in ``s``.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # a parameter's worth of words
+    rest = [c for c in docs.columns if c != "t"]
+
+    def coded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w.encode("utf-8", "surrogatepass"): i for i, w in enumerate(held.value)}
+        for part in parts:
+            rows = []
+            for t in utf8(part):
+                ws = t.lower().split()
+                i = np.fromiter(map(at.get, ws, repeat(-1)), np.int32, len(ws))
+                far = [ws[k] for k in np.flatnonzero(i < 0).tolist()]
+                more = i[i >= MORE]
+                i[i >= MORE], i[i < 0] = MORE, FAR
+                f, s = np.array([xxhash.xxh64_intdigest(w, 42) for w in far], np.uint64), np.array([_shape(w) for w in far], np.int8)
+                rows.append([x.tobytes() for x in (i.astype(np.uint16), more, f, s)])
+            kept = {c: part.column(part.schema.get_field_index(c)) for c in rest}
+            yield pa.record_batch(kept | {c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("codes", "more", "f", "s"))})
+
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
+    return docs.mapInArrow(coded, schema + "codes binary, more binary, f binary, s binary")
+
+
+def _flat(batch: pa.RecordBatch, column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and how many each row has."""
+    values = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int64)[values.offset : values.offset + len(values) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.frombuffer(data.tobytes(), kind), np.diff(ends) // np.dtype(kind).itemsize
 
 
-def bigrams(texts: DataFrame, clustered: list[str]) -> DataFrame:
-    """(a, b, n): how often number b follows number a in all texts; a text begins and ends with END, which is number 0."""
-    size = len(clustered) + SHAPES
-    held = texts.sparkSession.sparkContext.broadcast(clustered)  # a parameter's worth of words
+def opened(parts: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, x, n, f, s) by stretches of ``rows`` texts that ``encode`` made.
+
+    x: the numbers of all words, -1 outside the lexicon, with an end before the first text and after each; n: words of
+    each text; f and s: fingerprints and shapes of the words outside.
+    """
+    for part in parts:
+        for i in range(0, part.num_rows, rows):
+            batch = part.slice(i, rows)
+            codes, n = _flat(batch, "codes", np.uint16)
+            own = codes.astype(np.int32)
+            own[codes == MORE] = _flat(batch, "more", np.int32)[0]
+            own[codes == FAR] = -1
+            x = np.zeros(len(own) + len(n) + 1, np.int32)
+            x[np.arange(len(own)) + np.repeat(np.arange(1, len(n) + 1), n)] = own
+            yield batch, x, n, _flat(batch, "f", np.int64)[0], _flat(batch, "s", np.int8)[0].astype(np.int32)
+
+
+def bigrams(coded: DataFrame, lexicon: list[str], clustered: int) -> DataFrame:
+    """(a, b, n): how often number b follows number a in all texts; the first ``clustered`` words have their own, others that of their shape."""
+    size = clustered + SHAPES
+    number = np.array([i if i < clustered else clustered + shape(w) for i, w in enumerate(lexicon)], np.int32)
+    held = coded.sparkSession.sparkContext.broadcast(number)  # a number for each word of the lexicon
 
     def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, total = Ids(held.value, len(held.value)), np.zeros(size * size, np.int64)
-        for part in parts:
-            flat = [0]
-            for i, t in enumerate(utf8(part), 1):
-                flat.extend(map(ids.__getitem__, t.lower().split()))
-                flat.append(0)
-                if len(flat) > 1_000_000 or i == part.num_rows:
-                    x = np.array(flat, np.int64)
-                    total += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
-                    flat = [0]
+        total = np.zeros(size * size, np.int64)
+        for _, x, _, _, s in opened(parts):
+            y = held.value[x].astype(np.int64)
+            y[x < 0] = clustered + s
+            total += np.bincount(y[:-1] * size + y[1:], minlength=size * size)
         keys = np.flatnonzero(total)
         yield pa.record_batch({"a": (keys // size).astype(np.int32), "b": (keys % size).astype(np.int32), "n": total[keys]})
 
-    return texts.mapInArrow(counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return coded.select("codes", "more", "f", "s").mapInArrow(counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-class Numbers(dict):
-    """Numbers of words: those held come first, any other gets the next number."""
+def links(coded: DataFrame, classes: np.ndarray, k: int) -> DataFrame:
+    """(a, b, n): how often class b follows class a where both words are of the lexicon; each task sums all its texts."""
+    held = coded.sparkSession.sparkContext.broadcast(classes)  # a class for each word of the lexicon
 
-    def __missing__(self, w: bytes) -> int:
-        n = self[w] = len(self)
-        return n
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for _, x, _, _, _ in opened(parts):
+            near = (x[:-1] >= 0) & (x[1:] >= 0)
+            c = held.value[x]
+            total += np.bincount(c[:-1][near] * k + c[1:][near], minlength=k * k)
+        keys = np.flatnonzero(total)
+        yield pa.record_batch({"a": (keys // k).astype(np.int32), "b": (keys % k).astype(np.int32), "n": total[keys]})
 
+    return coded.select("codes", "more", "f", "s").mapInArrow(counted, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
-def links(texts: DataFrame, held: list[tuple[str, int]], first: int, marked: np.ndarray) -> DataFrame:
-    """(f, a, f2, b, n): how often class b follows class a in all texts, summed by each task over stretches of its texts.
 
-    Words of ``held``, END first, have their class there, and words that ``marked`` leaves out that of their shape. Of any
-    other word the fingerprint is told in f (first of the two) or f2 (second), with its shape class.
+def outside(coded: DataFrame, table: DataFrame, classes: np.ndarray, first: int) -> DataFrame:
+    """(row, train, s, c, h, learned, l, r): every word of the texts that the lexicon lacks, once for each time it occurs.
+
+    ``c`` is its count, ``h`` its class, ``l`` the class of what precedes it and ``r`` that of what follows, or -1 if the
+    lexicon lacks that one too: it tells the two as its own l.
     """
-    known = texts.sparkSession.sparkContext.broadcast((held, np.packbits(marked)))  # a parameter's worth of words, and the bitmap
-    width = first + SHAPES
+    held = coded.sparkSession.sparkContext.broadcast(classes)  # a class for each word of the lexicon
 
-    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, bits = known.value[0], np.unpackbits(known.value[1]).astype(bool)
-        base = {w.encode("utf-8", "surrogatepass"): i for i, (w, _) in enumerate(words_)}
-        size, classes = len(base), [c for _, c in words_]
-
-        def frame(flat, ids):
-            new = list(ids)[size:]
-            cls = np.array(classes + [first + _shape(w) for w in new], np.int64)
-            code = np.concatenate([np.zeros(size, np.uint64), np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)])
-            told = bits[(code & np.uint64(len(bits) - 1)).astype(np.int64)]
-            told[:size] = False
-            code = code.view(np.int64)
-            x, out = np.array(flat, np.int64), []
-            x, y = x[:-1], x[1:]
-            p, q = told[x], told[y]
-
-            def rows(u, v, one, two):
-                """Sums over u (number or class) and v; ``one`` and ``two`` say which of them are numbers."""
-                wide = len(ids) if two else width
-                k, n = np.unique(u * wide + v, return_counts=True)
-                u, v, none = k // wide, k % wide, [None] * len(k)
-                a, b = cls[u] if one else u, cls[v] if two else v
-                columns = {"f": code[u] if one else none, "a": a.astype(np.int32), "f2": code[v] if two else none, "b": b.astype(np.int32), "n": n}
-                out.append(pa.record_batch({c: pa.array(x, pa.int32() if c in "ab" else pa.int64()) for c, x in columns.items()}))
-
-            rows(cls[x[~p & ~q]], cls[y[~p & ~q]], False, False)
-            rows(x[p & ~q], cls[y[p & ~q]], True, False)
-            rows(cls[x[q & ~p]], y[q & ~p], False, True)
-            rows(x[p & q], y[p & q], True, True)
-            return out
-
-        flat, ids = [0], Numbers(base)
-        for part in parts:
-            for t in utf8(part):
-                flat.extend(map(ids.__getitem__, t.lower().split()))
-                flat.append(0)
-                if len(flat) > 2_000_000:
-                    yield from frame(flat, ids)
-                    flat, ids = [0], Numbers(base)
-        yield from frame(flat, ids)
+    def listed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, x, n, f, s in opened(parts):
+            at = np.flatnonzero(x < 0)
+            c = np.where(x < 0, -1, held.value[x]).astype(np.int32)
+            text = np.repeat(np.arange(len(n)), n + 1)[at - 1]
+            own = {name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)[text] for name in ("row", "train")}
+            yield pa.record_batch(own | {"i": at.astype(np.int32), "f": f, "s": s, "l": c[at - 1], "r": c[at + 1]})
 
-    return texts.mapInArrow(counted, "f long, a int, f2 long, b int, n long")
+    rows = coded.select("row", "train", "codes", "more", "f", "s").mapInArrow(listed, "row long, train boolean, i int, f long, s int, l int, r int")
+    rows = rows.join(table.select("f", "c", "h"), "f", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rows = rows.withColumn("learned", F.col("h").isNotNull()).withColumn("h", F.coalesce("h", F.col("s") + first))
+    before = F.lag("h").over(Window.partitionBy("row").orderBy("i"))
+    return rows.withColumn("l", F.when(F.col("l") < 0, before).otherwise(F.col("l"))).select("row", "train", "s", "c", "h", "learned", "l", "r")
 
 
 def frequent_bits(table: DataFrame, least: int, bits: int = 23) -> np.ndarray:
@@ -181,39 +200,50 @@ def frequent_bits(table: DataFrame, least: int, bits: int = 23) -> np.ndarray:
     return (out[:, None] >> np.arange(32) & 1).astype(bool).reshape(-1)
 
 
-def contexts(texts: DataFrame, held: list[tuple[str, int]], first: int, marked: np.ndarray) -> DataFrame:
-    """(f, d, n): how often the word with fingerprint f, none of ``held``, is followed by class d or, for d from ``first`` + SHAPES on, preceded by class d less that."""
-    known = texts.sparkSession.sparkContext.broadcast((held, np.packbits(marked)))  # a parameter's worth of words, and the bitmap
-    width = first + SHAPES
+def contexts(coded: DataFrame, lexicon: list[tuple[str, int, int]], core: int, first: int, least: int, marked: np.ndarray) -> DataFrame:
+    """(f, d, n): how often the word with fingerprint f, none of the first ``core``, is followed by class d or, for d from ``first`` + SHAPES on, preceded by class d less that.
 
-    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_, bits = known.value[0], np.unpackbits(known.value[1]).astype(bool)
-        base = {w.encode("utf-8", "surrogatepass"): i for i, (w, _) in enumerate(words_)}
-        size, classes = len(base), [c for _, c in words_]
-
-        def frame(flat, ids):
-            new = list(ids)[size:]
-            cls = np.array(classes + [first + _shape(w) for w in new], np.int64)
-            code = np.concatenate([np.zeros(size, np.uint64), np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64)])
-            told = bits[(code & np.uint64(len(bits) - 1)).astype(np.int64)]
-            told[:size] = False
-            x = np.array(flat, np.int64)
-            x, y = x[:-1], x[1:]
-            p, q = told[x], told[y]
-            k, n = np.unique(np.concatenate([x[p] * (2 * width) + cls[y[p]], y[q] * (2 * width) + width + cls[x[q]]]), return_counts=True)
-            return pa.record_batch({"f": code.view(np.int64)[k // (2 * width)], "d": (k % (2 * width)).astype(np.int32), "n": n.astype(np.int64)})
-
-        flat, ids = [0], Numbers(base)
-        for part in parts:
-            for t in utf8(part):
-                flat.extend(map(ids.__getitem__, t.lower().split()))
-                flat.append(0)
-                if len(flat) > 2_000_000:
-                    yield frame(flat, ids)
-                    flat, ids = [0], Numbers(base)
-        yield frame(flat, ids)
+    ``lexicon`` has a word, its count and, in the core, its class; all other words count by shape as neighbours. Rows are
+    made for words that occur ``least`` times or more, outside the lexicon for those that ``marked`` has.
+    """
+    width = 2 * (first + SHAPES)
+    cls = np.array([h if i < core else first + shape(w) for i, (w, _, h) in enumerate(lexicon)], np.int32)
+    told = np.array([i >= core and c >= least for i, (_, c, _) in enumerate(lexicon)], bool)
+    code = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w, _, _ in lexicon], np.uint64).view(np.int64)
+    known = coded.sparkSession.sparkContext.broadcast((cls, told, code, np.packbits(marked)))  # some numbers for each word of the lexicon, and the bitmap
 
-    return texts.mapInArrow(counted, "f long, d int, n long")
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, told, code, bits = known.value
+        bits = np.unpackbits(bits).astype(bool)
+
+        def frame(near, far):
+            k, n = np.unique(np.concatenate(near), return_counts=True)
+            yield pa.record_batch({"f": code[k // width], "d": k % width, "n": n.astype(np.int64)})
+            f, d = (np.concatenate(x) for x in zip(*far))
+            f, at = np.unique(f, return_inverse=True)
+            k, n = np.unique(at * width + d, return_counts=True)
+            yield pa.record_batch({"f": f[k // width], "d": (k % width).astype(np.int32), "n": n.astype(np.int64)})
+
+        near, far, size = [], [], 0
+        for _, x, _, f, s in opened(parts):
+            c = cls[x]
+            c[x < 0] = first + s
+            after, before = c[1:], c[:-1] + width // 2
+            own = told[x] & (x >= 0)
+            y, z = own[:-1], own[1:]
+            near += [x[:-1][y] * width + after[y], x[1:][z] * width + before[z]]  # below 2 ** 31 for a lexicon of ten millions
+            at = np.flatnonzero(x < 0)
+            some = bits[(f.view(np.uint64) & np.uint64(len(bits) - 1)).astype(np.int64)]
+            at, f = at[some], f[some]
+            far += [(f, after[at]), (f, before[at - 1])]  # a text's words lie between ends
+            size += 2 * len(x)
+            if size > 8_000_000:
+                yield from frame(near, far)
+                near, far, size = [], [], 0
+        if near:
+            yield from frame(near, far)
+
+    return coded.select("codes", "more", "f", "s").mapInArrow(counted, "f long, d int, n long")
 
 
 def assign(contexts: DataFrame, g: np.ndarray, classes: int, least: int, rounds: int = 3) -> DataFrame:
@@ -326,17 +356,35 @@ class Model:
     first_shape: int
     tokens: int
     types: int
-    marked: np.ndarray  # bits of the words that may have a learned class
     discount: float = 0.6
 
 
-def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon: int = 150_000, least_count: int = 10) -> tuple[Model, DataFrame]:
-    """Learns from all texts of column t: the model, and the table (word, c, f, h) of all counts, fingerprints and learned classes.
+def fit(texts: DataFrame, **options) -> tuple[Model, DataFrame]:
+    """Learns from all texts of column t, with the options of ``fit_score``: the model, and the table (word, c, f, h) of all counts, fingerprints and learned classes."""
+    model, table, coded, far = _learned(texts.select("t", F.lit(True).alias("train")), **options)
+    delete(coded)
+    delete(far)
+    return model, table
+
+
+def fit_score(docs: DataFrame, train: Column, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``score`` of all rows by the model that the rows with ``train`` give, each text being split into words twice only.
 
     ``clustered`` words are clustered into ``classes`` by exchange. Every other word that occurs ``least_count`` times or
     more then moves to the class that suits its neighbours best; rarer ones have one class for each shape. The most
-    frequent words, at most ``lexicon``, travel with the model. These are the model's size; every count behind it covers the whole corpus.
+    frequent words, at most ``lexicon``, travel with the model. These are the model's size; every count behind it covers all of the training rows.
     """
+    model, _, coded, far = _learned(_source(docs, doc_id, text, train), **options)
+    return _scored(coded, far, model, doc_id)
+
+
+def _source(docs: DataFrame, doc_id: str, text: str, train: Column) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+
+def _learned(source: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon: int = 150_000, least_count: int = 10) -> tuple[Model, DataFrame, DataFrame, DataFrame]:
+    """The model of the rows with ``train``, its table of words, and the texts of all rows in numbers, with the words outside the lexicon."""
+    texts = source.where("train").select("t")
     table = cut(counts(texts))
     tokens, types = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     # the most frequent words by levels of 1/32 of a doubling, so no task sorts or sends more than its part of them
@@ -353,7 +401,10 @@ def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon:
     top = sorted(((r["word"], r["c"]) for r in frequent), key=lambda x: (-x[1], x[0]))
     ends = table.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     own = [END, *(w for w, _ in top[: clustered - 1])]
+    named = [END, *(w for w, _ in top)]
     size = len(own) + SHAPES
+    coded = cut(encode(source, named).withColumn("row", F.monotonically_increasing_id()))
+    training = coded.where("train")
 
     def assigned(part: pd.DataFrame) -> pd.DataFrame:
         n = np.zeros((size, size))
@@ -365,32 +416,28 @@ def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon:
         return pd.DataFrame({"label": [label.tolist()], "g": [g.reshape(-1).tolist()]})
 
     # at most (clustered + SHAPES) squared rows, whatever the input
-    got = bigrams(texts, own).groupBy(F.lit(0).alias("all")).applyInPandas(assigned, "label array<int>, g array<double>").collect()
+    got = bigrams(training, named, len(own)).groupBy(F.lit(0).alias("all")).applyInPandas(assigned, "label array<int>, g array<double>").collect()
     k = classes + 1 + SHAPES
     label = np.array(got[0]["label"]) if got else np.concatenate([[0], 1 + np.arange(len(own) - 1) % classes, classes + 1 + np.arange(SHAPES)])
     g = np.array(got[0]["g"]).reshape(k, k) if got else np.zeros((k, k))
-    core = [(w, int(label[i])) for i, w in enumerate(own)]
-    marked = frequent_bits(table, least_count)
-    learned = assign(contexts(texts, core, classes + 1, marked), g, classes, least_count)
+    core = {w: int(label[i]) for i, w in enumerate(own)}
+    words_ = [(END, int(ends), 0), *((w, int(c), core.get(w, -1)) for w, c in top)]
+    learned = assign(contexts(training, words_, len(own), classes + 1, least_count, frequent_bits(table, least_count)), g, classes, least_count)
     code = lambda w: int(np.uint64(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42)).view(np.int64))
     others = {code(w): w for w, _ in top[len(own) - 1 :]}
     wanted = F.broadcast(texts.sparkSession.createDataFrame(pa.table({"f": pa.array(list(others), pa.int64())})))  # at most ``lexicon`` words
-    class_of = dict(core) | {others[r["f"]]: r["h"] for r in learned.join(wanted, "f").select("f", "h").collect()}
+    class_of = core | {others[r["f"]]: r["h"] for r in learned.join(wanted, "f").select("f", "h").collect()}
     words_ = [(END, int(ends), 0)]
     words_ += [(w, int(c), class_of.get(w, classes + 1 + shape(w))) for w, c in top]
-    # transitions between the classes of all words: those outside the lexicon are joined by fingerprint
-    met = cut(links(texts, [(w, h) for w, _, h in words_], classes + 1, marked).groupBy("f", "a", "f2", "b").agg(F.sum("n").alias("n")))
-    first = learned.select("f", F.col("h").alias("h1"))
-    second = learned.select(F.col("f").alias("f2"), F.col("h").alias("h2"))
-    sides = [met.where("f is null and f2 is null").select("a", "b", "n")]
-    sides.append(met.where("f is not null and f2 is null").join(first, "f", "left").select(F.coalesce("h1", "a").alias("a"), "b", "n"))
-    sides.append(met.where("f is null and f2 is not null").join(second, "f2", "left").select("a", F.coalesce("h2", "b").alias("b"), "n"))
-    sides.append(met.where("f is not null and f2 is not null").join(first, "f", "left").join(second, "f2", "left").select(F.coalesce("h1", "a").alias("a"), F.coalesce("h2", "b").alias("b"), "n"))
+    # transitions between the classes of all words: those outside the lexicon are joined by fingerprint, once for these and for the scores
+    of = np.array([h for _, _, h in words_], np.int64)
+    counted = table.withColumn("f", F.xxhash64("word")).join(learned.select("f", "h"), "f", "left").select("word", "c", "f", "h")
+    far = cut(outside(coded, counted, of, classes + 1))
+    met = far.where("train")
     g = np.zeros((k, k))
-    for side in sides:
-        for r in side.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most k squared rows
+    for side in (links(training, of, k), met.groupBy(F.col("l").alias("a"), F.col("h").alias("b")).agg(F.count(F.lit(1)).alias("n")), met.where("r >= 0").groupBy(F.col("h").alias("a"), F.col("r").alias("b")).agg(F.count(F.lit(1)).alias("n"))):
+        for r in side.collect():  # at most k squared rows
             g[r["a"], r["b"]] += r["n"]
-    delete(met)
     # Witten-Bell interpolation with the unigram of classes
     follow, kinds = g.sum(1), (g > 0).sum(1)
     unigram = (g.sum(0) + 1) / (g.sum() + k)
@@ -405,8 +452,7 @@ def fit(texts: DataFrame, *, classes: int = 60, clustered: int = 1000, lexicon:
     shape_total, shape_types = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in rare.groupBy(shape_column(F.col("word")).alias("s")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # SHAPES rows
         shape_total[r["s"]], shape_types[r["s"]] = r["c"], r["v"]
-    table = table.withColumn("f", F.xxhash64("word")).join(learned.select("f", "h"), "f", "left").select("word", "c", "f", "h")
-    return Model(words_, logt, class_total, shape_total, shape_types, classes + 1, int(tokens), int(types), np.packbits(marked)), table
+    return Model(words_, logt, class_total, shape_total, shape_types, classes + 1, int(tokens), int(types)), counted, coded, far
 
 
 def _rare(model: Model, c: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -423,13 +469,16 @@ def score(docs: DataFrame, model: Model, table: DataFrame, *, doc_id: str = "doc
     ignored. Counts and classes of words outside the lexicon are looked up in ``table`` by a join on 64-bit fingerprints, so the
     vocabulary is never broadcast. The model is a distribution over words with one unknown word for each shape.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # bounded by the model's parameters
-    kind = docs.schema[doc_id].dataType.simpleString()
+    coded = cut(encode(_source(docs, doc_id, text, F.lit(True)), [w for w, _, _ in model.lexicon]).withColumn("row", F.monotonically_increasing_id()))
+    far = cut(outside(coded, table, np.array([h for _, _, h in model.lexicon], np.int64), model.first_shape))
+    return _scored(coded, far, model, doc_id)
+
+
+def _scored(coded: DataFrame, far: DataFrame, model: Model, doc_id: str) -> DataFrame:
+    held = coded.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
 
     def local(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        at = {w.encode("utf-8", "surrogatepass"): i for i, (w, _, _) in enumerate(m.lexicon)}
         c = np.array([x[1] for x in m.lexicon], np.float64)
         h = np.array([x[2] for x in m.lexicon], np.int64)
         base = np.log10((c + 1) / (m.tokens + m.types + 1))
@@ -437,53 +486,30 @@ def score(docs: DataFrame, model: Model, table: DataFrame, *, doc_id: str = "doc
         emit = np.zeros(len(c))
         emit[closed] = np.log10(np.where(c[closed] > 0, c[closed], 1) / np.where(m.class_total[h[closed]] > 0, m.class_total[h[closed]], 1))
         emit[~closed] = _rare(m, c[~closed], h[~closed] - m.first_shape)
-        known, end = c > 0, np.zeros(1, np.int64)
-        bits = np.unpackbits(m.marked).astype(bool)
-
-        for part in parts:
-            if not part.num_rows:
-                continue
-            rows = []
-            for t in utf8(part):
-                ws = t.lower().split()
-                i = np.fromiter(map(at.get, ws, repeat(-1)), np.int64, len(ws))
-                cls = h[i]
-                far = np.flatnonzero(i < 0)
-                codes = np.array([xxhash.xxh64_intdigest(ws[k], 42) for k in far.tolist()], np.uint64)
-                sure = ~bits[(codes & np.uint64(len(bits) - 1)).astype(np.int64)]
-                codes = codes.view(np.int64)
-                shapes = np.array([_shape(ws[k]) for k in far.tolist()], np.int64)
-                # classes with ends; -1 for a word whose class is to be joined, whose transitions are scored after that
-                cls[far] = np.where(sure, m.first_shape + shapes, -1)
-                cls, i = np.concatenate([end, cls, end]), np.concatenate([i[i >= 0], end])
-                one, two = cls[:-1], cls[1:]
-                near = (one >= 0) & (two >= 0)
-                left, right = np.where(sure, -2, cls[far]), np.where(sure, -2, cls[far + 2])  # -2: scored here
-                rows.append((len(ws) + 1, int(known[i].sum()), float(base[i].sum()), float(emit[i].sum() + m.logt[one[near], two[near]].sum()), codes, shapes, left, right))
-            flat = {c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate((("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())))}
-            ends = pa.array(np.cumsum([0, *(len(r[4]) for r in rows)]), pa.int32())
-            lists = {c: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[i] for r in rows]), k)) for i, (c, k) in enumerate((("f", pa.int64()), ("s", pa.int32()), ("l", pa.int32()), ("r", pa.int32())), 4)}
-            yield pa.record_batch({"id": part.column(0)} | flat | lists)
-
-    source = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    schema = f"id {kind}, n long, known long, base double, score double, f array<long>, s array<int>, l array<int>, r array<int>"
-    scored = cut(source.mapInArrow(local, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.posexplode(F.arrays_zip("f", "s", "l", "r")).alias("i", "z")).select("row", "i", "z.f", "z.s", "z.l", "z.r")
-    rare = rare.join(table.select("f", "c", "h"), "f", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        logt = m.logt.reshape(-1)
+        for batch, x, n, _, _ in opened(parts):
+            one, two = x[:-1], x[1:]
+            text = np.repeat(np.arange(len(n)), n + 1)  # of each word and its end
+            near = two >= 0
+            both = near & (one >= 0)
+            value = np.where(near, emit[two], 0.0)
+            value[both] += logt[h[one[both]] * len(m.logt) + h[two[both]]]
+            sums = [np.bincount(text, weights=w, minlength=len(n)) for w in (near & (c[two] > 0), np.where(near, base[two], 0.0), value)]
+            own = {name: batch.column(batch.schema.get_field_index(name)) for name in ("row", "id")}
+            yield pa.record_batch(own | {"n": n + 1, "known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2]})
+
+    kind = coded.schema["id"].dataType.simpleString()
+    scored = coded.select("row", "id", "codes", "more", "f", "s").mapInArrow(local, f"row long, id {kind}, n long, known long, base double, score double")
     look = lambda x, at: F.element_at(F.split(F.lit(",".join(repr(float(v)) for v in x)), ",").cast("array<double>"), (at + 1).cast("int"))
     hop = lambda a, b: look(model.logt.reshape(-1), a * len(model.logt) + b)
     total, types = look(model.shape_total, F.col("s")), look(model.shape_types, F.col("s"))
-    p = F.when(F.col("h").isNotNull(), F.col("c") / look(model.class_total, F.col("h"))).otherwise(F.when(F.col("c") > 0, F.col("c") - model.discount).otherwise(F.when(types > 0, types * model.discount).otherwise(1.0)) / F.when(total > 0, total).otherwise(1.0))
-    rare = rare.withColumn("score", F.log10(p)).withColumn("h", F.coalesce("h", F.col("s") + model.first_shape))
-    hops = F.when(F.col("l") >= 0, hop(F.col("l"), F.col("h"))).otherwise(0.0) + F.when(F.col("r") >= 0, hop(F.col("h"), F.col("r"))).otherwise(0.0)
-    sums = rare.groupBy("row").agg(
+    p = F.when(F.col("learned"), F.col("c") / look(model.class_total, F.col("h"))).otherwise(F.when(F.col("c") > 0, F.col("c") - model.discount).otherwise(F.when(types > 0, types * model.discount).otherwise(1.0)) / F.when(total > 0, total).otherwise(1.0))
+    hops = hop(F.col("l"), F.col("h")) + F.when(F.col("r") >= 0, hop(F.col("h"), F.col("r"))).otherwise(0.0)
+    sums = far.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("known2"),
         F.sum(F.log10((F.col("c") + 1) / F.lit(float(model.tokens + model.types + 1)))).alias("base2"),
-        F.sum(F.col("score") + hops).alias("score2"),
-        F.array_sort(F.collect_list(F.when((F.col("l") == -1) | (F.col("r") == -1), F.struct("i", "h", "r")))).alias("apart"),
+        F.sum(F.log10(p) + hops).alias("score2"),
     )
-    meets = F.zip_with("apart", F.slice("apart", F.lit(2), F.greatest(F.size("apart"), F.lit(1))), lambda x, y: F.when((x["r"] == -1) & y.isNotNull(), hop(x["h"], y["h"])).otherwise(0.0))
-    sums = sums.withColumn("score2", F.col("score2") + F.aggregate(meets, F.lit(0.0), lambda a, x: a + x)).drop("apart")
     out = scored.select("row", "id", "n", "known", "base", "score").join(sums, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select(

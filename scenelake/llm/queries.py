@@ -14,9 +14,7 @@ def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class-model scores of every document, learned on six sevenths of them."""
     docs = table(spark, sf_dir, "documents")
     fold = digest_bucket(F.col("doc_id"), 7)
-    model, counts = brown.fit(docs.where(fold != 2).select(F.coalesce("text", F.lit("")).alias("t")))
-    out = brown.score(docs, model, counts)
-    return out.withColumn("held_out", fold == 2)
+    return brown.fit_score(docs, fold != 2).withColumn("held_out", fold == 2)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
