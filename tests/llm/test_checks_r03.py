@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from scenelake.llm import brown
+from scenelake.llm import brown, jaccard
 
 
 def test_stages_bound_the_texts_that_a_python_step_holds(spark):
@@ -23,6 +23,13 @@ def test_stages_bound_the_texts_that_a_python_step_holds(spark):
         spark.conf.set(key, before)
 
 
+def test_lists_of_one_class_are_not_opened(spark):
+    lists = spark.createDataFrame([(7, 1, 1), (7, 1, 2), (7, 1, 3), (8, 1, 3), (8, 1, 4)], "key long, lead long, node long")
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, root long")
+    # all of list 7 is of class 1; in list 8 node 4 is of its own
+    assert {(r["lead"], r["node"]) for r in jaccard._apart(lists, roots).collect()} == {(1, 3), (1, 4)}
+
+
 def test_transitions_are_summed_by_task_whatever_lies_outside_the_lexicon(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 500}" for _ in range(120)), i % 3 > 0) for i in range(300)]
