@@ -9,20 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import ordered
 from . import resolvers as R
 from .registry import query, table
 
 MATERIALS = ["wood", "steel", "foam", "glass", "clay"]
 
 
-def scenes(spark, folder) -> R.Scenes:
-    """The long tables of the scenes, all derived from the events."""
+def scenes(spark, folder, rows: int | None = None) -> R.Scenes:
+    """The long tables of the scenes, all derived from the events.
+
+    With ``rows``, the number of states, the events are dealt by scene into tasks of about 50,000 states, and what is
+    grouped by scene later stays where it is.
+    """
     e = table(spark, folder, "events").where("user_id is not null and event_id is not null")
-    order = Window.partitionBy("user_id").orderBy(F.asc_nulls_first("ts"), "event_id")
-    e = e.select("user_id", F.col("event_id").alias("id"), F.coalesce("value", F.lit(0.0)).alias("v"), "event_type", (F.row_number().over(order) - 1).alias("step"))
-    sim, u, n = F.col("user_id").cast("string").alias("sim_id"), F.col("user_id"), F.col("id")
+    e = e.withColumn("sim_id", F.col("user_id").cast("string"))
+    if rows is not None:
+        e = ordered.dealt(e, "sim_id", rows=rows)
+    order = Window.partitionBy("user_id" if rows is None else "sim_id").orderBy(F.asc_nulls_first("ts"), "event_id")
+    e = e.select("user_id", "sim_id", F.col("event_id").alias("id"), F.coalesce("value", F.lit(0.0)).alias("v"), "event_type", (F.row_number().over(order) - 1).alias("step"))
+    u, n = F.col("user_id"), F.col("id")
     steps = e.select(
-        sim, "step", (F.col("step") / F.lit(25.0)).alias("t"), (F.col("step") * 4).cast("int").alias("frame_idx"), u.alias("u"), "id", "v", "event_type",
+        "sim_id", "step", (F.col("step") / F.lit(25.0)).alias("t"), (F.col("step") * 4).cast("int").alias("frame_idx"), u.alias("u"), "id", "v", "event_type",
         F.struct(
             F.array(F.lit(0.0), F.lit(-5.0) - F.lit(0.02) * F.col("step") * (u % 3), (F.lit(3) + u % 4).cast("double")).alias("eye"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("at"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("up"),
             (F.lit(0.7) + F.lit(0.01) * F.col("step") * (u % 2)).alias("fov"), F.lit(1000).alias("width"), F.lit(562).alias("height"), F.lit(None).cast("string").alias("fov_axis"),

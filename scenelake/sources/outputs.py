@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import re
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
+from functools import lru_cache
+from itertools import pairwise
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,40 +28,69 @@ def once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
+def _put(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sim_id, text) from (sim_id, text, told): the JSON texts that ``told`` lists by step and object, put into the documents."""
+    mark = uuid.uuid4().hex  # before what goes into the text as it is: numbers that a float would not give back so, and places in ``told``
+
+    @lru_cache(1 << 14)
+    def number(x: str) -> float | str:
+        return f if repr(f := float(x)) == x else mark + x
+
+    def members(pairs: list) -> dict:
+        if len(got := dict(pairs)) < len(pairs):
+            raise ValueError("a name occurs twice")
+        return got
+
+    def refuse(x: str) -> None:
+        raise ValueError(f"{x} is no JSON")
+
+    marked = re.compile(f'"{mark}([^"]*)"')
+    read = json.JSONDecoder(object_pairs_hook=members, parse_float=number, parse_constant=refuse).decode
+
+    def write(doc: dict, told: list[tuple], escaped: bool) -> str:
+        raw = lambda m: told[int(m[1][1:])][2] if m[1][0] == "k" else m[1]
+        return marked.sub(raw, json.dumps(doc, sort_keys=True, separators=(",", ":"), ensure_ascii=escaped))
+
+    def one(text: str | None, told: list[tuple]) -> str | None:
+        if text is None or not told:
+            return text
+        try:
+            doc = read(text)
+        except (ValueError, RecursionError):
+            return text
+        if not isinstance(doc, dict) or not isinstance(doc.get("simulation"), dict):
+            return text
+        steps = list(doc["simulation"].values())  # in the order of the text, which is how scenes are read
+        for i, (at, name, _) in enumerate(told):
+            step = steps[at] if at < len(steps) else None
+            objects = step.get("objects") if isinstance(step, dict) else None
+            if isinstance(objects, dict) and isinstance(objects.get(name), dict):
+                objects[name]["kinematics"] = f"{mark}k{i}"
+        out = write(doc, told, False)
+        try:
+            out.encode()
+        except UnicodeEncodeError:  # half of a pair of surrogates, which only an escape can tell
+            out = write(doc, told, True)
+        return out
+
+    for batch in rows:
+        ends, told = batch["told"].offsets.to_pylist(), list(zip(*(c.to_pylist() for c in batch["told"].values.flatten())))
+        texts = pa.array([one(*x) for x in zip(batch["text"].to_pylist(), (told[a:b] for a, b in pairwise(ends)))], pa.string())
+        yield pa.RecordBatch.from_arrays([batch["sim_id"], texts], names=["sim_id", "text"])
+
+
 def enriched(docs: DataFrame, states: DataFrame) -> DataFrame:
     """(sim_id, text): the documents (sim_id, text) with the kinematics of ``states`` in each object of each step.
 
     ``states`` has sim_id, step (the place in the document), object_id, v, speed, a and accel. Its rows are folded to one
-    map a document and joined to it, so no task holds more than a document with its rows. What a document has besides
-    is kept, with members in the order of their names; steps or objects without a row are left as they are. Documents
-    that are no JSON object, or have no steps, come out as they went in.
+    list a document and joined to it, so no task holds more than a batch of documents with their rows; sides that are
+    dealt by sim_id are not shuffled. What a document has besides is kept, with members in the order of their names and
+    numbers as they are written; steps or objects without a row are left as they are. Documents that are no JSON object,
+    or have no steps, come out as they went in. Python puts the rows in: variants would be built anew at every level.
     """
-    kind = "map<string,variant>"
-    # a value in a variant: by way of JSON, as null must stay null
-    state = F.parse_json(F.to_json(F.struct("v", "speed", "a", "accel"), {"ignoreNullFields": "false"}))
-    # by step, then by object: a look-up in a map goes along its keys
-    folded = states.groupBy("sim_id", "step").agg(F.map_from_entries(F.collect_list(F.struct("object_id", state.alias("state")))).alias("__objects"))
-    folded = folded.groupBy("sim_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "__objects"))).alias("__rows"))
-    doc = docs.join(folded, "sim_id", "left").withColumn("__top", once(F.try_variant_get(F.try_parse_json("text"), "$", kind)))
-    # steps keep their place in the text by their number among the sorted times, which is how scenes are read
-    doc = doc.withColumn("__steps", once(F.try_variant_get(F.try_element_at("__top", F.lit("simulation")), "$", kind)))
-
-    def body(value: Column, place: Column) -> Column:
-        def one(name: Column, o: Column, rows: Column) -> Column:
-            put = lambda row, own: F.when(row.isNotNull() & own.isNotNull(), F.to_variant_object(F.map_concat(F.map_filter(own, lambda k, _: k != "kinematics"), F.create_map(F.lit("kinematics"), row)))).otherwise(o)
-            return G.let(F.try_element_at(rows, name), lambda row: G.let(F.try_variant_get(o, "$", kind), lambda own: put(row, own)))
-
-        def whole(objects: Column, rows: Column) -> Column:
-            more = F.to_variant_object(F.transform_values(objects, lambda name, o: one(name, o, rows)))
-            members = F.try_variant_get(value, "$", kind)
-            return F.when(objects.isNotNull(), F.to_variant_object(F.map_concat(F.map_filter(members, lambda k, _: k != "objects"), F.create_map(F.lit("objects"), more)))).otherwise(value)
-
-        return G.let(F.try_variant_get(value, "$.objects", kind), lambda objects: G.let(F.try_element_at("__rows", place), lambda rows: whole(objects, rows)))
-
-    entries = F.transform(F.map_entries("__steps"), lambda e, i: F.struct(e["key"], body(e["value"], i)))
-    steps = F.to_variant_object(F.map_from_entries(entries))
-    whole = F.to_json(F.map_concat(F.map_filter("__top", lambda k, _: k != "simulation"), F.create_map(F.lit("simulation"), steps)))
-    return doc.select("sim_id", F.when(F.col("__steps").isNotNull() & F.col("__rows").isNotNull(), whole).otherwise(F.col("text")).alias("text"))
+    kinematics = F.to_json(F.struct("a", "accel", "speed", "v"), {"ignoreNullFields": "false"})
+    told = states.groupBy("sim_id").agg(F.collect_list(F.struct("step", "object_id", kinematics.alias("kinematics"))).alias("told"))
+    return docs.join(told.hint("merge"), "sim_id", "left").select(F.col("sim_id").cast("string"), "text", "told").mapInArrow(_put, "sim_id string, text string")
 
 
 def write_documents(docs: DataFrame, folder: str, name: str = "sim_id") -> None:
@@ -65,8 +99,8 @@ def write_documents(docs: DataFrame, folder: str, name: str = "sim_id") -> None:
 
 
 def write_document_lines(docs: DataFrame, folder: str, name: str = "sim_id") -> None:
-    """Documents as lines (name, text) of JSON files: for sets so large that a file each costs more than what is in it."""
-    docs.select(name, "text").write.mode("overwrite").json(folder)
+    """Documents as lines (name, text) of packed JSON files: for sets so large that a file each costs more than what is in it."""
+    docs.select(name, "text").write.mode("overwrite").option("compression", "gzip").json(folder)
 
 
 def read_document_lines(spark: SparkSession, folder: str, name: str = "sim_id") -> DataFrame:

@@ -32,10 +32,10 @@ def read(spark: SparkSession, paths: str | list[str], pattern: str = "simulation
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """The rows of ``read`` from whole texts (path, value). Each text is parsed once, in a step of its own."""
-    df = raw.select("path", F.explode(F.array(F.from_json("value", SCHEMA))).alias("world"))
+    """The rows of ``read`` from whole texts (path, value), or (sim_id, value) where scenes are named already. Each text is parsed once, in a step of its own."""
+    df = raw.select(*[c for c in raw.columns if c != "value"], F.explode(F.array(F.from_json("value", SCHEMA))).alias("world"))
     df = df.withColumn("bad", F.col("world").isNull() | F.col("world.simulation").isNull())
-    return df.withColumn("sim_id", F.element_at(F.split("path", "/"), -2))
+    return df if "sim_id" in raw.columns else df.withColumn("sim_id", F.element_at(F.split("path", "/"), -2))
 
 
 def at_depths(root: str, depths: tuple[int, ...] = (3, 4), name: str = "simulation.json") -> list[str]:
